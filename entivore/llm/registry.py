@@ -1,10 +1,14 @@
 """The queries of this subpackage and the SQL that gives their rows, where SQL can."""
 
-from entivore.llm import mixing
+from entivore.llm import exact_dedup, mixing, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_warc": warc.op3_warc,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_warc": warc.ORACLE,
 }
