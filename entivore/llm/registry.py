@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL that gives their rows, where SQL can."""
 
-from entivore.llm import exact_dedup, mixing, warc
+from entivore.llm import exact_dedup, mixing, pii, token_count, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_warc": warc.op3_warc,
+    "op7_token_counts": token_count.op7_token_counts,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
