@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives their rows, where SQL can."""
 
-from entivore.llm import exact_dedup, mixing, pii, token_count, warc
+from entivore.llm import exact_dedup, mixing, pii, quality_rules, token_count, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op7_token_counts": token_count.op7_token_counts,
     "op9_pii": pii.op9_pii,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
