@@ -1 +1,8 @@
-"""Entity scoring, matching and graph analytics on Spark DataFrames."""
+"""Entity scoring, knowledge-graph and text analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
