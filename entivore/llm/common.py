@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,100 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name is given too, that tells its rows apart: doc_id where it does, or else a
+    number, for which docs are written once so that it stays the same."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    again = docs.select(F.col("doc_id").alias("i")).groupBy("i").agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL")
+    if again.isEmpty():
+        return docs.withColumn(name, F.col("doc_id")), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _near(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Distributed union-find: node and label (the smallest node of its component) for every node of edges (a, b).
+
+    In every round each node points to the neighbour (or itself) that is first by hash, pointers are followed once
+    more, and the edges are drawn between what is pointed to; a component of n nodes takes about log n rounds.
+    Sums run before shuffles, and nothing but emptiness comes to the driver."""
+
+    def first(v: str) -> Column:
+        return F.struct(F.xxhash64(v).alias("h"), F.col(v).alias("v"))
+
+    edges = stored(edges.where("a != b").select("a", "b").distinct(), "cc-edges")
+    names = None
+    while not edges.isEmpty():
+        low = _near(edges).groupBy("u").agg(F.min(first("v")).alias("low"))
+        hop = stored(low.select("u", F.least(first("u"), F.col("low"))["v"].alias("p")), "cc-hop")
+        hop = stored(hop.join(hop.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p")), "cc-hops")
+        to = hop.select(F.col("u").alias("node"), F.col("p").alias("label"))
+        if names is not None:
+            to = names.join(hop, names["label"] == hop["u"], "left").select("node", F.coalesce("p", "label").alias("label"))
+        names = stored(to, "cc-names")
+        edges = edges.join(hop.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(hop.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
+        edges = stored(edges.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+    if names is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    least = names.groupBy("label").agg(F.min("node").alias("least"))
+    return stored(names.join(least, "label").select("node", F.col("least").alias("label")), "cc")
+
+
+#: Pairs of different components for each row of a cell, up to which all of them are compared.
+CROSS_PAIRS = 8
+STAR_ROUNDS = 8
+
+
+def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and label for every id that a chain of links leads to another; cells (cell, id): ids that share a cell
+    are candidates, verify keeps the links of pairs (a, b).
+
+    A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
+    components, each id is compared with one member only, a new one each round, of the largest component of its
+    cell. Then all pairs that still lie in different components are compared, so that no component is missed."""
+    cells = stored(cells.distinct(), "link-cells")
+    links, labels = None, None
+    for k in range(STAR_ROUNDS + 1):
+        here = cells.withColumn("label", F.col("id"))
+        if labels is not None:
+            here = cells.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("id"))).alias("pick"))
+        heads = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "label", F.col("pick.id").alias("id"))).alias("head"))
+        heads = stored(heads.where("all * all > own").select("cell", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.col("head.label").alias("head_label"), F.col("head.id").alias("head")), "link-heads")
+        size = heads.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
+        if not size.pairs:
+            break
+        last = k == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
+        if last:
+            rest = stored(here.join(heads.select("cell"), "cell"), "link-rest")
+            other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"))
+            pairs = rest.join(other, "cell").where("label < other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        else:
+            stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
+            best = stars.groupBy("id").agg(F.max(F.struct("n", "head")).alias("best"))
+            pairs = best.select(F.col("best.head").alias("a"), F.col("id").alias("b"))
+        found = stored(verify(stored(pairs, "link-pairs")), "links")
+        links = found if links is None else links.unionByName(found)
+        if last or not found.isEmpty():
+            labels = components(links)
+        if last:
+            break
+    return components(cells.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))) if labels is None else labels

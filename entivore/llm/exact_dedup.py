@@ -30,8 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entivore.llm.common import stored, table
+from entivore.llm.common import small, stored, table, with_rows
 
+#: Ids of up to so many rows (about 20 MB) are broadcast; beyond, an ordinary join is used.
+BROADCAST_ROWS = 1_000_000
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16_384, 11
 _CUT = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = frozenset(b" \t\n\x0b\x0c\r")
@@ -65,7 +67,7 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 def _cut(docs: DataFrame, id_bits: int, schema: str, payloads: bool) -> DataFrame:
-    """One row per document with its recipe, or one per chunk with its bytes."""
+    """One row per document with its recipe, or one per chunk with its bytes. docs: doc_id, text."""
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -125,6 +127,14 @@ def dedup(docs: DataFrame, *, id_bits: int = 64) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs."""
+    held, row = with_rows(docs)
+    gone = dedup(held.select(F.col(row).alias("doc_id"), "text")).where("NOT kept").select(F.col("doc_id").alias(f"{row}gone"))
+    gone = stored(gone, "dedup-gone")
+    return held.join(small(gone, BROADCAST_ROWS), F.col(row) == F.col(f"{row}gone"), "left_anti").drop(row)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 

@@ -1,14 +1,16 @@
 """The queries of this subpackage and the SQL that gives their rows, where SQL can."""
 
-from entivore.llm import exact_dedup, mixing, packing, pii, quality_rank, quality_rules, token_count, warc
+from entivore.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rank, quality_rules, token_count, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_warc": warc.op3_warc,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rank": quality_rank.op6_quality_rank,
     "op7_token_counts": token_count.op7_token_counts,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
