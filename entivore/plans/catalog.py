@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from entivore.plans import graphs, queues, scores, texts
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = scores.QUERIES | graphs.QUERIES | texts.QUERIES | queues.QUERIES
+ORACLES = scores.ORACLES | graphs.ORACLES | texts.ORACLES | queues.ORACLES
