@@ -95,19 +95,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Pairs of different components for each row of a cell, up to which all of them are compared.
-CROSS_PAIRS = 8
+CROSS_PAIRS = 16
 STAR_ROUNDS = 8
+#: Another round of one comparison for each id follows if one of so many was a link.
+MIN_YIELD = 10
 
 
 def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and label for every id that a chain of links leads to another; cells (cell, id): ids that share a cell
-    are candidates, verify keeps the links of pairs (a, b).
+    are candidates, verify keeps the links of pairs (a, b, n), where n is how many cells they share, or null if not counted.
 
     A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
     components, each id is compared with one member only, a new one each round, of the largest component of its
     cell. Then all pairs that still lie in different components are compared, so that no component is missed."""
     cells = stored(cells.distinct(), "link-cells")
     links, labels = None, None
+    rounds = 0
     for k in range(STAR_ROUNDS + 1):
         here = cells.withColumn("label", F.col("id"))
         if labels is not None:
@@ -118,19 +121,22 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
         size = heads.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
         if not size.pairs:
             break
-        last = k == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
+        last = rounds == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
         if last:
             rest = stored(here.join(heads.select("cell"), "cell"), "link-rest")
             other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"))
-            pairs = rest.join(other, "cell").where("label < other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            pairs = rest.join(other, "cell").where("label < other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
         else:
             stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
             best = stars.groupBy("id").agg(F.max(F.struct("n", "head")).alias("best"))
-            pairs = best.select(F.col("best.head").alias("a"), F.col("id").alias("b"))
-        found = stored(verify(stored(pairs, "link-pairs")), "links")
+            pairs = best.select(F.col("best.head").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("n"))
+        pairs = stored(pairs, "link-pairs")
+        found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         if last or not found.isEmpty():
             labels = components(links)
         if last:
             break
+        # where few of the pairs are links, more rounds would change little
+        rounds = k + 1 if found.count() * MIN_YIELD >= pairs.count() else STAR_ROUNDS
     return components(cells.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))) if labels is None else labels

@@ -4,7 +4,9 @@ A document's set holds its distinct n-word shingles as 64-bit hashes. Equal sets
 class. All shingles have a global order: by hash, but the TABLE_SIZE most frequent ones last.
 Sets whose similarity reaches the threshold share a shingle among the first
 size - least overlap + 1 of each, so classes that share one of these are candidates; which
-shingles count as frequent decides about speed only.
+shingles count as frequent decides about speed only. Two sets of like size share many of their
+first shingles, at least overlap - greater least overlap + 1: pairs with fewer are left out
+before any set moves.
 
 Candidates of one document form a block of bounded size. Its sets are stored in a prefix
 tree, those shingles first that most of the block have; the document's set walks down the
@@ -39,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from entivore.llm.common import linked, small, stored, table, with_rows
 
 N, PERCENT = 4, 85
-TASK_TOP, TABLE_SIZE, BATCH_SHINGLES = 2_000, 50_000, 1_000_000
+TASK_TOP, TABLE_SIZE, BATCH_SHINGLES = 5_000, 100_000, 1_000_000
 BLOCK, GROUP = 200_000, 1_000_000
 #: Ids of up to so many candidates (about 20 MB) are broadcast; beyond, an ordinary join is used.
 BROADCAST_ROWS = 1_000_000
@@ -51,7 +53,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     n = min(n, len(h))
     out = h[: len(h) - n + 1].copy()
     for i in range(1, n):
@@ -59,7 +61,9 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     out ^= out >> np.uint64(29)
     out *= _ODD[1]
     out ^= out >> np.uint64(32)
-    return np.unique(out + np.uint64(n))
+    out += np.uint64(n)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -187,11 +191,16 @@ def block_links(query: np.ndarray, sets: list[tuple[int, np.ndarray]], percent:
     return list(tree.walk(has.tolist(), left, len(query), percent))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b); sets (id, n, shingles)."""
-    sizes = sets.select("id", "n")
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n) whose sizes, and the number n of first shingles they share, allow a link; with na and nb."""
     fits = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    fits = stored(fits.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "join-fits")
+    most = F.greatest("na", "nb")
+    shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9) - F.ceil(percent * most / 100 - 1e-9) + 1
+    return stored(fits.where((100 * F.least("na", "nb") >= percent * most) & (F.col("n").isNull() | (F.col("n") >= shared))).drop("n"), "join-fits")
+
+
+def _verify(fits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (a, b, na, nb); sets (id, n, shingles)."""
     blocks = fits.groupBy("a").agg(F.ceil(F.sum("nb") / BLOCK).cast("long").alias("blocks"), F.max("na").alias("na"))
     groups = 1 + (fits.agg(F.sum("nb") + F.sum("na")).first()[0] or 0) // GROUP
     rows = fits.join(blocks.select("a", "blocks"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("id"))
@@ -230,14 +239,16 @@ def join_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     shared = stored(shared.select("cell"), "join-shared")
     cells = stored(first.join(small(shared, BROADCAST_ROWS), "cell"), "join-cells")
 
-    wanted = stored(cells.select("id").distinct().join(classes.select("id", "k1", "k2", "low"), "id"), "join-wanted")
-    low = wanted.select(F.col("low").alias("w_low")).distinct()
-    near = docs.select("doc_id", "text").join(small(low, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("w_low")), "left_semi")
-    ids = wanted.select("id", F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("low").alias("w_low"))
-    sets = _sets(near, n, percent, often, False).join(small(ids, BROADCAST_ROWS), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_low")))
-    sets = stored(sets.select("id", "n", "shingles").dropDuplicates(["id"]), "join-full")
+    def verify(pairs: DataFrame) -> DataFrame:
+        fits = _fitting(pairs, classes.select("id", "n"), percent)
+        ids = fits.select(F.col("a").alias("id")).union(fits.select("b")).distinct()
+        wanted = stored(ids.join(classes.select("id", F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("low").alias("w_low")), "id"), "join-wanted")
+        low = wanted.select("w_low").distinct()
+        near = docs.select("doc_id", "text").join(small(low, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("w_low")), "left_semi")
+        sets = _sets(near, n, percent, often, False).join(small(wanted, BROADCAST_ROWS), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_low")))
+        return _verify(fits, stored(sets.select("id", "n", "shingles").dropDuplicates(["id"]), "join-full"), percent)
 
-    labels = linked(cells, lambda pairs: _verify(pairs, sets, percent))
+    labels = linked(cells, verify)
     named = classes.select("id", "k1", "k2", "low").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     named = stored(named.join(least, "label").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component_id"), "join-named")
