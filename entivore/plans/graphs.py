@@ -46,10 +46,10 @@ def q_kg_neighbors(spark, sf_dir):
 
 
 def q_kg_paths(spark, sf_dir):
-    """From a supplier along its parts to other suppliers and their nation."""
-    supplies = edges(spark, sf_dir).where("s IN ('supplier:1', 'supplier:2', 'supplier:3')").select("s", "o")
+    """From a supplier along its parts to other suppliers, their nation and its region."""
+    supplies = edges(spark, sf_dir).where("s IN ('supplier:0', 'supplier:1', 'supplier:2', 'supplier:3')").select("s", "o")
     back = supplies.select(F.col("o").alias("s"), F.col("s").alias("o"))
-    return G.paths(supplies.unionByName(back).unionByName(located(spark, sf_dir)), "supplier:1", "nation:" + "0", 4, 5)
+    return G.paths(supplies.unionByName(back).unionByName(located(spark, sf_dir)), "supplier:1", "region:0", 4, 5)
 
 
 def q_deal_partners(spark, sf_dir):
@@ -111,9 +111,9 @@ ORACLES = {
     "q_kg_neighbors": f"""WITH RECURSIVE {LOCATED}, b AS (SELECT s AS node, o AS nxt FROM loc UNION SELECT o, s FROM loc),
 r(node, hop) AS (SELECT 'supplier:1', 0 UNION SELECT nxt, hop + 1 FROM r JOIN b USING (node) WHERE hop < 2), m AS (SELECT node, min(hop) AS hop FROM r GROUP BY 1)
 SELECT s, o, (least(a.hop, z.hop) + 1)::INT AS hop FROM (SELECT DISTINCT * FROM loc) LEFT JOIN m a ON a.node = s LEFT JOIN m z ON z.node = o WHERE a.hop IS NOT NULL OR z.hop IS NOT NULL""",
-    "q_kg_paths": f"""WITH RECURSIVE {EDGES}, {LOCATED}, x AS (SELECT DISTINCT s, o FROM e WHERE s IN ('supplier:1', 'supplier:2', 'supplier:3')), g AS (SELECT s, o FROM x UNION SELECT o, s FROM x UNION SELECT s, o FROM loc),
-r(node, hops, nodes) AS (SELECT o, 1, [s, o] FROM g WHERE s = 'supplier:1' UNION ALL SELECT g.o, hops + 1, list_append(nodes, g.o) FROM r JOIN g ON g.s = r.node WHERE hops < 4 AND r.node != 'nation:0' AND NOT list_contains(nodes, g.o))
-SELECT hops, array_to_string(nodes, '>') AS path FROM r WHERE node = 'nation:0' ORDER BY hops, path LIMIT 5""",
+    "q_kg_paths": f"""WITH RECURSIVE {EDGES}, {LOCATED}, x AS (SELECT DISTINCT s, o FROM e WHERE s IN ('supplier:0', 'supplier:1', 'supplier:2', 'supplier:3')), g AS (SELECT s, o FROM x UNION SELECT o, s FROM x UNION SELECT s, o FROM loc),
+r(node, hops, nodes) AS (SELECT o, 1, [s, o] FROM g WHERE s = 'supplier:1' UNION ALL SELECT g.o, hops + 1, list_append(nodes, g.o) FROM r JOIN g ON g.s = r.node WHERE hops < 4 AND r.node != 'region:0' AND NOT list_contains(nodes, g.o))
+SELECT hops, array_to_string(nodes, '>') AS path FROM r WHERE node = 'region:0' ORDER BY hops, path LIMIT 5""",
     "q_deal_partners": f"WITH {EDGES}, d AS (SELECT DISTINCT s, o FROM e WHERE session = '1996-03') SELECT a.s AS person1, b.s AS person2, count(*) AS n_shared FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2",
     "q_kg_conflicts": f"WITH {EDGES}, h AS (SELECT *, lag(predicate) OVER (PARTITION BY s, o ORDER BY created_at, tie1, tie2) AS old_predicate FROM e) SELECT s, o, old_predicate, predicate, 'conflict' AS status FROM h WHERE old_predicate != predicate",
     "q_kg_merge": f"WITH {EDGES}, {WINNERS} SELECT DISTINCT s, predicate, coalesce(winner, o) AS o FROM e LEFT JOIN win ON loser = o",
