@@ -95,10 +95,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Pairs of different components for each row of a cell, up to which all of them are compared.
-CROSS_PAIRS = 16
-STAR_ROUNDS = 8
-#: Another round of one comparison for each id follows if one of so many was a link.
-MIN_YIELD = 10
+CROSS_PAIRS = 2
+STAR_ROUNDS = 6
+#: Another round of comparisons with few members follows if one of so many was a link.
+MIN_YIELD = 20
 
 
 def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -106,17 +106,21 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     are candidates, verify keeps the links of pairs (a, b, n), where n is how many cells they share, or null if not counted.
 
     A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
-    components, each id is compared with one member only, a new one each round, of the largest component of its
-    cell. Then all pairs that still lie in different components are compared, so that no component is missed."""
+    components, each id is compared with a few members only, new ones each round and twice as many, of the largest
+    components of its cells. Then all pairs that still lie in different components are compared, so that no component is missed."""
     cells = stored(cells.distinct(), "link-cells")
+    rank = cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
+    cells = stored(cells.join(rank, "id"), "link-ranked")
     links, labels = None, None
     rounds = 0
     for k in range(STAR_ROUNDS + 1):
         here = cells.withColumn("label", F.col("id"))
         if labels is not None:
             here = cells.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("id"))).alias("pick"))
-        heads = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "label", F.col("pick.id").alias("id"))).alias("head"))
+        # members that meet many others first: an original comes before its edited copies
+        order = F.xxhash64("id", "cell", F.lit(k)) if k % 2 else F.col("rank")
+        parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.max(F.struct(order.alias("o"), F.col("id").alias("id"))).alias("pick"))
+        heads = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", F.col("pick.o").alias("o"), "label", F.col("pick.id").alias("id"))).alias("head"))
         heads = stored(heads.where("all * all > own").select("cell", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.col("head.label").alias("head_label"), F.col("head.id").alias("head")), "link-heads")
         size = heads.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
         if not size.pairs:
@@ -128,8 +132,8 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
             pairs = rest.join(other, "cell").where("label < other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
         else:
             stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
-            best = stars.groupBy("id").agg(F.max(F.struct("n", "head")).alias("best"))
-            pairs = best.select(F.col("best.head").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("n"))
+            best = F.slice(F.sort_array(F.collect_list(F.struct("n", "head")), asc=False), 1, 2**k)
+            pairs = stars.groupBy("id").agg(best.alias("best")).select(F.explode("best.head").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("n"))
         pairs = stored(pairs, "link-pairs")
         found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)

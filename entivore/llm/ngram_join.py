@@ -191,12 +191,21 @@ def block_links(query: np.ndarray, sets: list[tuple[int, np.ndarray]], percent:
     return list(tree.walk(has.tolist(), left, len(query), percent))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n) whose sizes, and the number n of first shingles they share, allow a link; with na and nb."""
-    fits = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+def _fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n) whose sizes, and the number n of first shingles they share, allow a link; with na and nb.
+    classes: id, n, shingles (the first ones, by which n is counted where it is null)."""
+
+    def side(x: str, *more: str) -> DataFrame:
+        return classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+
     most = F.greatest("na", "nb")
-    shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9) - F.ceil(percent * most / 100 - 1e-9) + 1
-    return stored(fits.where((100 * F.least("na", "nb") >= percent * most) & (F.col("n").isNull() | (F.col("n") >= shared))).drop("n"), "join-fits")
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9) - F.ceil(percent * most / 100 - 1e-9) + 1
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * most)
+    if pairs.where("n IS NULL").isEmpty():
+        return stored(sized.where(F.col("n") >= least).select("a", "b", "na", "nb"), "join-fits")
+    sized = stored(sized.select("a", "b"), "join-sized")
+    both = sized.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    return stored(both.where(F.size(F.array_intersect("shingles_a", "shingles_b")) >= least).select("a", "b", "na", "nb"), "join-fits")
 
 
 def _verify(fits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +249,7 @@ def join_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     cells = stored(first.join(small(shared, BROADCAST_ROWS), "cell"), "join-cells")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fits = _fitting(pairs, classes.select("id", "n"), percent)
+        fits = _fitting(pairs, classes, percent)
         ids = fits.select(F.col("a").alias("id")).union(fits.select("b")).distinct()
         wanted = stored(ids.join(classes.select("id", F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("low").alias("w_low")), "id"), "join-wanted")
         low = wanted.select("w_low").distinct()
