@@ -86,10 +86,13 @@ def q_job_diff(spark, sf_dir):
 
 def q_score_trends(spark, sf_dir):
     r = results(spark, sf_dir).join(weights(spark, sf_dir), "attribute_id")
-    ratio = F.sum(F.when(F.col("present"), F.col("weight")).otherwise(0)).cast("double") / F.nullif(F.sum("weight").cast("double"), F.lit(0.0))
-    per = r.groupBy("job", "entity_id").agg(F.round(ratio, 4).alias("score"))
-    mean = F.round(F.avg(F.col("score").cast("decimal(6,4)")).over(Window.partitionBy("job")).cast("double"), 4)
-    return per.withColumn("campaign_avg", mean)
+    # half-up in whole cents: a quotient of doubles may fall on either side of a midpoint
+    cents = (F.col("weight") * 100).cast("long")
+    per = r.groupBy("job", "entity_id").agg(F.sum(F.when(F.col("present"), cents).otherwise(0)).alias("part"), F.sum(cents).alias("whole"))
+    per = per.select("job", "entity_id", F.expr("CASE WHEN whole != 0 THEN ((part * 20000 + whole) div (2 * whole)) / 10000.0D END").alias("score"))
+    w = Window.partitionBy("job")
+    per = per.withColumn("k", F.round(F.col("score") * 10000).cast("long")).withColumn("all", F.sum("k").over(w)).withColumn("n", F.count("k").over(w))
+    return per.select("job", "entity_id", "score", F.expr("((2 * all + n) div (2 * n)) / 10000.0D").alias("campaign_avg"))
 
 
 def q_stale_scores(spark, sf_dir):
@@ -252,8 +255,8 @@ SELECT attribute_id, entity_id, present, confidence, k = max(k) OVER w AND max(k
     "q_job_diff": f"""WITH {RES}, one AS (SELECT * FROM res WHERE job IN ('1996-03', '1996-04') QUALIFY row_number() OVER (PARTITION BY job, entity_id, attribute_id ORDER BY created_at DESC, tie1, tie2) = 1),
 a AS (SELECT entity_id, attribute_id, present AS present_a FROM one WHERE job = '1996-03'), b AS (SELECT entity_id, attribute_id, present AS present_b FROM one WHERE job = '1996-04')
 SELECT entity_id, attribute_id, present_a, present_b, CASE WHEN present_a IS NULL THEN 'added' WHEN present_b IS NULL THEN 'removed' WHEN present_a != present_b THEN 'changed' ELSE 'unchanged' END AS diff_status FROM a FULL JOIN b USING (entity_id, attribute_id)""",
-    "q_score_trends": f"""WITH {RES}, {W}, per AS (SELECT job, entity_id, round(sum(CASE WHEN present THEN weight ELSE 0 END)::DOUBLE / nullif(sum(weight)::DOUBLE, 0), 4) AS score FROM res JOIN w USING (attribute_id) GROUP BY ALL)
-SELECT job, entity_id, score, round(((sum(score::DECIMAL(6,4)) OVER (PARTITION BY job))::DECIMAL(28,8) / count(*) OVER (PARTITION BY job))::DOUBLE, 4) AS campaign_avg FROM per""",
+    "q_score_trends": f"""WITH {RES}, {W}, per AS (SELECT job, entity_id, ((sum(CASE WHEN present THEN (weight * 100)::BIGINT ELSE 0 END) * 20000 + sum((weight * 100)::BIGINT)) // nullif(2 * sum((weight * 100)::BIGINT), 0))::DOUBLE / 10000.0::DOUBLE AS score FROM res JOIN w USING (attribute_id) GROUP BY ALL)
+SELECT job, entity_id, score, ((2 * sum(round(score * 10000)::BIGINT) OVER w + count(*) OVER w) // (2 * count(*) OVER w))::DOUBLE / 10000.0::DOUBLE AS campaign_avg FROM per WINDOW w AS (PARTITION BY job)""",
     "q_stale_scores": "SELECT s_suppkey AS entity_id, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_shipdate >= TIMESTAMP '2001-06-01') AS score_stale FROM supplier",
     "q_knowledge_lookup": f"""WITH {RES}, k AS (SELECT res.*, n_regionkey = 1 AS own FROM res JOIN supplier ON s_suppkey = entity_id JOIN nation ON n_nationkey = s_nationkey WHERE created_at <= TIMESTAMP '{REF}'),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY attribute_id ORDER BY own DESC, created_at DESC, tie1, tie2, entity_id) = 1),
