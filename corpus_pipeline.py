@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from entivore.llm import exact_dedup, mixing, ngram_join, packing, quality_rank
 from entivore.llm.common import stored, table
 
+#: Near copies share 80 % or more of their five-word shingles (op8's own setting is stricter).
+NEAR_N, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rank.filtered(docs, quality_rank.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n=NEAR_N, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
