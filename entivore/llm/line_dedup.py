@@ -7,11 +7,9 @@ a Jaccard similarity of 0.8 or more, counted exactly, are linked. A distributed
 joins links to components; of each component, and of equal lines, the first line (by doc_id,
 row and line number) stays.
 
-The signature is taken over a line's SKETCH least shingle hashes: of long lines (SHORT or
-more code points) over the shingles that start a word, a fifth of all; of lines of up to LONG
-over all shingles. Lines between have both, as two lines of this similarity differ by at most
-a fifth in size. Its values are min(turned hash XOR mask): each mask orders the hashes anew. Were
-all independent, a pair of similarity s would be found with a chance of
+The signature is taken over the SKETCH least hashes of all shingles of a line, however long
+it is and whether it has words or not, so lines with equal sets have equal signatures. Its
+values are min(turned hash XOR mask): each mask orders the hashes anew. Were all independent, a pair of similarity s would be found with a chance of
 1 - (1 - s ** ROWS) ** BANDS: 0.99 at 0.8, 0.999 at 0.85. More rows keep chance meetings away
 as lines grow in number, more bands then restore recall.
 
@@ -38,19 +36,17 @@ from entivore.llm.common import linked, small, stored, table, with_rows
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, SKETCH = 12, 5, 64
-SHORT, LONG = 60, 75
 #: Keys of up to so many rows (about 40 MB) are broadcast; beyond, an ordinary join is used.
 BROADCAST_ROWS = 500_000
 _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
-_STARTS = rf"(?s)(?<![^\x20])(?=(.{{{SHINGLE}}}))"
 
 
 def _mask(k: int) -> int:
     return int.from_bytes(hashlib.sha256(f"line-{k}".encode()).digest()[:8], "big", signed=True)
 
 
-def _shingles(line: Column, pattern: str = _EVERY) -> Column:
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
+def _shingles(line: Column) -> Column:
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
 
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -69,25 +65,19 @@ def _turned(sketch: str, r: int) -> Column:
     return F.transform(sketch, lambda h: F.shiftleft(h, 13 * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 13 * r))) if r else F.col(sketch)
 
 
-def _bands(turned: str, family: int) -> Column:
+def _bands(turned: str) -> Column:
     def value(b: int, r: int) -> Column:
         return F.array_min(F.transform(F.col(turned)[r], lambda h: h.bitwiseXOR(F.lit(_mask(b * ROWS + r)))))
 
-    return F.array(*[F.xxhash64(F.lit(family), F.lit(b), *[value(b, r) for r in range(ROWS)]) for b in range(BANDS)])
+    return F.array(*[F.xxhash64(F.lit(b), *[value(b, r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
 def signed(lines: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, and of the column line k1, k2 and bands (an array of hashes)."""
-    line, size = F.col("line"), F.length("line")
-
-    def sketch(pattern: str) -> Column:
-        return F.slice(F.sort_array(F.array_distinct(F.transform(_shingles(line, pattern), lambda s: F.xxhash64(s)))), 1, SKETCH)
-
-    made = lines.select(*keep, *_keys("line"), F.when(size <= LONG, sketch(_EVERY)).alias("s0"), F.when(size >= SHORT, sketch(_STARTS)).alias("s1"))
-    made = made.select(*keep, "k1", "k2", *[F.when(F.col(f"s{i}").isNotNull(), F.array(*[_turned(f"s{i}", r) for r in range(ROWS)])).alias(f"s{i}") for i in (0, 1)])
-    none = F.array().cast("array<long>")
-    both = [F.when(F.col(f"s{i}").isNotNull(), _bands(f"s{i}", i)).otherwise(none) for i in (0, 1)]
-    return made.select(*keep, "k1", "k2", F.concat(*both).alias("bands"))
+    sketch = F.slice(F.sort_array(F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))), 1, SKETCH)
+    made = lines.select(*keep, *_keys("line"), F.when(F.col("line").isNotNull(), sketch).alias("s"))
+    made = made.select(*keep, "k1", "k2", F.when(F.col("s").isNotNull(), F.array(*[_turned("s", r) for r in range(ROWS)])).alias("s"))
+    return made.select(*keep, "k1", "k2", F.when(F.col("s").isNotNull(), _bands("s")).otherwise(F.array().cast("array<long>")).alias("bands"))
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
