@@ -76,8 +76,8 @@ def q_text_dedup(spark, sf_dir):
 
 
 def q_claims_conflict(spark, sf_dir):
-    html = F.concat_ws(" ", F.regexp_replace(F.coalesce("html", F.lit("")), r"\$|%", " "), F.concat(F.lit(" $"), F.pmod("page_id", F.lit(7)) + 10, F.lit("M")), F.concat(F.lit(" $"), F.pmod("page_id", F.lit(5)) + 10, F.lit("M")))
-    c = table(spark, sf_dir, "pages").select("page_id", X.claims(html).alias("claims"))
+    """The least and the greatest claim of each page; null where a page makes none."""
+    c = table(spark, sf_dir, "pages").select("page_id", X.claims(F.col("html")).alias("claims"))
     return c.select("page_id", F.array_min("claims").alias("low"), F.array_max("claims").alias("high")).withColumn("conflict", (F.col("high") - F.col("low")) / F.nullif(F.col("low"), F.lit(0.0)) > 0.25)
 
 
