@@ -29,15 +29,21 @@ def neighbourhood(edges: DataFrame, seeds: Sequence[str], depth: int) -> DataFra
 
 
 def paths(edges: DataFrame, start: str, end: str, max_hops: int, limit: int) -> DataFrame:
-    """hops, path (nodes joined by '>') of the limit shortest directed simple paths from start to end."""
+    """hops, path (nodes joined by '>') of the limit shortest directed simple paths from start to end.
+
+    A path goes on only by nodes from which end is within the hops that remain."""
     edges = edges.select("s", "o").where("s != o").distinct()
-    walk = edges.where(F.col("s") == start).select("o", F.array("s", "o").alias("nodes"))
+    reach = [edges.sparkSession.createDataFrame([(end,)], "node string")]
+    for _ in range(1, max_hops):
+        before = edges.join(reach[-1], F.col("o") == F.col("node"), "left_semi").select(F.col("s").alias("node"))
+        reach.append(reach[-1].unionByName(before).distinct())
+    walk = edges.where(F.col("s") == start).join(reach[max_hops - 1], F.col("o") == F.col("node"), "left_semi").select("o", F.array("s", "o").alias("nodes"))
     found = None
     for k in range(1, max_hops + 1):
         done = walk.where(F.col("o") == end).select(F.lit(k).alias("hops"), F.array_join("nodes", ">").alias("path"))
         found = done if found is None else found.unionByName(done)
         if k < max_hops:
-            on = edges.select(F.col("s").alias("from"), F.col("o").alias("to"))
+            on = edges.select(F.col("s").alias("from"), F.col("o").alias("to")).join(reach[max_hops - k - 1], F.col("to") == F.col("node"), "left_semi")
             walk = walk.where(F.col("o") != end).join(on, F.col("o") == F.col("from")).where(~F.array_contains("nodes", F.col("to"))).select(F.col("to").alias("o"), F.concat("nodes", F.array("to")).alias("nodes"))
     return found.orderBy("hops", "path").limit(limit)
 

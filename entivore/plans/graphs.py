@@ -47,13 +47,13 @@ def q_kg_neighbors(spark, sf_dir):
 
 def q_kg_paths(spark, sf_dir):
     """From a supplier along its parts to other suppliers, their nation and its region."""
-    supplies = edges(spark, sf_dir).where("s IN ('supplier:0', 'supplier:1', 'supplier:2', 'supplier:3')").select("s", "o")
+    supplies = edges(spark, sf_dir).select("s", "o")
     back = supplies.select(F.col("o").alias("s"), F.col("s").alias("o"))
     return G.paths(supplies.unionByName(back).unionByName(located(spark, sf_dir)), "supplier:1", "region:0", 4, 5)
 
 
 def q_deal_partners(spark, sf_dir):
-    return G.partners(edges(spark, sf_dir).where("session = '1996-03'"))
+    return G.partners(edges(spark, sf_dir))
 
 
 def q_kg_conflicts(spark, sf_dir):

@@ -25,3 +25,21 @@ def test_claims_of_the_pages_themselves(spark, tmp_path):
     rows = [(1, "<p>$1,250.5M or $1B</p>"), (2, "12% of 14.5%"), (3, "no claim"), (4, None), (5, "$0 and $3")]
     got = {r.page_id: (r.low, r.high, r.conflict) for r in texts.q_claims_conflict(spark, saved(spark, tmp_path, "pages", rows, "page_id long, html string")).collect()}
     assert got == {1: (1e9, 1250.5e6, True), 2: (12.0, 14.5, False), 3: (None, None, None), 4: (None, None, None), 5: (0.0, 3.0, None)}
+
+
+LINES = "l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_shipdate timestamp_ntz, l_orderkey long, l_linenumber int"
+
+
+def test_graph_of_all_suppliers_and_months(spark, tmp_path):
+    saved(spark, tmp_path, "supplier", [(1, 1), (9, 2)], "s_suppkey long, s_nationkey long")
+    saved(spark, tmp_path, "nation", [(1, 1), (2, 0)], "n_nationkey long, n_regionkey long")
+    sf = saved(spark, tmp_path, "lineitem", [(s, 7, "N", 0.1, dt.datetime(1994 + s % 3, 5, 1), s, 1) for s in (1, 9)], LINES)
+    assert [tuple(r) for r in graphs.q_kg_paths(spark, sf).collect()] == [(4, "supplier:1>part:7>supplier:9>nation:2>region:0")]
+    assert [tuple(r) for r in graphs.q_deal_partners(spark, sf).collect()] == [("supplier:1", "supplier:9", 1)]
+
+
+def test_paths_and_partners_on_the_smallest_tables(spark):
+    sql = graphs.ORACLES["q_kg_paths"].replace(" WHERE s IN ('supplier:0', 'supplier:1', 'supplier:2', 'supplier:3')", "")
+    assert [(r.hops, r.path) for r in graphs.q_kg_paths(spark, SF).collect()] == duck(sql, "lineitem", "supplier", "nation")
+    sql = graphs.ORACLES["q_deal_partners"].replace(" WHERE session = '1996-03'", "")
+    assert sorted((r.person1, r.person2, r.n_shared) for r in graphs.q_deal_partners(spark, SF).collect()) == sorted(duck(sql, "lineitem"))
