@@ -16,8 +16,10 @@ def q_queue_state(spark, sf_dir):
 
 def q_queue_claim(spark, sf_dir):
     """The next ten jobs to claim: pending at the end, longest waiting first."""
-    e = queue_events(spark, sf_dir).where("action = 'enqueue'")
-    return e.groupBy("job_id").agg(F.min("ts").alias("waiting_since")).orderBy("waiting_since", "job_id").limit(10)
+    e = queue_events(spark, sf_dir)
+    pending = U.states(e).where("status = 'pending'").select("job_id")
+    since = e.where("action = 'enqueue'").groupBy("job_id").agg(F.min("ts").alias("waiting_since"))
+    return since.join(pending, "job_id").orderBy("waiting_since", "job_id").limit(10)
 
 
 def q_stale_reclaim(spark, sf_dir):

@@ -43,3 +43,15 @@ def test_paths_and_partners_on_the_smallest_tables(spark):
     assert [(r.hops, r.path) for r in graphs.q_kg_paths(spark, SF).collect()] == duck(sql, "lineitem", "supplier", "nation")
     sql = graphs.ORACLES["q_deal_partners"].replace(" WHERE session = '1996-03'", "")
     assert sorted((r.person1, r.person2, r.n_shared) for r in graphs.q_deal_partners(spark, SF).collect()) == sorted(duck(sql, "lineitem"))
+
+
+def test_only_pending_jobs_are_claimable(spark, tmp_path):
+    acts = {1: ("signup", "click", "purchase"), 2: ("signup",), 3: ("signup", "click"), 4: ("signup", "click", "error"), 5: ("click",), 6: ("signup", *("click", "error") * 3)}
+    rows = [(100 * j + k, j, dt.datetime(2024, 1, 10 - j, k), a) for j, x in acts.items() for k, a in enumerate(x)]
+    sf = saved(spark, tmp_path, "events", rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, sf).collect()] == [(4, dt.datetime(2024, 1, 6)), (2, dt.datetime(2024, 1, 8))]
+
+
+def test_claimable_jobs_on_the_smallest_tables(spark):
+    sql = f"WITH st AS ({queues.ORACLES['q_queue_state']}) SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' AND user_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10"
+    assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, SF).collect()] == duck(sql, "events")
