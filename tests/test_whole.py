@@ -55,3 +55,14 @@ def test_only_pending_jobs_are_claimable(spark, tmp_path):
 def test_claimable_jobs_on_the_smallest_tables(spark):
     sql = f"WITH st AS ({queues.ORACLES['q_queue_state']}) SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' AND user_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10"
     assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, SF).collect()] == duck(sql, "events")
+
+
+def test_bm25_asks_the_whole_passage(spark, tmp_path):
+    saved(spark, tmp_path, "benchmark", [(1, "a b c d e f g h i late")], "item_id long, text string")
+    sf = saved(spark, tmp_path, "documents", [(1, "x y"), (2, "a late word"), (3, "a z w")], "doc_id long, text string")
+    assert [r.doc_id for r in texts.q_bm25_top5(spark, sf).orderBy("rank").collect()] == [2, 3]
+    sql = texts.ORACLES["q_bm25_top5"].replace("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')", "text")
+    columns = ("item_id", "doc_id", "score", "rank")
+    got, want = sorted(tuple(r[c] for c in columns) for r in texts.q_bm25_top5(spark, SF).collect()), sorted(duck(sql, "documents", "benchmark"))
+    assert [(i, d, r) for i, d, _, r in got] == [(i, d, r) for i, d, _, r in want]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
