@@ -36,23 +36,36 @@ def fixed_chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.where("text IS NOT NULL AND text != ''").select("doc_id", "text", at.alias("ix")).select("doc_id", "ix", F.substr("text", F.col("ix") * size + 1, F.lit(size)).alias("chunk"))
 
 
-def markdown_table(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """One row: table, the rows of key's order as a markdown table with pipes in cells escaped.
+def markdown_table(rows: DataFrame, columns: list[str], key: str, page: str) -> DataFrame:
+    """page, table: the rows of each page, in key's order, as a markdown table with pipes in cells escaped.
 
-    Meant for a table on a page: all its rows meet in one value."""
+    All rows of a page meet in one value, so pages should be of bounded size."""
     cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
-    lines = rows.select(F.struct(F.col(key).alias("k"), line.alias("line")).alias("x")).groupBy().agg(F.array_sort(F.collect_list("x")).alias("all"))
-    return lines.select(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("table"))
+    lines = rows.select(F.struct(F.col(key).alias("k"), line.alias("line")).alias("x"), page).groupBy(page).agg(F.array_sort(F.collect_list("x")).alias("all"))
+    return lines.select(page, F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("table"))
+
+
+def page_starts(rows: DataFrame, page: str) -> DataFrame:
+    """page (a whole number), before: how many rows come on the pages before it.
+
+    Pages are summed by blocks of a thousand first, so that only blocks are counted in one task."""
+    n = rows.groupBy(page).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col(page) / 1000))
+    blocks = n.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("start"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy(page)) - F.col("n")
+    return n.withColumn("within", within).join(blocks, "block").select(page, (F.col("start") + F.col("within")).alias("before"))
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
-    """row (from 1), column, value: the non-empty cells of markdown tables; the first pipe line is the header."""
+    """row (from 1), column, value: the non-empty cells of markdown tables, with the other columns of tables; the first
+    pipe line is the header."""
+    keep = [c for c in tables.columns if c != "table"]
     lines = F.filter(F.split("table", "\n"), lambda x: x.rlike(r"^\s*\|.*\|\s*$") & ~x.rlike(r"^[\s|:-]+$"))
     cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
-    rows = tables.select(lines.alias("lines")).select(cells(F.get("lines", F.lit(0))).alias("head"), F.posexplode("lines").alias("row", "line")).where("row > 0")
-    out = rows.select("row", "head", F.posexplode(cells(F.col("line"))).alias("at", "value")).select("row", F.get("head", F.col("at")).alias("column"), "value")
+    rows = tables.select(*keep, lines.alias("lines")).select(*keep, cells(F.get("lines", F.lit(0))).alias("head"), F.posexplode("lines").alias("row", "line")).where("row > 0")
+    out = rows.select(*keep, "row", "head", F.posexplode(cells(F.col("line"))).alias("at", "value")).select(*keep, "row", F.get("head", F.col("at")).alias("column"), "value")
     return out.where("value != ''")
 
 

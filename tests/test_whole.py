@@ -66,3 +66,13 @@ def test_bm25_asks_the_whole_passage(spark, tmp_path):
     got, want = sorted(tuple(r[c] for c in columns) for r in texts.q_bm25_top5(spark, SF).collect()), sorted(duck(sql, "documents", "benchmark"))
     assert [(i, d, r) for i, d, _, r in got] == [(i, d, r) for i, d, _, r in want]
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_markdown_tables_of_all_parts(spark, tmp_path):
+    sql = texts.ORACLES["q_md_table_roundtrip"].replace(" WHERE p_size <= 3", "")
+    got = sorted((r.row, r.column, r.value) for r in texts.q_md_table_roundtrip(spark, SF).collect())
+    assert got == sorted(duck(sql, "part"))
+    rows = [(k, f"n{k}", "b", 50) for k in (5, 99, 100, 350, 99_999, 100_000, 5_000_000)]
+    sf = saved(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_brand string, p_size int")
+    got = {r.row: r.value for r in texts.q_md_table_roundtrip(spark, sf).where("column = 'p_partkey'").collect()}
+    assert got == {i + 1: str(k[0]) for i, k in enumerate(rows)}
