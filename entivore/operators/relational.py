@@ -33,8 +33,8 @@ def matrix_scores(cells: DataFrame, attributes: DataFrame) -> DataFrame:
     cells: entity_id, attribute, value_boolean, value_numeric, value_select. attributes: attribute, kind, weight,
     low, high, options. Numbers with both bounds are scaled between them, others by the largest absolute value of
     the attribute; options by their place; what has no place on the scale is left out."""
-    a = cells.join(F.broadcast(attributes), "attribute")
-    largest = F.max(F.abs("value_numeric")).over(Window.partitionBy("attribute"))
+    largest = cells.join(F.broadcast(attributes.select("attribute")), "attribute", "left_semi").groupBy("attribute").agg(F.max(F.abs("value_numeric")).alias("largest"))
+    a = cells.join(F.broadcast(attributes), "attribute").join(F.broadcast(largest), "attribute")
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     place = F.array_position("options", F.col("value_select"))
     bounded = F.col("low").isNotNull() & F.col("high").isNotNull() & (F.col("high") > F.col("low"))
@@ -44,7 +44,7 @@ def matrix_scores(cells: DataFrame, attributes: DataFrame) -> DataFrame:
         .when(F.col("kind") == "numeric", F.when(F.col("largest") > 0, clamp(F.col("value_numeric") / F.nullif(F.col("largest"), F.lit(0.0)))))
         .when((F.col("kind") == "select") & (place > 0), F.when(F.size("options") == 1, 1.0).otherwise((place - 1) / F.nullif(F.size("options") - 1, F.lit(0))))
     )
-    scored = a.withColumn("largest", largest).withColumn("norm", norm).where("norm IS NOT NULL")
+    scored = a.withColumn("norm", norm).where("norm IS NOT NULL")
     return scored.groupBy("entity_id").agg(
         F.round(F.sum(F.col("norm") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0.0)) * 100, 2).alias("total_score"), F.count_if(F.col("norm") > 0).alias("present"), F.count("*").alias("checked")
     )

@@ -76,3 +76,8 @@ def test_markdown_tables_of_all_parts(spark, tmp_path):
     sf = saved(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_brand string, p_size int")
     got = {r.row: r.value for r in texts.q_md_table_roundtrip(spark, sf).where("column = 'p_partkey'").collect()}
     assert got == {i + 1: str(k[0]) for i, k in enumerate(rows)}
+
+
+def test_matrix_cells_are_not_sorted_by_attribute(spark):
+    plan = scores.q_matrix_score(spark, SF)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "largest" in plan
