@@ -34,15 +34,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what stored() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if df is not None and (path := df.__dict__.get("stored_at")):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, lengthened until no column begins with it in any case: it may be lengthened further and stay free."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
 
 
 def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with one more column, whose name is given too, that tells its rows apart: doc_id where it does, or else a
     number, for which docs are written once so that it stays the same."""
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_row")
     again = docs.select(F.col("doc_id").alias("i")).groupBy("i").agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL")
     if again.isEmpty():
         return docs.withColumn(name, F.col("doc_id")), name
@@ -81,17 +97,22 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         low = _near(edges).groupBy("u").agg(F.min(first("v")).alias("low"))
         hop = stored(low.select("u", F.least(first("u"), F.col("low"))["v"].alias("p")), "cc-hop")
-        hop = stored(hop.join(hop.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p")), "cc-hops")
-        to = hop.select(F.col("u").alias("node"), F.col("p").alias("label"))
+        hops = stored(hop.join(hop.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p")), "cc-hops")
+        discard(hop)
+        to = hops.select(F.col("u").alias("node"), F.col("p").alias("label"))
         if names is not None:
-            to = names.join(hop, names["label"] == hop["u"], "left").select("node", F.coalesce("p", "label").alias("label"))
-        names = stored(to, "cc-names")
-        edges = edges.join(hop.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(hop.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
-        edges = stored(edges.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+            to = names.join(hops, names["label"] == hops["u"], "left").select("node", F.coalesce("p", "label").alias("label"))
+        names, old = stored(to, "cc-names"), names
+        to = edges.join(hops.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(hops.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
+        to = stored(to.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        discard(old, hops, edges)
+        edges = to
     if names is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     least = names.groupBy("label").agg(F.min("node").alias("least"))
-    return stored(names.join(least, "label").select("node", F.col("least").alias("label")), "cc")
+    out = stored(names.join(least, "label").select("node", F.col("least").alias("label")), "cc")
+    discard(names, edges)
+    return out
 
 
 #: Pairs of different components for each row of a cell, up to which all of them are compared.

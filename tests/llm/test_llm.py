@@ -303,10 +303,48 @@ def test_prefix_tree_finds_what_counting_finds():
     import numpy as np
 
     pick = random.Random(2)
-    sets = [np.unique(np.array(pick.sample(range(40), pick.randrange(1, 30)), np.int64)) for _ in range(200)]
-    for q in sets[:20]:
+    sets = list({tuple(sorted(pick.sample(range(40), pick.randrange(1, 30)))) for _ in range(200)})
+    sets = [np.array(s, np.int64) for s in [*sets, (1,), (1, 2), (1, 2, 3)]]
+    tree = ngram_join.PrefixTree(sets)
+    for q in [*sets[:40], np.array([41, 42])]:
+        has = np.zeros(50, bool)
+        has[q] = True
         want = {(i, n) for i, s in enumerate(sets) if (n := len(np.intersect1d(q, s))) * 100 >= 60 * (len(q) + len(s) - n)}
-        assert set(ngram_join.block_links(q, list(enumerate(sets)), 60)) == want
+        assert set(tree.walk(has, 60)) == want
+
+
+def test_sketches_never_lose_a_link():
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    base = pick.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(n)][pick.random(int(n)) > cut], pick.integers(0, 1 << 63, int(n * cut)).astype(np.uint64)])) for n in (1, 5, 30, 40, 300, 350, 2500, 3000) for cut in (0.0, 0.02, 0.05, 0.1, 0.5)]
+    compare = ngram_join.Sketches(np.array([len(s) for s in sets]), [ngram_join.sketch(s, 80) for s in sets], 80)
+    told = 0
+    for i, a in enumerate(sets):
+        near = compare.compatible(np.full(len(sets), i), np.arange(len(sets)))
+        for j, b in enumerate(sets):
+            n = len(np.intersect1d(a, b))
+            link = 100 * n >= 80 * (len(a) + len(b) - n)
+            assert near[j] or not link
+            told += not near[j]
+    assert told > 800
+
+
+def test_ngram_join_in_chunks(spark):
+    """Hot cells and large blocks are split without any loss."""
+    pick = random.Random(5)
+    base = [f"w{pick.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(pick.randrange(0, 6)):
+            t[pick.randrange(len(t))] = f"e{i}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df).collect()}
+    assert 10 < len({x[2] for x in want}) < 140
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df, cell_rows=20, block=2000).collect()} == want
 
 
 # 9 personal data
