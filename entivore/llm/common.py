@@ -122,9 +122,9 @@ STAR_ROUNDS = 6
 MIN_YIELD = 20
 
 
-def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node and label for every id that a chain of links leads to another; cells (cell, id): ids that share a cell
-    are candidates, verify keeps the links of pairs (a, b, n), where n is how many cells they share, or null if not counted.
+def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int = 0) -> DataFrame:
+    """node and label for every id that a chain of links leads to another; cells (cell, id, size): ids that share a cell
+    and whose smaller size is at least so many percent of the larger are candidates, verify keeps the links of pairs (a, b).
 
     A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
     components, each id is compared with a few members only, new ones each round and twice as many, of the largest
@@ -149,14 +149,15 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
         last = rounds == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
         if last:
             rest = stored(here.join(heads.select("cell"), "cell"), "link-rest")
-            other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"))
-            pairs = rest.join(other, "cell").where("label < other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+            other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("size").alias("other_size"))
+            pairs = rest.join(other, "cell").where(F.col("label") < F.col("other_label")).where(100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         else:
             stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
             best = F.slice(F.sort_array(F.collect_list(F.struct("n", "head")), asc=False), 1, 2**k)
-            pairs = stars.groupBy("id").agg(best.alias("best")).select(F.explode("best.head").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("n"))
+            pairs = stars.groupBy("id").agg(best.alias("best")).select(F.explode("best.head").alias("a"), F.col("id").alias("b"))
         pairs = stored(pairs, "link-pairs")
         found = stored(verify(pairs), "links")
+        discard(heads)
         links = found if links is None else links.unionByName(found)
         if last or not found.isEmpty():
             labels = components(links)

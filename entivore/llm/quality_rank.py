@@ -116,10 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = MAX_LABELS, pai
     def measure(batches):
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("l_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("id"), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "id", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("text", F.col("quality").cast("int").alias("quality"), "l_id")
-    got = sorted(rows.mapInArrow(measure, "quality int, id long, x array<double>").collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("text", F.col("quality").cast("int").alias("quality"), F.col("l_id").cast("string").alias("id"))
+    # a doc_id may repeat in docs, so the bound holds for the joined rows as well
+    got = rows.mapInArrow(measure, "quality int, id string, x array<double>").orderBy(F.xxhash64("id"), "id", "quality", "x").limit(max_labels).collect()
     return fit_pairs(np.array([r.x for r in got]), np.array([r.quality == 1 for r in got], bool), pairs)
 
 

@@ -1,14 +1,15 @@
 """Token counts by a two-tier lookup of pre-token lengths, without shuffling pre-tokens.
 
-Tier one is a table of frequent pre-tokens and their lengths in tokens. Every map task
-counts all pre-tokens of its documents and passes on its TASK_TOP most frequent; their sums
-give the TABLE_SIZE first, at most some 2 MB, which are broadcast. The table decides about
-speed only: what it lacks is encoded by the library and kept in a bounded cache of the
-worker (tier two).
+Tier one is a compact table of frequent pre-tokens and their lengths in tokens. The driver
+makes it from a bounded sample (SAMPLE_DOCS documents, SAMPLE_CHARS characters of each, at
+most TABLE_SIZE pre-tokens) and broadcasts it: some 2 MB, whatever the size of the input.
+The table decides about speed only: what it lacks is encoded by the library and kept in a
+bounded cache of the worker (tier two). All texts are counted whole, where they are read.
 
-Pre-tokens are found here only in texts whose characters are all below U+0250, where the
-tokenizer's normalisation is lower-casing; other texts, and texts that hold a special string
-of the tokenizer, are encoded by the library as a whole.
+Pre-tokens are found here only if the tokenizer file names the normaliser and the pattern of
+NORMALIZER and PRE_TOKENIZER, and only in texts whose characters are all below U+0250, where
+that normalisation is lower-casing; other texts, texts that hold a special string of the
+tokenizer, and all texts under another tokenizer are encoded by the library as a whole.
 
 Cases: null text counts as empty and has no tokens. An empty table gives an empty result.
 Very long texts are counted whole. Repeated rows are counted each. Other columns are left
@@ -17,6 +18,7 @@ alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -28,10 +30,20 @@ from pyspark.sql import functions as F
 
 from entivore.llm.common import table
 
-TASK_TOP = 2_000
-TABLE_SIZE = 50_000
-#: Entries of a worker's counter and of its cache, beyond which rare ones are let go.
+SAMPLE_DOCS, SAMPLE_CHARS, TABLE_SIZE = 1_000, 10_000, 50_000
+#: Entries of a worker's cache, beyond which it starts anew.
 WORKER_ENTRIES = 200_000
+#: Texts in work at a time.
+SLICE = 512
+# What the tokenizer file must say for pre_tokens() to give its pre-tokens.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 TOP_CHAR = 0x250
 
 
@@ -70,34 +82,29 @@ def load(path: str):
     return tokenizer
 
 
-def specials(tokenizer) -> tuple[str, ...]:
+def specials(tokenizer) -> tuple[str, ...] | None:
+    """The tokenizer's special strings; None if its pre-tokens aren't those of pre_tokens()."""
+    spec = json.loads(tokenizer.to_str())
+    if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER:
+        return None
     return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
 
-def pre_tokens(text: str, special: tuple[str, ...]) -> list[str] | None:
+def pre_tokens(text: str, special: tuple[str, ...] | None) -> list[str] | None:
     """The text's pre-tokens; None if only the library can tell."""
-    if (not text.isascii() and _FAR.search(text)) or any(x in text for x in special):
+    if special is None or (not text.isascii() and _FAR.search(text)) or any(x in text for x in special):
         return None
     return _PRE.findall(text.lower())
 
 
-def frequent(docs: DataFrame, path: str, task_top: int = TASK_TOP, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of all documents."""
-
-    def top(batches):
-        special, seen = specials(load(path)), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(pre_tokens(text, special) or ())
-                if len(seen) > WORKER_ENTRIES:
-                    seen = Counter(dict(seen.most_common(WORKER_ENTRIES // 2)))
-        best = seen.most_common(task_top)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
-
-    rows = docs.select("text").mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
-    tokenizer = load(path)
-    return {r.word: len(tokenizer.encode(r.word, add_special_tokens=False).ids) for r in rows}
+def frequent(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of a bounded sample of the documents."""
+    tokenizer, seen = load(path), Counter()
+    special = specials(tokenizer)
+    for row in docs.select(F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text")).where("text != ''").take(sample_docs):
+        seen.update(pre_tokens(row.text, special) or ())
+    words = [w for w, _ in seen.most_common(table_size)]
+    return dict(zip(words, (len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, **options) -> DataFrame:
@@ -108,14 +115,16 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, **options) ->
     def count(batches):
         tokenizer = load(path)
         special, lengths = specials(tokenizer), Lengths(shared.value, tokenizer)
-        for batch in batches:
-            sizes, tokens = [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                words = pre_tokens(text, special)
-                sizes.append(len(text.encode()))
-                tokens.append(len(tokenizer.encode(text, add_special_tokens=False).ids) if words is None else sum(map(lengths.__getitem__, words)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                sizes, tokens = [], []
+                for text in batch.column("text").to_pylist():
+                    text = text or ""
+                    words = pre_tokens(text, special)
+                    sizes.append(len(text.encode()))
+                    tokens.append(len(tokenizer.encode(text, add_special_tokens=False).ids) if words is None else sum(map(lengths.__getitem__, words)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -77,7 +78,7 @@ def test_components(spark):
 
 def test_linked_large_cell(spark):
     """A cell of many ids in three groups: all links are found without all pairs."""
-    cells = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 90), (2, 3)], "cell long, id long")
+    cells = spark.createDataFrame([(1, i, 1) for i in range(90)] + [(2, 90, 1), (2, 3, 1)], "cell long, id long, size int")
     tried = []
 
     def verify(pairs):
@@ -141,6 +142,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 4
     parsed = [warc.parse_record(warc.record_bytes(bytes(r.header), r.frame and bytes(r.frame))) for r in records.collect()]
     assert {p["payload"] for p in parsed if p["payload"] is not None} == {k.encode() for k in best}
+    warc.write_warc(records, str(tmp_path / "files"))
+    whole = b"".join(gzip.open(f).read() for f in sorted((tmp_path / "files").glob("part-*.gz")))
+    found = []
+    while whole:
+        head, _, rest = whole.partition(b"\r\n\r\n")
+        n = int(re.search(rb"\r\nContent-Length: ([0-9]+)", head)[1])
+        found.append(warc.parse_record(head + b"\r\n\r\n" + rest[: n + 4]))
+        whole = rest[n + 4 :]
+    assert len(found) == len(pages) == len({x["WARC-Record-ID"] for x in found})
+    assert {x["WARC-Refers-To"] for x in found if "WARC-Refers-To" in x} <= {x["WARC-Record-ID"] for x in found}
+    named = df.withColumn("page_id", F.concat(F.lit("p-:/"), F.col("page_id").cast("string")))
+    warc.write_archive(named.union(named.where("page_id = 'p-:/1'")), str(tmp_path / "s"))
+    texts = [(r.page_id, r.record_type, r.refers_to) for r in warc.summary(warc.read_records(spark, str(tmp_path / "s")), "string").collect()]
+    assert len(texts) == 8 and texts.count(("p-:/1", "revisit", "p-:/2")) == 2 and (None, "revisit", "p-:/6") in texts
     warc.write_archive(df.limit(0), str(tmp_path / "e"))
     assert warc.summary(warc.read_records(spark, str(tmp_path / "e"))).count() == 0
 
