@@ -1,19 +1,22 @@
 """Quality rules: base limits, then divergence from the languages' usual histograms.
 
 Every document gets two histograms: its characters by class, and its words by the common
-words of the languages in COMMON, all other words being one more class. A language's
-reference is the sum of the histograms of all documents that name it; the MAX_LANGUAGES with
-most documents have their own, the rest share one. The distance to the nearest reference is
-the Jensen-Shannon distance (base 2, 0 to 1). Texts of at least MIN_CHARS characters fail
-beyond MAX_CLASS_DISTANCE, those of at least MIN_WORDS words beyond MAX_WORD_DISTANCE;
-shorter ones are too short to tell and are judged by the base limits only.
+words of the languages in LANGUAGES, all other words being one more class. The reference of a
+language in that table is the sum of the histograms of all other documents that name it (the
+judged row is taken away, so it can't make up its own reference), if there are MIN_SUPPORT of
+them at least. A document is compared with the reference of the language it names; one that
+names none, or one without a reference, with the nearest of all. The distance is the
+Jensen-Shannon distance (base 2, 0 to 1). Texts of at least MIN_CHARS characters fail beyond
+MAX_CLASS_DISTANCE, those of at least MIN_WORDS words beyond MAX_WORD_DISTANCE; shorter ones
+are too short to tell and are judged by the base limits only.
 
 All is built of Spark's own functions. Nothing is shuffled but sums per language; repeated
 three-word windows are found inside a row by sorting their hashes.
 
-Cases: null text counts as empty and fails the base limits. A null lang is a language of its
-own. Very long texts are read whole, in time n log n. Repeated rows are judged each. An
-empty table gives an empty result. Other columns are left alone.
+Cases: null text counts as empty and fails the base limits. A null lang has no reference of
+its own. Very long texts are read whole, in time n log n. Repeated rows are judged each, and
+are each other's references. An empty table gives an empty result, and without any reference
+the base limits alone decide. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,9 +28,15 @@ from entivore.llm.common import WORD, stored, table
 
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.26
-MAX_LANGUAGES = 32
-#: Common words of English, German, French and Spanish.
-COMMON = ("the", "of", "and", "to", "in", "that", "is", "der", "die", "und", "den", "von", "zu", "das", "de", "la", "le", "et", "les", "des", "en", "el", "que", "los", "y")
+MIN_SUPPORT = 20
+#: Common words by language.
+LANGUAGES = {
+    "en": ("the", "of", "and", "to", "in", "that", "is"),
+    "de": ("der", "die", "und", "den", "von", "zu", "das"),
+    "fr": ("de", "la", "le", "et", "les", "des"),
+    "es": ("en", "el", "que", "los", "y"),
+}
+COMMON = tuple(w for words in LANGUAGES.values() for w in words)
 #: Character classes in the order in which they are counted and taken away.
 CLASSES = (("lower", "[a-z]+"), ("blank", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", r"[#*$%&|<>]+"), ("mark", r"[\x21-\x7E]+"))
 
@@ -72,35 +81,44 @@ def _is(word: str):
     return lambda x: x == word
 
 
-def references(df: DataFrame) -> list[dict]:
-    """Sums of the histograms by language: at most MAX_LANGUAGES + 1 short rows."""
+def references(df: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
+    """Sums of the histograms chars and common for each language of LANGUAGES that has more than MIN_SUPPORT documents."""
     n_chars, n_common = len(CLASSES) + 1, len(COMMON) + 1
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    by_lang = stored(df.groupBy("lang").agg(F.count("*").alias("n"), *sums), "rules-languages")
-    rows = by_lang.orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(MAX_LANGUAGES).collect()
-    names = [r.lang for r in rows if r.lang is not None]
-    kept = F.coalesce(F.col("lang").isin(names), F.lit(False)) if names else F.lit(False)
-    kept = (kept | F.col("lang").isNull()) if any(r.lang is None for r in rows) else kept
-    rest = by_lang.where(~kept).agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for k, m in (("c", n_chars), ("w", n_common)) for i in range(m)]).collect()
-    out = [{"chars": [r[f"c{i}"] or 0 for i in range(n_chars)], "common": [r[f"w{i}"] or 0 for i in range(n_common)]} for r in [*rows, *rest]]
-    return [r for r in out if sum(r["chars"]) and sum(r["common"])]
+    rows = df.where(F.col("lang").isin(*LANGUAGES)).groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") > MIN_SUPPORT).collect()
+    return {r.lang: ([r[f"c{i}"] for i in range(n_chars)], [r[f"w{i}"] for i in range(n_common)]) for r in rows if r.w0 is not None}
 
 
-def _distance(hist: str, refs: list[list[int]]) -> Column:
-    """The Jensen-Shannon distance of the array hist to the nearest of refs."""
-    total = F.aggregate(hist, F.lit(0).cast("long"), lambda a, b: a + b)
-    shares = F.transform(hist, lambda x: x / total)
+def _total(hist) -> Column:
+    return F.aggregate(hist, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    def to(ref: list[int]) -> Column:
-        q = F.array(*[F.lit(x / sum(ref)) for x in ref])
 
-        def part(p, r):
+def _distance(hist: str, reference: Column) -> Column:
+    """The Jensen-Shannon distance of two histograms; null if one is empty."""
+    # totals are values of their own, made once
+    both = F.array(F.struct(F.col(hist).alias("x"), reference.alias("y"), _total(F.col(hist)).alias("n"), _total(reference).alias("m")))
+
+    def whole(b: Column) -> Column:
+        def term(x: Column, y: Column) -> Column:
+            p, r = x / b["n"], y / b["m"]
             return F.when(p > 0, p * F.log2(2 * p / (p + r))).otherwise(0.0) + F.when(r > 0, r * F.log2(2 * r / (p + r))).otherwise(0.0)
 
-        return F.aggregate(F.zip_with(shares, q, part), F.lit(0.0), lambda a, b: a + b)
+        sum_ = F.aggregate(F.zip_with(b["x"], b["y"], term), F.lit(0.0), lambda a, c: a + c)
+        return F.when((b["n"] > 0) & (b["m"] > 0), F.sqrt(F.greatest(sum_, F.lit(0.0)) / 2))
+
+    return F.transform(both, whole)[0]
+
 
-    each = [to(r) for r in refs]
-    return F.sqrt(F.greatest(F.least(*each) if len(each) > 1 else each[0], F.lit(0.0)) / 2)
+def _divergence(hist: str, refs: dict[str, list[int]]) -> Column:
+    """From the row's own language, less the row itself; without one, from the nearest."""
+    if not refs:
+        return F.lit(None).cast("double")
+    literal = {lang: F.array(*[F.lit(int(x)).cast("long") for x in ref]) for lang, ref in refs.items()}
+    own = F.create_map(*[x for lang, ref in literal.items() for x in (F.lit(lang), ref)])[F.col("lang")]
+    others = [_distance(hist, ref) for ref in literal.values()]
+    nearest = F.least(*others) if len(others) > 1 else others[0]
+    less = F.transform(F.array(own), lambda ref: F.zip_with(ref, F.col(hist), lambda a, b: a - b))[0]
+    return F.when(F.coalesce(F.col("lang").isin(*refs), F.lit(False)), _distance(hist, less)).otherwise(nearest)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -108,10 +126,8 @@ def judge(docs: DataFrame) -> DataFrame:
     word_distance for every row of docs (doc_id, text, lang). Distances are null where the text is too short."""
     df = stored(measured(docs), "rules-measured")
     refs = references(df)
-    none = F.lit(None).cast("double")
-    chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
-    df = df.withColumn("class_distance", F.when(chars >= MIN_CHARS, _distance("chars", [r["chars"] for r in refs])) if refs else none)
-    df = df.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, _distance("common", [r["common"] for r in refs])) if refs else none)
+    df = df.withColumn("class_distance", F.when(_total("chars") >= MIN_CHARS, _divergence("chars", {k: v[0] for k, v in refs.items()})))
+    df = df.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, _divergence("common", {k: v[1] for k, v in refs.items()})))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
