@@ -59,22 +59,25 @@ def claims(text: Column) -> Column:
     return F.transform(found, lambda c: F.regexp_replace(c, "[^0-9.]", "").try_cast("double") * scale(c))
 
 
-def result_type(text: Column) -> Column:
-    """What an answer looks like: empty, error, table, list, count or prose."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+def result_type(error: Column, matches: Column) -> Column:
+    """How an answer is shown: error if there is one, empty without matches, table if the first match has several columns,
+    prose if it has places in a text, count if it is the only one and a number, amount or percentage, else list.
+
+    matches: an array of struct<value, columns, places>: value as text, columns and places as their numbers."""
+    first = F.get(matches, F.lit(0))
     return (
-        F.when(t == "", "empty")
-        .when(F.lower(t).startswith("error"), "error")
-        .when(t.rlike(r"(?m)^\|.*\|\s*$"), "table")
-        .when(t.rlike(r"(?m)^(?:[-*]|[0-9]+\.)\s"), "list")
-        .when(t.rlike(r"^[$]?[0-9][0-9,.]*%?$"), "count")
-        .otherwise("prose")
+        F.when(error.isNotNull() & (error != ""), "error")
+        .when(F.coalesce(F.size(matches), F.lit(0)) < 1, "empty")
+        .when(first["columns"] > 1, "table")
+        .when(first["places"] > 0, "prose")
+        .when((F.size(matches) == 1) & F.trim(first["value"]).rlike(r"^\$?[0-9,]+\.?[0-9]*\s*[KMBkmb%]?$"), "count")
+        .otherwise("list")
     )
 
 
 def csv_safe(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
-    return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
+    return F.when(value.rlike(r"^[=+\-@|\t]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
 def plain_markdown(text: Column) -> Column:
@@ -82,3 +85,58 @@ def plain_markdown(text: Column) -> Column:
     for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]*)`", "$1")):
         text = F.regexp_replace(text, pattern, to)
     return text
+
+
+def ordered_trigrams(text: Column) -> Column:
+    """The trigrams of the words of text in the order in which they come, repeats included."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))
+
+
+def word_similarity(query: Column, text: Column) -> Column:
+    """The best similarity of query's trigrams with those of a contiguous part of text: for short labels, as its time
+    grows with the square of their length."""
+    values = F.array(F.struct(trigrams(query).alias("q"), ordered_trigrams(text).alias("t")))
+
+    def best(v: Column) -> Column:
+        n = F.size(v["t"])
+        part = lambda i, k: overlap(v["q"], F.array_distinct(F.slice(v["t"], i, k)))
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_max(F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: part(i, k))))
+        return F.when(n > 0, F.array_max(each)).otherwise(0.0)
+
+    return F.transform(values, best)[0]
+
+
+#: Words that a search leaves out (fixed values).
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+
+
+def search_terms(text: Column) -> Column:
+    """The distinct stems of the words of text that say something: lower case, common words left out, plural and verb
+    endings cut (-ies to -y, -sses to -ss, -ing, -ed, -es, -s). A plain stemmer, not the full English one."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    stem = lambda w: F.regexp_replace(F.regexp_replace(w, r"^(.{2,})ies$", "$1y"), r"^(.{2,}ss)es$|^(.{3,}?)(?:ing|ed|es)$|^(.{2,}[^s])s$", "$1$2$3")
+    return F.array_distinct(F.transform(words, stem))
+
+
+def matches_terms(document: Column, query: Column) -> Column:
+    """Whether a document's terms hold all of a query's, which must have some."""
+    return (F.size(query) > 0) & (F.size(F.array_except(query, document)) == 0)
+
+
+def band(value: Column, steps: tuple[tuple[float, str], ...], rest: str) -> Column:
+    """The name of the first step (downwards) that value reaches, or rest."""
+    out = F.lit(rest)
+    for least, name in reversed(steps):
+        out = F.when(value >= least, name).otherwise(out)
+    return out
+
+
+CONFIDENCE_BANDS = ((0.85, "high"), (0.6, "medium"))
+FILL_BANDS = ((0.8, "full"), (0.5, "half"), (0.3, "thin"))
+
+
+def cited_urls(text: Column) -> Column:
+    """The targets of markdown links, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[.*?\]\((https?://[^)]+)\)"), F.lit(1)))

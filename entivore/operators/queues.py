@@ -29,17 +29,48 @@ def states(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
 
 
 def stale_claims(events: DataFrame, ref_ts: str, seconds: int) -> DataFrame:
-    """job_id, last_seen of the jobs whose newest claim or heartbeat before ref_ts is older than seconds."""
+    """job_id, last_seen of the jobs that are claimed at ref_ts and whose newest claim or heartbeat is older than seconds."""
     ref = F.lit(ref_ts).cast("timestamp_ntz")
+    claimed = states(events.where(F.col("ts") < ref)).where("status = 'claimed'").select("job_id")
     seen = events.where(F.col("action").isin("claim", "heartbeat") & (F.col("ts") < ref)).groupBy("job_id").agg(F.max("ts").alias("last_seen"))
-    return seen.where(F.col("last_seen") < ref - F.make_dt_interval(secs=F.lit(seconds)))
+    return seen.where(F.col("last_seen") < ref - F.make_dt_interval(secs=F.lit(seconds))).join(claimed, "job_id", "left_semi")
+
+
+def claimable(events: DataFrame, now: str, kinds: DataFrame, n: int) -> DataFrame:
+    """The n jobs to claim next: pending, of a known kind (kinds: job_id, kind, priority, run_at), due at now; the highest
+    priority first, then the longest waiting."""
+    pending = states(events).where("status = 'pending'").select("job_id")
+    since = events.where("action = 'enqueue'").groupBy("job_id").agg(F.min("ts").alias("waiting_since"))
+    ready = since.join(pending, "job_id").join(kinds, "job_id").where(F.col("kind").isNotNull() & (F.col("run_at") <= F.lit(now).cast("timestamp_ntz")))
+    return ready.orderBy(F.desc("priority"), "waiting_since", "job_id").limit(n)
+
+
+def chunk_progress(done: DataFrame, totals: DataFrame) -> DataFrame:
+    """job_id, done, total, merges: parts done (job_id, chunk; repeats count once) against the totals; merges: whether the
+    last part is in, which happens once."""
+    n = done.select("job_id", "chunk").distinct().groupBy("job_id").agg(F.count("*").alias("done"))
+    return totals.join(n, "job_id", "left").select("job_id", F.coalesce("done", F.lit(0)).alias("done"), "total", (F.coalesce("done", F.lit(0)) == F.col("total")).alias("merges"))
+
+
+def still_cached(entries: DataFrame, changes: DataFrame, now: str, seconds: int) -> DataFrame:
+    """Cache entries (key, set_key, ts) that are not over their time at now and whose set has not changed since (set_key, ts)."""
+    last = changes.groupBy("set_key").agg(F.max("ts").alias("_changed"))
+    ref = F.lit(now).cast("timestamp_ntz")
+    return entries.join(last, "set_key", "left").where((F.col("ts") > ref - F.make_dt_interval(secs=F.lit(seconds))) & (F.col("_changed").isNull() | (F.col("_changed") < F.col("ts")))).drop("_changed")
+
+
+def idle_claims(events: DataFrame, now: str, seconds: int, n: int) -> DataFrame:
+    """The n claimed jobs that were seen longest ago, over seconds before now."""
+    return stale_claims(events, now, seconds).orderBy("last_seen", "job_id").limit(n)
 
 
 def fan_in(children: DataFrame) -> DataFrame:
-    """root, dead, done, total, final_status: failed if all children are dead, running if some are open, else done."""
+    """root, dead, done, total, final_status: failed if all children are dead, running if some are open, else done;
+    message says how many failed where some did."""
     g = children.groupBy("root").agg(F.count_if(F.col("status") == "dead").alias("dead"), F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
     status = F.when(F.col("dead") == F.col("total"), "failed").when(F.col("dead") + F.col("done") < F.col("total"), "running").otherwise("done")
-    return g.withColumn("final_status", status)
+    some = (F.col("final_status") == "done") & (F.col("dead") > 0)
+    return g.withColumn("final_status", status).withColumn("message", F.when(some, F.format_string("%d of %d pair(s) failed", "dead", "total")))
 
 
 def rate_windows(events: DataFrame, seconds: int, limit: int) -> DataFrame:

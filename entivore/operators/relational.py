@@ -60,9 +60,9 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def highlights(values: DataFrame) -> DataFrame:
     """values (attribute_id, entity_id, present, confidence) with is_best and is_worst: by (present, confidence), none
-    if an attribute has fewer than two values or all are equal."""
+    if an attribute has fewer than two values or all are equal. A confidence that is missing counts as 0."""
     w = Window.partitionBy("attribute_id")
-    at = F.struct("present", "confidence")
+    at = F.struct("present", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     best, worst = F.max(at).over(w), F.min(at).over(w)
     return values.select("attribute_id", "entity_id", "present", "confidence", (at.eqNullSafe(best) & ~best.eqNullSafe(worst)).alias("is_best"), (at.eqNullSafe(worst) & ~best.eqNullSafe(worst)).alias("is_worst"))
 
@@ -81,10 +81,10 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: str
     return fresh, counts
 
 
-def history(values: DataFrame, keys: Sequence[str], value: str, by: Sequence[str]) -> DataFrame:
-    """Every first value and change of value: keys, old, new, changed_at."""
+def history(values: DataFrame, keys: Sequence[str], value: str, by: Sequence[str], at: str = "created_at") -> DataFrame:
+    """Every first value and change of value, in the order of by: keys, old, new, changed_at (the column at)."""
     old = F.lag(value).over(Window.partitionBy(*keys).orderBy(*_order(by)))
-    return values.withColumn("old", old).where(~F.col("old").eqNullSafe(F.col(value))).select(*keys, "old", F.col(value).alias("new"), F.col("created_at").alias("changed_at"))
+    return values.withColumn("old", old).where(~F.col("old").eqNullSafe(F.col(value))).select(*keys, "old", F.col(value).alias("new"), F.col(at).alias("changed_at"))
 
 
 def transitions(rows: DataFrame, allowed: Sequence[tuple[str, str]]) -> DataFrame:
@@ -106,9 +106,11 @@ def ranked_percentiles(values: DataFrame, column: str, percents: Sequence[int])
     Places are found by counting equal values, so no list of all values is built."""
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     # the running count runs over distinct values by ranges: sums per range first, then within
-    total = counts.agg(F.sum("n").alias("count"), F.round(F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), 2).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    slot = F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("lo")) * 1024, F.col("hi") - F.col("lo"))), F.lit(0))
-    binned = counts.join(F.broadcast(total)).withColumn("slot", slot)
+    total = counts.agg(F.sum("n").alias("count"), F.round(F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), 2).alias("mean"))
+    # borders are quantiles, so that no range holds most values, however they lie
+    borders = counts.agg(F.percentile_approx(F.col("v").cast("double"), [i / 256 for i in range(1, 256)], 10000).alias("borders"))
+    slot = F.size(F.filter("borders", lambda b: b < F.col("v").cast("double")))
+    binned = counts.join(F.broadcast(total)).join(F.broadcast(borders)).withColumn("slot", slot)
     sums = binned.groupBy("slot").agg(F.sum("n").alias("m"))
     before = sums.select("slot", (F.sum("m").over(Window.orderBy("slot")) - F.col("m")).alias("before"))
     upto = binned.join(F.broadcast(before), "slot").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("slot").orderBy("v")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from entivore.plans import graphs, queues, scores, texts
+from entivore.plans import changes, clients, graphs, ingest, lists, passages, queues, scores, sheets, texts
 
-QUERIES = scores.QUERIES | graphs.QUERIES | texts.QUERIES | queues.QUERIES
-ORACLES = scores.ORACLES | graphs.ORACLES | texts.ORACLES | queues.ORACLES
+_PLANS = (scores, graphs, texts, queues, lists, changes, ingest, clients, passages, sheets)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

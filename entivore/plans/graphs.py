@@ -56,19 +56,26 @@ def q_deal_partners(spark, sf_dir):
     return G.partners(edges(spark, sf_dir))
 
 
+def _families(df):
+    """Supplies and offers are trade, recalls are of another family."""
+    return df.withColumn("family", F.when(F.col("predicate") == "recalled", "quality").otherwise("trade"))
+
+
 def q_kg_conflicts(spark, sf_dir):
-    return G.conflicts(edges(spark, sf_dir), ["created_at", "tie1", "tie2"]).where("status = 'conflict'").select("s", "o", "old_predicate", "predicate", "status")
+    return G.conflicts(_families(edges(spark, sf_dir)), ["created_at", "tie1", "tie2"]).where("status = 'conflict'").select("s", "o", "old_predicate", "predicate", "status")
 
 
 def _winners(spark, sf_dir):
-    """Parts of one name are one thing: the smallest key stays."""
+    """Parts of one name are one thing: the one with most edges stays, of those the oldest (smallest key)."""
     p = table(spark, sf_dir, "part").select(normal_key(F.col("p_name")).alias("key"), "p_partkey")
-    best = p.groupBy("key").agg(F.min("p_partkey").alias("best"))
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    p = p.join(n, "p_partkey", "left")
+    best = p.groupBy("key").agg(F.max_by("p_partkey", F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("p_partkey")).alias("k"))).alias("best"))
     return p.join(best, "key").where("p_partkey != best").select(F.concat(F.lit("part:"), "p_partkey").alias("loser"), F.concat(F.lit("part:"), "best").alias("winner"))
 
 
 def q_kg_merge(spark, sf_dir):
-    return G.merged(edges(spark, sf_dir), _winners(spark, sf_dir))
+    return G.merged(_families(edges(spark, sf_dir)), _winners(spark, sf_dir))
 
 
 def q_kg_dedup(spark, sf_dir):
@@ -98,7 +105,9 @@ def q_kg_top_edges(spark, sf_dir):
     return edges(spark, sf_dir).join(F.broadcast(names), "s", "left_semi").orderBy(F.desc("confidence"), "s", "o", "tie1", "tie2", "created_at").limit(50).select("s", "predicate", "o", "confidence")
 
 
-WINNERS = "p AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(trim(p_name))) AS best FROM part), win AS (SELECT 'part:' || p_partkey AS loser, 'part:' || best AS winner FROM p WHERE p_partkey != best)"
+WINNERS = """d AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT p_partkey, first_value(p_partkey) OVER (PARTITION BY lower(trim(p_name)) ORDER BY coalesce(n, 0) DESC, p_partkey) AS best FROM part LEFT JOIN d ON l_partkey = p_partkey),
+win AS (SELECT 'part:' || p_partkey AS loser, 'part:' || best AS winner FROM p WHERE p_partkey != best)"""
+FAMILY = "CASE WHEN predicate = 'recalled' THEN 'quality' ELSE 'trade' END"
 VERTICES = " UNION ALL ".join(f"SELECT '{t}:' || {k} AS id, {v} AS name, '{t}' AS type FROM {t}" for t, k, v in (("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name")))
 PROMOTED = "up AS (SELECT s AS name, sum(confidence::DECIMAL(4,2))::DOUBLE / count(*) AS a, count(DISTINCT session) AS sessions FROM e GROUP BY 1 HAVING sum(confidence::DECIMAL(4,2))::DOUBLE / count(*) >= 0.95 AND count(DISTINCT session) >= 2)"
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -111,12 +120,13 @@ ORACLES = {
     "q_kg_neighbors": f"""WITH RECURSIVE {LOCATED}, b AS (SELECT s AS node, o AS nxt FROM loc UNION SELECT o, s FROM loc),
 r(node, hop) AS (SELECT 'supplier:1', 0 UNION SELECT nxt, hop + 1 FROM r JOIN b USING (node) WHERE hop < 2), m AS (SELECT node, min(hop) AS hop FROM r GROUP BY 1)
 SELECT s, o, (least(a.hop, z.hop) + 1)::INT AS hop FROM (SELECT DISTINCT * FROM loc) LEFT JOIN m a ON a.node = s LEFT JOIN m z ON z.node = o WHERE a.hop IS NOT NULL OR z.hop IS NOT NULL""",
-    "q_kg_paths": f"""WITH RECURSIVE {EDGES}, {LOCATED}, x AS (SELECT DISTINCT s, o FROM e WHERE s IN ('supplier:0', 'supplier:1', 'supplier:2', 'supplier:3')), g AS (SELECT s, o FROM x UNION SELECT o, s FROM x UNION SELECT s, o FROM loc),
-r(node, hops, nodes) AS (SELECT o, 1, [s, o] FROM g WHERE s = 'supplier:1' UNION ALL SELECT g.o, hops + 1, list_append(nodes, g.o) FROM r JOIN g ON g.s = r.node WHERE hops < 4 AND r.node != 'region:0' AND NOT list_contains(nodes, g.o))
+    "q_kg_paths": f"""WITH RECURSIVE {EDGES}, {LOCATED}, x AS (SELECT DISTINCT s, o FROM e), g AS (SELECT s, o FROM x UNION SELECT o, s FROM x UNION SELECT s, o FROM loc),
+r(node, hops, nodes) AS (SELECT o, 1, [s, o] FROM g WHERE s = 'supplier:1' UNION ALL SELECT g.o, hops + 1, list_append(nodes, g.o) FROM r JOIN g ON g.s = r.node WHERE hops < 4 AND r.node != 'region:0' AND (hops < 2 OR starts_with(g.o, 'nation:') OR starts_with(g.o, 'region:')) AND NOT list_contains(nodes, g.o))
 SELECT hops, array_to_string(nodes, '>') AS path FROM r WHERE node = 'region:0' ORDER BY hops, path LIMIT 5""",
-    "q_deal_partners": f"WITH {EDGES}, d AS (SELECT DISTINCT s, o FROM e WHERE session = '1996-03') SELECT a.s AS person1, b.s AS person2, count(*) AS n_shared FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2",
-    "q_kg_conflicts": f"WITH {EDGES}, h AS (SELECT *, lag(predicate) OVER (PARTITION BY s, o ORDER BY created_at, tie1, tie2) AS old_predicate FROM e) SELECT s, o, old_predicate, predicate, 'conflict' AS status FROM h WHERE old_predicate != predicate",
-    "q_kg_merge": f"WITH {EDGES}, {WINNERS} SELECT DISTINCT s, predicate, coalesce(winner, o) AS o FROM e LEFT JOIN win ON loser = o",
+    "q_deal_partners": f"WITH {EDGES}, d AS (SELECT DISTINCT s, o FROM e) SELECT a.s AS person1, b.s AS person2, count(*) AS n_shared FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2",
+    "q_kg_conflicts": f"WITH {EDGES}, h AS (SELECT *, lag(predicate) OVER (PARTITION BY s, o, {FAMILY} ORDER BY created_at, tie1, tie2) AS old_predicate FROM e) SELECT s, o, old_predicate, predicate, 'conflict' AS status FROM h WHERE old_predicate != predicate",
+    "q_kg_merge": f"""WITH {EDGES}, {WINNERS}, x AS (SELECT DISTINCT coalesce(a.winner, s) AS s, predicate, {FAMILY} AS family, coalesce(b.winner, o) AS o, a.winner IS NULL AND b.winner IS NULL AS own FROM e LEFT JOIN win a ON a.loser = s LEFT JOIN win b ON b.loser = o)
+SELECT DISTINCT s, predicate, o FROM x WHERE s != o AND (own OR (s, o, family) NOT IN (SELECT (s, o, family) FROM x WHERE own))""",
     "q_kg_dedup": f"WITH {WINNERS} SELECT * FROM win",
     "q_kg_promotable": f"WITH {EDGES}, {PROMOTED} SELECT name, round(a, 6) AS avg_conf, sessions FROM up",
     "q_kg_promote_edges": f"WITH {EDGES}, {PROMOTED} SELECT DISTINCT s, predicate, o FROM e WHERE confidence >= 0.97 AND s IN (SELECT name FROM up) AND o IN (SELECT 'part:' || p_partkey FROM part WHERE p_size <= 25)",

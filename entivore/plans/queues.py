@@ -22,6 +22,44 @@ def q_queue_claim(spark, sf_dir):
     return since.join(pending, "job_id").orderBy("waiting_since", "job_id").limit(10)
 
 
+def q_queue_dequeue(spark, sf_dir):
+    """The next ten jobs: kinds and priorities by number, due on the half hour after they are enqueued."""
+    e = queue_events(spark, sf_dir)
+    at = e.where("action = 'enqueue'").groupBy("job_id").agg((F.min("ts") + F.expr("interval 30 minutes")).alias("run_at"))
+    kinds = at.select("job_id", "run_at", F.when(F.col("job_id") % 4 != 0, F.lit("known")).alias("kind"), F.pmod("job_id", F.lit(3)).alias("priority"))
+    return U.claimable(e, REF, kinds, 10).select("job_id", "priority", "waiting_since")
+
+
+def q_chunk_progress(spark, sf_dir):
+    """Orders as jobs: their lines that are finished are chunks done, of as many as they have lines."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk"), "l_linestatus")
+    totals = l.groupBy("job_id").agg(F.countDistinct("chunk").alias("total"))
+    return U.chunk_progress(l.where("l_linestatus = 'F'"), totals)
+
+
+def q_cache_live(spark, sf_dir):
+    """Views as cached results of a user: live for ten days unless the user bought something since."""
+    e = table(spark, sf_dir, "events").where(F.expr(f"ts < timestamp '{REF}'"))
+    entries = e.where("event_type = 'view'").select(F.col("event_id").alias("key"), F.col("user_id").alias("set_key"), "ts")
+    return U.still_cached(entries, e.where("event_type = 'purchase'").select(F.col("user_id").alias("set_key"), "ts"), REF, 864_000)
+
+
+def q_idle_claims(spark, sf_dir):
+    return U.idle_claims(queue_events(spark, sf_dir), REF, 300, 100)
+
+
+def q_viewers_now(spark, sf_dir):
+    """Who was seen within an hour before the reference time."""
+    e = queue_events(spark, sf_dir).where(F.expr(f"ts > timestamp '{REF}' - interval 1 hour AND ts <= timestamp '{REF}'"))
+    return e.groupBy("job_id").agg(F.max("ts").alias("last_seen"))
+
+
+def q_death_hooks(spark, sf_dir):
+    """Parents whose last open child died: they end now, failed if all are dead."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").otherwise("dead")
+    return U.fan_in(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), status.alias("status"))).where("dead > 0").select("root", "final_status", "message")
+
+
 def q_stale_reclaim(spark, sf_dir):
     return U.stale_claims(queue_events(spark, sf_dir), REF, 600)
 
@@ -48,16 +86,34 @@ def q_ring_buffer(spark, sf_dir):
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ACTIONS = "ev AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' END AS action FROM events)"
+
+
+def _states(condition: str = "true") -> str:
+    return f"""{ACTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM ev WHERE {condition}),
+r(job_id, i, status, attempts) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::VARCHAR, 0 FROM o UNION ALL
+  SELECT r.job_id, o.i, CASE WHEN action = 'enqueue' AND status IS NULL THEN 'pending' WHEN action = 'claim' AND status = 'pending' THEN 'claimed' WHEN action = 'finish' AND status = 'claimed' THEN 'done'
+    WHEN action = 'fail' AND status = 'claimed' THEN CASE WHEN attempts + 1 >= 3 THEN 'dead' ELSE 'pending' END ELSE status END, attempts + CASE WHEN action = 'fail' AND coalesce(status = 'claimed', false) THEN 1 ELSE 0 END
+  FROM r JOIN o ON o.job_id = r.job_id AND o.i = r.i + 1),
+st AS (SELECT r.job_id, status FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i)"""
+
+
+_STALE = f"SELECT job_id, max(ts) AS last_seen FROM ev WHERE action IN ('claim', 'heartbeat') AND ts < TIMESTAMP '{REF}' AND job_id IN (SELECT job_id FROM st WHERE status = 'claimed') GROUP BY 1 HAVING max(ts) < TIMESTAMP '{REF}' - INTERVAL"
 ORACLES = {
+    "q_queue_dequeue": f"WITH RECURSIVE {_states()}, w AS (SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' GROUP BY 1) SELECT job_id, job_id % 3 AS priority, waiting_since FROM w JOIN st USING (job_id) WHERE status = 'pending' AND job_id % 4 != 0 AND waiting_since + INTERVAL 30 MINUTES <= TIMESTAMP '{REF}' ORDER BY priority DESC, waiting_since, job_id LIMIT 10",
+    "q_chunk_progress": "WITH l AS (SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) FILTER (WHERE l_linestatus = 'F') AS done, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1) SELECT *, done = total AS merges FROM l",
+    "q_cache_live": f"WITH c AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '{REF}' GROUP BY 1) SELECT event_id AS key, e.user_id AS set_key, ts FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE event_type = 'view' AND ts < TIMESTAMP '{REF}' AND ts > TIMESTAMP '{REF}' - INTERVAL 864000 SECONDS AND (t IS NULL OR t < ts)",
+    "q_idle_claims": f"WITH RECURSIVE {_states(f"ts < TIMESTAMP '{REF}'")} {_STALE} 300 SECONDS ORDER BY last_seen, job_id LIMIT 100",
+    "q_viewers_now": f"WITH {ACTIONS} SELECT job_id, max(ts) AS last_seen FROM ev WHERE ts > TIMESTAMP '{REF}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{REF}' GROUP BY 1",
+    "q_death_hooks": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus != 'F') AS dead, count(*) AS total FROM orders GROUP BY 1) SELECT root, CASE WHEN dead = total THEN 'failed' ELSE 'done' END AS final_status, CASE WHEN dead < total THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g WHERE dead > 0",
     "q_queue_state": f"""WITH RECURSIVE {ACTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM ev),
 r(job_id, i, status, attempts) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::VARCHAR, 0 FROM o UNION ALL
   SELECT r.job_id, o.i, CASE WHEN action = 'enqueue' AND status IS NULL THEN 'pending' WHEN action = 'claim' AND status = 'pending' THEN 'claimed' WHEN action = 'finish' AND status = 'claimed' THEN 'done'
     WHEN action = 'fail' AND status = 'claimed' THEN CASE WHEN attempts + 1 >= 3 THEN 'dead' ELSE 'pending' END ELSE status END, attempts + CASE WHEN action = 'fail' AND coalesce(status = 'claimed', false) THEN 1 ELSE 0 END
   FROM r JOIN o ON o.job_id = r.job_id AND o.i = r.i + 1)
 SELECT r.job_id, coalesce(status, 'unknown') AS status, attempts FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i""",
-    "q_queue_claim": f"WITH {ACTIONS} SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
-    "q_stale_reclaim": f"WITH {ACTIONS} SELECT job_id, max(ts) AS last_seen FROM ev WHERE action IN ('claim', 'heartbeat') AND ts < TIMESTAMP '{REF}' GROUP BY 1 HAVING max(ts) < TIMESTAMP '{REF}' - INTERVAL 600 SECONDS",
-    "q_fanin_finalize": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus = 'P') AS dead, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY 1) SELECT *, CASE WHEN dead = total THEN 'failed' WHEN dead + done < total THEN 'running' ELSE 'done' END AS final_status FROM g",
+    "q_queue_claim": f"WITH RECURSIVE {_states()} SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' AND job_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
+    "q_stale_reclaim": f"WITH RECURSIVE {_states(f"ts < TIMESTAMP '{REF}'")} {_STALE} 600 SECONDS",
+    "q_fanin_finalize": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus = 'P') AS dead, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY 1) SELECT *, CASE WHEN dead = total THEN 'failed' WHEN dead + done < total THEN 'running' ELSE 'done' END AS final_status, CASE WHEN final_status = 'done' AND dead > 0 THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g",
     "q_rate_limit": f"WITH {ACTIONS} SELECT job_id, date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) > 2 AS limited FROM ev GROUP BY 1, 2",
     "q_presence": f"WITH {ACTIONS}, o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 3600 SECONDS THEN 1 ELSE 0 END AS op FROM ev WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)), s AS (SELECT *, sum(op) OVER (PARTITION BY job_id ORDER BY ts, seq) AS run FROM o) SELECT job_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY job_id, run",
     "q_ring_buffer": "WITH l AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000) SELECT count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM l",

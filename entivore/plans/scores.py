@@ -90,8 +90,9 @@ def q_score_trends(spark, sf_dir):
     cents = (F.col("weight") * 100).cast("long")
     per = r.groupBy("job", "entity_id").agg(F.sum(F.when(F.col("present"), cents).otherwise(0)).alias("part"), F.sum(cents).alias("whole"))
     per = per.select("job", "entity_id", F.expr("CASE WHEN whole != 0 THEN ((part * 20000 + whole) div (2 * whole)) / 10000.0D END").alias("score"))
-    w = Window.partitionBy("job")
-    per = per.withColumn("k", F.round(F.col("score") * 10000).cast("long")).withColumn("all", F.sum("k").over(w)).withColumn("n", F.count("k").over(w))
+    # summed and joined back, so that no task holds a whole job
+    per = per.withColumn("k", F.round(F.col("score") * 10000).cast("long"))
+    per = per.join(per.groupBy("job").agg(F.sum("k").alias("all"), F.count("k").alias("n")), "job")
     return per.select("job", "entity_id", "score", F.expr("((2 * all + n) div (2 * n)) / 10000.0D").alias("campaign_avg"))
 
 
@@ -233,7 +234,7 @@ def q_search_all(spark, sf_dir):
 
 
 def q_csv_sanitise(spark, sf_dir):
-    raw = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "")]), F.pmod(F.col("p_partkey"), F.lit(5)).cast("int") + 1), "p_name")
+    raw = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "|", "\t", "\r", "")]), F.pmod(F.col("p_partkey"), F.lit(8)).cast("int") + 1), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), csv_safe(raw).alias("safe"))
 
 
@@ -286,5 +287,5 @@ SELECT attribute_id, campaign_id, present, n AS n_present FROM per JOIN (SELECT
     "q_search_ilike": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%small%'",
     "q_search_page": "SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_name ILIKE '%ring%') AS total FROM part WHERE p_name ILIKE '%ring%' ORDER BY p_name, p_partkey LIMIT 10 OFFSET 20",
     "q_search_all": " UNION ALL ".join(f"(SELECT '{t}' AS category, {k}::BIGINT AS id, {v} AS label FROM {t} WHERE {v} ILIKE '%n%' ORDER BY id LIMIT 5)" for t, k, v in (("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name"))),
-    "q_csv_sanitise": "WITH r AS (SELECT p_partkey, ['=', '+', '-', '@', ''][p_partkey % 5 + 1] || p_name AS raw FROM part) SELECT p_partkey, raw, CASE WHEN regexp_matches(raw, '^[=+\\-@\\t\\r]') THEN '''' || raw ELSE raw END AS safe FROM r",
+    "q_csv_sanitise": "WITH r AS (SELECT p_partkey, ['=', '+', '-', '@', '|', chr(9), chr(13), ''][p_partkey % 8 + 1] || p_name AS raw FROM part) SELECT p_partkey, raw, CASE WHEN raw[1] IN ('=', '+', '-', '@', '|', chr(9)) THEN '''' || raw ELSE raw END AS safe FROM r",
 }

@@ -95,9 +95,21 @@ def q_session_cap(spark, sf_dir):
     return c.select("conv_id", "turn", F.greatest(F.lit(0), F.least(F.length("text"), 1000 - F.col("before"))).cast("long").alias("n_kept"))
 
 
+def q_claims_by_host(spark, sf_dir):
+    """Claims of each host's pages: they conflict if two pages or more make some, the least is above 0, and the greatest
+    is over a quarter more."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), "page_id", F.explode(F.filter(X.claims(F.col("html")), lambda c: c.isNotNull())).alias("claim"))
+    g = p.groupBy("host").agg(F.countDistinct("page_id").alias("sources"), F.count("*").alias("n"), F.min("claim").alias("low"), F.max("claim").alias("high"))
+    apart = (F.col("low") > 0) & ((F.col("high") - F.col("low")) / F.nullif(F.col("low"), F.lit(0.0)) > 0.25)
+    return g.withColumn("conflict", (F.col("sources") > 1) & (F.col("n") > 1) & F.coalesce(apart, F.lit(False)))
+
+
 def q_result_type(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.result_type(F.col("text")).alias("kind"))
-    return t
+    """Messages as answers: their lines are matches, an assistant's have places, a system's are errors."""
+    value = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("$"), F.col("conv_id").cast("string"), F.lit("K")))
+    lines = F.transform(F.filter(F.split(F.coalesce(value, "text", F.lit("")), "\n"), lambda x: x != ""), lambda x: F.struct(x.alias("value"), F.when(F.col("turn") % 5 == 1, 2).otherwise(1).alias("columns"), F.when(F.col("role") == "assistant", 1).otherwise(0).alias("places")))
+    error = F.when(F.col("role") == "system", "failed")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.result_type(error, lines).alias("kind"))
 
 
 def q_predicate_normalise(spark, sf_dir):
@@ -123,6 +135,8 @@ def _grams(column: str) -> str:
 
 
 SIM = "len(list_intersect(ga, gb))::DOUBLE / (len(ga) + len(gb) - len(list_intersect(ga, gb)))"
+_CLAIMS = r"""WITH f AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract_all(html, '\$[0-9][0-9,]*\.?[0-9]*[BMTKbmtk]?|[0-9]+\.?[0-9]*%') AS f FROM pages),
+v AS (SELECT page_id, host, list_transform(f, lambda c: try_cast(regexp_replace(c, '[^0-9.]', '', 'g') AS DOUBLE) * CASE upper(right(c, 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1.0 END) AS c FROM f)"""
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
     "q_trigram_pairs": f"WITH n AS (SELECT p_name, {_grams('p_name')} AS g FROM (SELECT DISTINCT p_name FROM part)), x AS (SELECT a.p_name AS a, b.p_name AS b, a.g AS ga, b.g AS gb FROM n a JOIN n b ON a.p_name < b.p_name) SELECT a, b, round({SIM}, 6) AS sim FROM x WHERE {SIM} >= 0.3",
@@ -132,15 +146,21 @@ ORACLES = {
 p AS (SELECT doc_id, CASE WHEN i > 1 THEN 7 WHEN n > 1 THEN 0 ELSE 1 END::INT AS page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM l)
 SELECT doc_id, page, count(*) AS pages, sum(length(t))::BIGINT AS chars FROM p WHERE t != '' GROUP BY 1, 2""",
     "q_fixed_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(((length(text) + 3999) // 4000)::BIGINT))::INT AS ix FROM documents WHERE text IS NOT NULL AND text != '') SELECT doc_id, ix, length(substr(text, ix * 4000 + 1, 4000))::INT AS n FROM c",
-    "q_md_table_roundtrip": """WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey)::INT AS row, * FROM part WHERE p_size <= 3)
+    "q_md_table_roundtrip": """WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey)::INT AS row, * FROM part)
 SELECT row, 'p_partkey' AS "column", p_partkey::VARCHAR AS value FROM r UNION ALL SELECT row, 'p_name', p_name || '|x' FROM r UNION ALL SELECT row, 'p_brand', p_brand FROM r""",
     "q_bm25_top5": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w != '') AS t FROM documents), n AS (SELECT count(*) AS n_docs, sum(len(t)) / count(*) AS avg_len FROM d),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')), '[\x20\x09-\x0D]+'), lambda w: w != '')) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w != '')) AS term FROM benchmark),
 h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg_len))), 6) AS score FROM q JOIN h USING (term) JOIN f USING (term) JOIN d USING (doc_id) CROSS JOIN n GROUP BY ALL)
 SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= 5""",
     "q_text_dedup": "SELECT sha256(lower(trim(coalesce(text, '')))) AS key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "q_claims_conflict": "WITH c AS (SELECT page_id, (page_id % 7 + 10) * 1e6 AS a, (page_id % 5 + 10) * 1e6 AS b FROM pages) SELECT page_id, least(a, b)::DOUBLE AS low, greatest(a, b)::DOUBLE AS high, (greatest(a, b) - least(a, b)) / least(a, b) > 0.25 AS conflict FROM c",
+    "q_claims_conflict": f"{_CLAIMS} SELECT page_id, list_min(c) AS low, list_max(c) AS high, (list_max(c) - list_min(c)) / nullif(list_min(c), 0) > 0.25 AS conflict FROM v",
+    "q_claims_by_host": f"{_CLAIMS}, x AS (SELECT host, page_id, unnest(list_filter(c, lambda y: y IS NOT NULL)) AS claim FROM v), g AS (SELECT host, count(DISTINCT page_id) AS sources, count(*) AS n, min(claim) AS low, max(claim) AS high FROM x GROUP BY 1) SELECT *, sources > 1 AND n > 1 AND low > 0 AND coalesce((high - low) / nullif(low, 0) > 0.25, false) AS conflict FROM g",
+    "q_result_type": r"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'error' WHEN turn % 3 != 0 AND replace(coalesce(text, ''), chr(10), '') = '' THEN 'empty' WHEN turn % 5 = 1 THEN 'table' WHEN role = 'assistant' THEN 'prose' WHEN turn % 3 = 0 THEN 'count'
+  WHEN regexp_matches(trim(text, chr(10)), '^[^\n]*$') AND regexp_matches(trim(trim(text, chr(10))), '^\$?[0-9,]+\.?[0-9]*\s*[KMBkmb%]?$') THEN 'count' ELSE 'list' END AS kind FROM conversations""",
+    "q_batch_greedy": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+r(doc_id, i, s, b) AS (SELECT doc_id, i, length(t), 0 FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN s > 0 AND s + length(t) > 1000 THEN length(t) ELSE s + length(t) END, CASE WHEN s > 0 AND s + length(t) > 1000 THEN b + 1 ELSE b END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+SELECT doc_id, max(b)::INT AS last_batch FROM r GROUP BY 1""",
     "q_history_trim": "WITH t AS (SELECT *, sum(floor(length(coalesce(text, '')) / 4) + 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations) SELECT conv_id, count(*) AS turns_kept, min(turn) AS first_turn FROM t WHERE used <= 200 GROUP BY 1",
     "q_session_cap": "WITH t AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) SELECT conv_id, turn, greatest(0, least(length(text), 1000 - before))::BIGINT AS n_kept FROM t",
     "q_predicate_normalise": """WITH e AS (SELECT event_id, ['Buys', 'purchased ', 'fan-of', 'sponsors', 'operates in'][event_id % 5 + 1] AS raw, round(event_id % 100 / 100, 2) AS confidence FROM events),
