@@ -57,7 +57,7 @@ def fallback(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """name, found, id, confidence by scores alone, those of the queue raised; confidence is capped."""
     score = F.when(F.col("source") == "queue", F.least(F.col("score") * QUEUE_FACTOR, F.lit(1.0))).otherwise(F.col("score"))
     c = candidates.groupBy("name").agg(_top(score).alias("top"))
-    out = names.select("name").distinct().join(c, "name", "left").withColumn("confidence", F.coalesce(F.least(F.col("top.score"), F.lit(FALLBACK_CAP)), F.lit(0.0)))
+    out = names.select("name").distinct().join(c, "name", "left").withColumn("confidence", F.when(F.col("top").isNull(), 0.0).otherwise(F.least(F.col("top.score"), F.lit(FALLBACK_CAP))))
     found = F.col("confidence") >= FALLBACK_LEAST
     return out.select("name", found.alias("found"), F.when(found, F.col("top.id")).alias("id"), "confidence")
 
