@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entivore.operators import listing as L
+from entivore.plans.queues import _states
+from entivore.plans.scores import LATEST
 from entivore.sources.tables import edges, table
 
 SORTS = {"label": "s_name", "balance": "s_acctbal", "nation": "s_nationkey"}
@@ -152,6 +154,87 @@ def q_messages_in_order(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("number"), F.lag("role").over(w).alias("after"))
 
 
+def q_dead_jobs(spark, sf_dir):
+    """The two hundred newest dead jobs, and what they are when they are tried again."""
+    from entivore.operators.queues import states
+    from entivore.sources.tables import queue_events
+
+    e = queue_events(spark, sf_dir)
+    dead = states(e).where("status = 'dead'").select("job_id", "attempts")
+    last = e.groupBy("job_id").agg(F.max("ts").alias("failed_at"))
+    out = dead.join(last, "job_id").orderBy(F.desc("failed_at"), "job_id").limit(200)
+    return out.select("job_id", "failed_at", "attempts", F.lit("pending").alias("retried_as"), F.lit(0).alias("retried_attempts"))
+
+
+def q_membership(spark, sf_dir):
+    """For each nation whether supplier 1 is a member, and whether it has any customers."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"))
+    own = table(spark, sf_dir, "supplier").where("s_suppkey = 1").select(F.col("s_nationkey").alias("team"))
+    others = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("team"))
+    return L.either_exists(n, "team", own, others).select("team", F.col("in_one").alias("is_member"), F.col("in_other").alias("has_customers"))
+
+
+def q_job_detail(spark, sf_dir):
+    """Lines of one month, with the suppliers and parts that are asked for."""
+    from entivore.sources.tables import results
+
+    return L.where_given(results(spark, sf_dir), job="1996-03", among={"entity_id": [1, 2, 3], "attribute_id": None}, present=True).select("entity_id", "attribute_id", "confidence", "tie1", "tie2")
+
+
+def q_activity(spark, sf_dir):
+    """The fifty newest events with who is behind them."""
+    e = table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(50)
+    return e.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left").select("event_id", "event_type", "c_name")
+
+
+def q_dashboard(spark, sf_dir):
+    """Counts of several tables in one row."""
+    o = table(spark, sf_dir, "orders").agg(F.count("*").alias("jobs"), F.countDistinct("o_custkey").alias("owners"), F.count_if(F.col("o_orderstatus") == "P").alias("running"))
+    e = table(spark, sf_dir, "events").where(F.expr(f"ts > {NOW} - interval 7 days AND ts <= {NOW}")).agg(F.count("*").alias("recent"), F.countDistinct(F.concat_ws(":", "user_id", "event_type")).alias("pairs"))
+    return o.crossJoin(e).crossJoin(table(spark, sf_dir, "supplier").agg(F.count("*").alias("entities")))
+
+
+def q_duplicate_groups(spark, sf_dir):
+    """Names that more than one part has."""
+    p = table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    return p.where("n > 1")
+
+
+def q_recent_entities(spark, sf_dir):
+    """The twenty suppliers with the newest edges."""
+    e = edges(spark, sf_dir).groupBy("s").agg(F.max("created_at").alias("seen"))
+    return e.orderBy(F.desc("seen"), "s").limit(20).select("s")
+
+
+def q_cached_or_research(spark, sf_dir):
+    """For each supplier and one of the first parts: the cached finding if it is young enough, else research is due."""
+    from entivore.plans.scores import latest
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"))
+    p = table(spark, sf_dir, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("attribute_id"))
+    pairs = s.crossJoin(F.broadcast(p))
+    young = latest(spark, sf_dir).where(F.expr("created_at > timestamp '1997-01-01 00:00:00'")).select("entity_id", "attribute_id", "present", "confidence")
+    out = pairs.join(young, ["entity_id", "attribute_id"], "left")
+    return out.select("entity_id", "attribute_id", "present", F.when(F.col("present").isNull(), "research").otherwise("cache").alias("source"))
+
+
+def q_weight_override(spark, sf_dir):
+    """The weight that counts for a part: its own, else its type's, else 1."""
+    p = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_type") == "PROMO", 2.0)
+    own = F.when(F.col("p_size") % 5 == 0, F.col("p_size").cast("double"))
+    return p.select("p_partkey", F.coalesce(own, kind, F.lit(1.0)).alias("weight"))
+
+
+def q_rankings(spark, sf_dir):
+    """Suppliers by the share of checked parts, then of those present, then by name; those over a least share only."""
+    from entivore.plans.scores import latest
+
+    g = latest(spark, sf_dir).groupBy(F.col("entity_id").alias("s_suppkey")).agg(F.count("*").alias("checked"), F.count_if("present").alias("present"))
+    out = g.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").where("present * 10 >= checked * 4")
+    return out.orderBy(F.desc("checked"), F.desc("present"), "s_name").limit(50).select("s_name", "checked", "present")
+
+
 EDGE = "e AS (SELECT 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS o, round(1 - l_discount, 2) AS confidence, l_orderkey AS tie1, l_linenumber AS tie2 FROM lineitem)"
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
@@ -176,5 +259,15 @@ ORACLES = {
     "q_role_order": "SELECT o_custkey, ['viewer', 'member', 'admin', 'owner'][(max(o_orderkey % 4) + 1)::INT] AS role FROM orders GROUP BY 1",
     "q_newest_runs": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5",
     "q_expired": f"SELECT user_id, max(ts) + INTERVAL 1 DAY < {NOW} AS expired, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last FROM events WHERE ts <= {NOW} GROUP BY 1",
+    "q_dead_jobs": f"WITH RECURSIVE {_states()} SELECT x.job_id, failed_at, x.attempts, 'pending' AS retried_as, 0::INT AS retried_attempts FROM (SELECT r.job_id, r.status, r.attempts FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i WHERE r.status = 'dead') x JOIN (SELECT job_id, max(ts) AS failed_at FROM ev GROUP BY 1) l USING (job_id) ORDER BY failed_at DESC, job_id LIMIT 200",
+    "q_membership": "SELECT n_nationkey AS team, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 1) AS is_member, n_nationkey IN (SELECT c_nationkey FROM customer) AS has_customers FROM nation",
+    "q_job_detail": "SELECT l_suppkey AS entity_id, l_partkey AS attribute_id, round(1 - l_discount, 2) AS confidence, l_orderkey AS tie1, l_linenumber AS tie2 FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') = '1996-03' AND l_suppkey IN (1, 2, 3) AND l_returnflag = 'N'",
+    "q_activity": "WITH e AS (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50) SELECT event_id, event_type, c_name FROM e LEFT JOIN customer ON c_custkey = user_id",
+    "q_dashboard": f"SELECT * FROM (SELECT count(*) AS jobs, count(DISTINCT o_custkey) AS owners, count(*) FILTER (WHERE o_orderstatus = 'P') AS running FROM orders), (SELECT count(*) AS recent, count(DISTINCT user_id || ':' || event_type) AS pairs FROM events WHERE ts > {NOW} - INTERVAL 7 DAYS AND ts <= {NOW}), (SELECT count(*) AS entities FROM supplier)",
+    "q_duplicate_groups": "SELECT lower(trim(p_name)) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1",
+    "q_recent_entities": "SELECT 'supplier:' || l_suppkey AS s FROM lineitem GROUP BY 1 ORDER BY max(l_shipdate) DESC, s LIMIT 20",
+    "q_cached_or_research": f"WITH {LATEST} SELECT s_suppkey AS entity_id, p_partkey AS attribute_id, present, CASE WHEN present IS NULL THEN 'research' ELSE 'cache' END AS source FROM supplier CROSS JOIN (SELECT p_partkey FROM part WHERE p_partkey < 5) LEFT JOIN (SELECT * FROM latest WHERE created_at > TIMESTAMP '1997-01-01 00:00:00') l ON entity_id = s_suppkey AND attribute_id = p_partkey",
+    "q_weight_override": "SELECT p_partkey, coalesce(CASE WHEN p_size % 5 = 0 THEN p_size::DOUBLE END, CASE WHEN p_type = 'PROMO' THEN 2.0::DOUBLE END, 1.0::DOUBLE) AS weight FROM part",
+    "q_rankings": f"WITH {LATEST} SELECT any_value(s_name) AS s_name, count(*) AS checked, count(*) FILTER (WHERE present) AS present FROM latest JOIN supplier ON s_suppkey = entity_id GROUP BY entity_id HAVING count(*) FILTER (WHERE present) * 10 >= count(*) * 4 ORDER BY checked DESC, present DESC, s_name LIMIT 50",
     "q_messages_in_order": "SELECT conv_id, turn, (row_number() OVER w)::INT AS number, lag(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 }
