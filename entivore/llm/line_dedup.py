@@ -43,18 +43,24 @@ BROADCAST_ROWS = 500_000
 
 def _hashes(line: Column) -> Column:
     """The sorted distinct hashes of the line's shingles."""
-    units = F.encode(line, "UTF-16BE")
-    n = (F.length(units) / 2).cast("int")
-    every = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE))))
-    return F.sort_array(F.array_distinct(F.when(n < SHINGLE, F.array(F.xxhash64(units))).otherwise(every)))
+
+    def made(units: Column) -> Column:
+        n = (F.length(units) / 2).cast("int")
+        every = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE))))
+        return F.when(n < SHINGLE, F.array(F.xxhash64(units))).otherwise(every)
+
+    # a lambda's argument is a value, made once
+    return F.sort_array(F.array_distinct(F.transform(F.array(F.encode(line, "UTF-16BE")), made)[0]))
 
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
     """A row per line of docs: the columns of keep, line_no from 0, and line (normalised; null where blank)."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
-    text = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
-    split = docs.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
+    held = docs.select(*keep, F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains("text", F.lit(blank))
+    held = held.withColumn("text", F.when(odd, F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("text")))
+    split = held.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     return split.select(*keep, "line_no", F.nullif(F.trim("raw"), F.lit("")).alias("line"))
 
 
@@ -83,7 +89,8 @@ def signed(lines: DataFrame, *keep: str) -> DataFrame:
     made = lines.select(*keep, *_keys("line"), _hashes(F.col("line")).alias("s"))
     made = made.select("*", F.size("s").alias("size"), F.concat("s", F.slice("s", 1, ROWS)).alias("more"), _among("s", BANDS).alias("among"), F.when(F.size("s") <= SHORT, _among("s", SHORT_BANDS)).alias("few"))
     bands = F.concat(_bands("among", "more", ROWS, BANDS), F.when(F.col("size") <= SHORT, _bands("few", "more", SHORT_ROWS, SHORT_BANDS)).otherwise(none))
-    return made.select(*keep, "k1", "k2", "size", bands.alias("bands"))
+    # a lambda keeps this step out of the generated code of the whole stage, which would be one method too large to be compiled
+    return made.select(*keep, "k1", "k2", "size", F.transform(bands, lambda h: h).alias("bands"))
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
