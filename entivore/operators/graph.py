@@ -57,8 +57,9 @@ def partners(edges: DataFrame) -> DataFrame:
 
 def conflicts(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Edges of one pair and family in the order of by, each against the one before: status new, duplicate or conflict
-    (another predicate of the family takes its place)."""
-    w = Window.partitionBy("s", "o", "family").orderBy(*by)
+    (another predicate of the family takes its place). Without a column family all predicates are of one."""
+    family = ["family"] if "family" in edges.columns else []
+    w = Window.partitionBy("s", "o", *family).orderBy(*by)
     old = F.lag("predicate").over(w)
     status = F.when(F.col("old_predicate").isNull(), "new").when(F.col("old_predicate") == F.col("predicate"), "duplicate").otherwise("conflict")
     return edges.withColumn("old_predicate", old).withColumn("status", status)
@@ -66,11 +67,12 @@ def conflicts(edges: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def merged(edges: DataFrame, winners: DataFrame) -> DataFrame:
     """Distinct edges with ends re-pointed by winners (loser, winner); loops go, and so do losers' edges where the winner
-    has one of its own of the same family to the same end."""
+    has one of its own of the same family (without that column: the same predicate) to the same end."""
     w = lambda end: winners.select(F.col("loser").alias(end), F.col("winner").alias(f"{end}_new"))
     out = edges.join(w("s"), "s", "left").join(w("o"), "o", "left")
     own = F.col("s_new").isNull() & F.col("o_new").isNull()
-    out = out.select(F.coalesce("s_new", "s").alias("s"), "predicate", "family", F.coalesce("o_new", "o").alias("o"), own.alias("own")).where("s != o").distinct()
+    family = F.col("family" if "family" in edges.columns else "predicate").alias("family")
+    out = out.select(F.coalesce("s_new", "s").alias("s"), "predicate", family, F.coalesce("o_new", "o").alias("o"), own.alias("own")).where("s != o").distinct()
     held = out.where("own").select("s", "o", "family", F.lit(True).alias("held")).distinct()
     kept = out.join(held, ["s", "o", "family"], "left").where(F.col("own") | F.col("held").isNull())
     return kept.select("s", "predicate", "o").distinct()

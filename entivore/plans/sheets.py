@@ -138,7 +138,7 @@ SELECT entity_id, count(*)::INT AS n, '{{' || string_agg('"' || k || '":"' || v
     "q_import_entities": "SELECT label, nullif(e, '') AS external_id FROM (SELECT p_name AS label, arg_min(CASE WHEN p_size > 10 THEN 'x' || p_size ELSE '' END, p_partkey) AS e FROM part WHERE p_partkey % 7 != 0 GROUP BY 1)",
     "q_import_cells": "WITH r AS (SELECT * FROM part WHERE p_partkey % 7 != 0) SELECT p_name AS label, 'brand' AS attribute, count(*) AS n, max(p_brand) AS last FROM r WHERE p_size % 2 = 0 GROUP BY 1 UNION ALL SELECT p_name, 'p_type', count(*), max(p_type) FROM r GROUP BY 1",
     "q_import_errors": "SELECT p_partkey + 2 AS row, p_type, CASE WHEN p_partkey % 7 = 0 AND p_type = 'PROMO' THEN 'Missing entity label; No promotions' WHEN p_partkey % 7 = 0 THEN 'Missing entity label' ELSE 'No promotions' END AS _error FROM part WHERE p_partkey % 7 = 0 OR p_type = 'PROMO'",
-    "q_job_report": "WITH r AS (SELECT l_orderkey, string_agg('## supplier ' || l_suppkey || ' — part ' || l_partkey || chr(10) || chr(10) || 'flag ' || l_returnflag, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, md5(t) AS digest, length(t)::INT AS chars FROM r",
+    "q_job_report": "WITH r AS (SELECT l_orderkey, string_agg('## supplier ' || l_suppkey || ' — part ' || l_partkey || chr(10) || chr(10) || 'flag ' || l_returnflag, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, '## supplier ' || l_suppkey || ' — part ' || l_partkey || chr(10) || chr(10) || 'flag ' || l_returnflag) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, md5(t) AS digest, length(t)::INT AS chars FROM r",
     "q_results_json": f"WITH {LATEST} SELECT entity_id, '{{\"entity_id\":' || entity_id || ',\"found\":' || count(*) FILTER (WHERE present) || ',\"missing\":' || count(*) FILTER (WHERE NOT present) || '}}' AS body FROM latest GROUP BY 1",
     "q_trend_series": f"""WITH {LATEST}, s AS (SELECT job AS date, entity_id, count(*) FILTER (WHERE present) / count(*) AS score FROM res WHERE entity_id BETWEEN 1 AND 20 GROUP BY 1, 2), w AS (SELECT date, sum(round(score * 10000)::BIGINT) / count(*) AS a FROM s GROUP BY 1)
 SELECT w.date, e.entity_id, round(score * 100, 2) AS percent, round(a / 100, 1) AS campaign FROM w CROSS JOIN (SELECT DISTINCT entity_id FROM s) e LEFT JOIN s ON s.date = w.date AND s.entity_id = e.entity_id""",
