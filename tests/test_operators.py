@@ -50,8 +50,8 @@ def test_staleness(spark):
 def test_trigrams_and_names(spark):
     assert round(value(spark, X.similarity(F.lit("word"), F.lit("two words"))), 6) == 0.363636
     assert value(spark, X.similarity(F.lit(""), F.lit(""))) == 0
-    names = ["Mr. John Smith", "Dr John Smith", "William Jones III", "Jane Doe Esq.", "  Alice   Johnson  ", ""]
-    assert [value(spark, X.plain_name(F.lit(n))) for n in names] == ["John Smith", "John Smith", "William Jones", "Jane Doe", "Alice Johnson", ""]
+    names = {"Prof. Ines Maro": "Ines Maro", "ms Tove Lind": "Tove Lind", "Otis Vane IV": "Otis Vane", "Kim Ode, PhD": "Kim Ode,", " Ro\t Abe ": "Ro Abe", "Drake Mrsic": "Drake Mrsic", "": ""}
+    assert [value(spark, X.plain_name(F.lit(n))) for n in names] == list(names.values())
 
 
 def test_similar_names_finds_all(spark):
@@ -63,9 +63,9 @@ def test_similar_names_finds_all(spark):
 
 
 def test_pages_and_batches(spark):
-    docs = spark.createDataFrame([(1, "[Page 1]\nHello world.\n[Page 2]\nGoodbye."), (2, "Preamble stuff.\n[Page 1]\nActual page."), (3, "plain"), (4, None), (5, "")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "[Page 3]\nred\n[Page 8]\nblue fox"), (2, "before\n[Page 1]\n  after  \n[Page 2]\n \n"), (3, "no mark [Page 4]"), (4, None), (5, "")], "doc_id int, text string")
     got = sorted((r.doc_id, r.page, r.text) for r in D.pages(docs).collect())
-    assert got == [(1, 1, "Hello world."), (1, 2, "Goodbye."), (2, 0, "Preamble stuff."), (2, 1, "Actual page."), (3, 1, "plain")]
+    assert got == [(1, 3, "red"), (1, 8, "blue fox"), (2, 0, "before"), (2, 1, "after"), (3, 1, "no mark [Page 4]")]
     sizes = lambda x: F.lit(x).cast("array<long>")
     assert value(spark, D.greedy_batches(sizes([4, 4, 4, 9, 1, 1]), 10)) == [0, 0, 1, 2, 2, 3]
     assert value(spark, D.greedy_batches(sizes([15]), 10)) == [0]
