@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives their rows, where SQL can."""
 
-from entivore.llm import exact_dedup, importance, licenses, line_dedup, mixing, ngram_join, packing, pii, quality_rank, quality_rules, token_count, warc
+from entivore.llm import exact_dedup, importance, licenses, line_dedup, mixing, ngram_join, packing, pii, quality_rank, quality_rules, spelling, token_count, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_license_scan": licenses.op11_license_scan,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_importance": importance.op13_importance,
 }
 ORACLES = {
@@ -21,5 +22,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
     "op11_license_scan": licenses.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_importance": importance.ORACLE,
 }
