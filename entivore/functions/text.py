@@ -108,23 +108,6 @@ def word_similarity(query: Column, text: Column) -> Column:
     return F.transform(values, best)[0]
 
 
-#: Words that a search leaves out (fixed values).
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
-
-
-def search_terms(text: Column) -> Column:
-    """The distinct stems of the words of text that say something: lower case, common words left out, plural and verb
-    endings cut (-ies to -y, -sses to -ss, -ing, -ed, -es, -s). A plain stemmer, not the full English one."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    stem = lambda w: F.regexp_replace(F.regexp_replace(w, r"^(.{2,})ies$", "$1y"), r"^(.{2,}ss)es$|^(.{3,}?)(?:ing|ed|es)$|^(.{2,}[^s])s$", "$1$2$3")
-    return F.array_distinct(F.transform(words, stem))
-
-
-def matches_terms(document: Column, query: Column) -> Column:
-    """Whether a document's terms hold all of a query's, which must have some."""
-    return (F.size(query) > 0) & (F.size(F.array_except(query, document)) == 0)
-
-
 def band(value: Column, steps: tuple[tuple[float, str], ...], rest: str) -> Column:
     """The name of the first step (downwards) that value reaches, or rest."""
     out = F.lit(rest)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entivore.functions.text import plain_name, word_similarity
-from entivore.operators.matching import similar_names
+from entivore.functions.text import plain_name
 from entivore.operators.relational import first_per_key
+from entivore.operators.trigrams import similar, word_similar
 
 #: Least scores and gaps (fixed values).
 FUZZY_FAST, QUEUE_FAST, MOST_SURE, LEAST_SURE, GAP, SURE = 0.85, 0.75, 0.95, 0.70, 0.15, 0.85
@@ -18,21 +18,18 @@ def fuzzy_candidates(names: DataFrame, directory: DataFrame, threshold: float =
     """name, source, id, label, score: the k best labels (id, label) by trigram similarity for each name."""
     clean = names.select("name", F.lower(plain_name(F.col("name"))).alias("a")).where("a != ''").distinct()
     labels = directory.select("id", "label", F.lower(F.col("label")).alias("b"))
-    found = similar_names(clean.select("a"), labels.select("b"), threshold).join(labels, "b").join(clean, "a")
+    found = similar(clean.select("a"), labels.select("b"), threshold).join(labels, "b").join(clean, "a")
     best = first_per_key(found.select("name", "id", "label", F.col("sim").alias("score")), ["name"], ["score desc", "id"], k)
     return best.select("name", F.lit("directory").alias("source"), "id", "label", "score")
 
 
 def queue_candidates(names: DataFrame, queue: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
-    """The same by word similarity to the labels of queue. Names and labels meet by a shared trigram at a word's start."""
-    from entivore.functions.text import ordered_trigrams
-
+    """The same by word similarity to the labels of queue."""
     clean = names.select("name", F.lower(plain_name(F.col("name"))).alias("a")).where("a != ''").distinct()
-    starts = lambda x: F.explode(F.array_distinct(F.filter(ordered_trigrams(x), lambda g: F.startswith(g, F.lit("  ")) | F.endswith(g, F.lit(" ")) | F.startswith(g, F.lit(" ")))))
-    left, right = clean.select("name", "a", starts(F.col("a")).alias("g")), queue.select("id", "label", starts(F.lower(F.col("label"))).alias("g"))
-    pairs = left.join(right, "g").select("name", "a", "id", "label").distinct()
-    scored = pairs.withColumn("score", word_similarity(F.col("a"), F.col("label"))).where(F.col("score") >= threshold)
-    return first_per_key(scored, ["name"], ["score desc", "id"], k).select("name", F.lit("queue").alias("source"), "id", "label", "score")
+    labels = queue.select("id", "label", F.lower(F.col("label")).alias("b"))
+    found = word_similar(clean.select("a"), labels.select("b"), threshold).join(labels, "b").join(clean, "a")
+    best = first_per_key(found.select("name", "id", "label", F.col("sim").alias("score")), ["name"], ["score desc", "id"], k)
+    return best.select("name", F.lit("queue").alias("source"), "id", "label", "score")
 
 
 def best_per_id(candidates: DataFrame) -> DataFrame:

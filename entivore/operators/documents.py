@@ -69,27 +69,6 @@ def table_cells(tables: DataFrame) -> DataFrame:
     return out.where("value != ''")
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, top: int = 5) -> DataFrame:
-    """item_id, doc_id, score (6 places), rank of the best passages for each query (item_id, query).
-
-    Only terms of queries are kept of the documents, so what is shuffled grows with the matches."""
-    size = docs.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len"))
-    whole = size.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
-    asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    hits = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    known = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(hits, "term").join(known, "term").join(size, "doc_id").join(F.broadcast(whole))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    total = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= top)
-
-
 def recent_turns(turns: DataFrame, budget: int) -> DataFrame:
     """The newest turns of each conversation (conv_id, turn, text) whose sizes, of characters / 4 + 4, fit the budget."""
     cost = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4) + 4

@@ -5,25 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entivore.functions.text import overlap, plain_name, trigrams
-
-
-def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """a, b, sim of the pairs of names (left.a, right.b) with a trigram similarity of threshold or more.
-
-    Names meet by a shared trigram among the rarest that a match can't do without (prefix filter), never by a cross join."""
-    named = left.select("a").distinct().select("a", trigrams(F.col("a")).alias("ga"))
-    other = right.select("b").distinct().select("b", trigrams(F.col("b")).alias("gb"))
-    grams = named.select(F.explode("ga").alias("g")).unionAll(other.select(F.explode("gb").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
-
-    def prefix(df: DataFrame, name: str, column: str) -> DataFrame:
-        ranked = df.select(name, F.size(column).alias("size"), F.explode(column).alias("g")).join(grams, "g").groupBy(name, "size").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("all"))
-        least = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
-        return ranked.select(name, F.explode(F.slice("all", F.lit(1), F.col("size") - F.greatest(least, F.lit(1)) + 1)).alias("x")).select(name, F.col("x.g").alias("g"))
-
-    pairs = prefix(named, "a", "ga").join(prefix(other, "b", "gb"), "g").select("a", "b").distinct()
-    scored = pairs.join(named, "a").join(other, "b").select("a", "b", overlap(F.col("ga"), F.col("gb")).alias("sim"))
-    return scored.where(F.col("sim") >= threshold)
+from entivore.functions.text import plain_name
+from entivore.operators.trigrams import similar
 
 
 def resolve(names: DataFrame, directory: DataFrame) -> DataFrame:
@@ -33,7 +16,7 @@ def resolve(names: DataFrame, directory: DataFrame) -> DataFrame:
     below 0.85 are ambiguous; below 0.7 there is no match. Confidence is at most 0.95."""
     clean = names.select("name", F.lower(plain_name(F.col("name"))).alias("a")).where("a != ''")
     labels = directory.select("id", F.lower(plain_name(F.col("label"))).alias("b"))
-    found = similar_names(clean.select("a"), labels.select("b"), 0.3).join(labels, "b").groupBy("a", "id").agg(F.max("sim").alias("sim"))
+    found = similar(clean.select("a"), labels.select("b"), 0.3).join(labels, "b").groupBy("a", "id").agg(F.max("sim").alias("sim"))
     best = found.groupBy("a").agg(F.max_by("id", F.struct("sim", (-F.col("id")).alias("first"))).alias("id"), F.max("sim").alias("best"), F.count("*").alias("candidates"))
     second = found.join(best.select("a", F.col("id").alias("top")), "a").where("id != top").groupBy("a").agg(F.max("sim").alias("second"))
     out = clean.join(best, "a", "left").join(second, "a", "left")

@@ -150,28 +150,3 @@ def overriding(*frames: DataFrame, key: str) -> DataFrame:
         every = every.unionByName(df)
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_place")))
     return every.withColumn("_last", last).where("_last = 1").drop("_last", "_place")
-
-
-def word_diff(pairs: DataFrame) -> DataFrame:
-    """pairs (id, old, new) as id, ix, kind (same, add, remove), text: runs of words of a longest common subsequence;
-    by lines where both texts have more than 10,000 words together."""
-    from difflib import SequenceMatcher
-
-    def parts(a: str, b: str) -> Iterator[tuple[str, str]]:
-        by = " " if len(a.split()) + len(b.split()) <= 10_000 else "\n"
-        x, y = (t.split() if by == " " else t.split("\n") for t in (a, b))
-        for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag == "equal":
-                yield "same", by.join(x[i:j])
-                continue
-            if j > i:
-                yield "remove", by.join(x[i:j])
-            if m > k:
-                yield "add", by.join(y[k:m])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, kind, text) for d, old, new in zip(b["id"], b["old"], b["new"], strict=True) for i, (kind, text) in enumerate(parts(old or "", new or ""))]
-            yield pd.DataFrame(rows, columns=["id", "ix", "kind", "text"])
-
-    return pairs.select("id", "old", "new").mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, ix int, kind string, text string")

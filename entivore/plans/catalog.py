@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from entivore.plans import changes, clients, graphs, ingest, lists, passages, queues, scores, sheets, texts
+from entivore.plans import changes, clients, graphs, ingest, lists, passages, queues, scores, searches, sheets, texts
 
-_PLANS = (scores, graphs, texts, queues, lists, changes, ingest, clients, passages, sheets)
+_PLANS = (scores, graphs, texts, queues, lists, changes, ingest, clients, passages, searches, sheets)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -39,7 +39,8 @@ def q_fuzzy_candidates(spark, sf_dir):
 
 
 def q_client_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.round(F.max("score"), 6).alias("best"))
+    """The ten best candidates of each name in either source, the best one of each id."""
+    return _candidates(spark, sf_dir).select("name", "source", "id", "label", F.round("score", 6).alias("score"))
 
 
 def q_client_fast_path(spark, sf_dir):
@@ -101,6 +102,12 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
     "q_word_similarity": f"""WITH l AS (SELECT p_name || ' ' || lower(p_type) AS label, min(p_partkey) AS id FROM part GROUP BY 1), t AS (SELECT id, {_ORDERED} AS t, {_grams("'small bolt'")} AS ga FROM l),
 e AS (SELECT id, ga, list_distinct(t[i:j]) AS gb FROM (SELECT id, ga, t, unnest(range(1, len(t) + 1)) AS i FROM t) q1, LATERAL (SELECT unnest(range(q1.i, len(q1.t) + 1)) AS j) q2) SELECT id, round(max({SIM}), 6) AS sim FROM e GROUP BY 1""",
+    # a part that is similar enough holds 60 % of the name's trigrams; labels that don't are left out before parts are made
+    "q_client_candidates": rf"""WITH {_fuzzy(0.3)}, l AS (SELECT p_name || ' ' || lower(p_type) AS label, min(p_partkey) AS id FROM part GROUP BY 1), lt AS (SELECT label, id, {_ORDERED} AS t FROM l),
+y AS (SELECT name, a, id, label, ga, list_filter(range(len(t)), lambda i: list_contains(ga, t[i + 1])) AS h, t FROM (SELECT name, a, {_grams('a')} AS ga FROM n), lt WHERE len(list_intersect(ga, list_distinct(t))) >= 0.6 * len(ga) - 1e-9),
+e AS (SELECT name, id, label, ga, list_distinct(t[i + 1 : j + 1]) AS gb FROM (SELECT name, id, label, ga, t, h, unnest(h) AS i FROM y) q1, LATERAL (SELECT unnest(q1.h) AS j) q2 WHERE j >= i),
+w AS (SELECT name, id, label, max({SIM}) AS score FROM e GROUP BY 1, 2, 3 HAVING score >= 0.6 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, id) <= 10)
+SELECT name, 'directory' AS source, id, b AS label, round(score, 6) AS score FROM c JOIN dir USING (id) UNION ALL SELECT name, 'queue', id, label, round(score, 6) FROM w""",
     "q_fuzzy_candidates": f"WITH {_fuzzy(0.3)} SELECT name, id, round(score, 6) AS score FROM c",
     "q_client_fast_path": f"WITH {_fuzzy(0.8)} SELECT name, min(id) AS id, 'directory' AS source, round(least(max(score), 0.95), 6) AS confidence FROM c WHERE company IS NULL GROUP BY name HAVING count(DISTINCT id) = 1 AND max(score) >= 0.85",
     "q_client_fallback": f"WITH {_fuzzy(0.3)}, b AS (SELECT name, arg_max(id, (score, -id)) AS id, least(max(score), 0.6) AS confidence FROM c GROUP BY 1) SELECT n.name, coalesce(confidence, 0.0) >= 0.4 AS found, CASE WHEN confidence >= 0.4 THEN id END AS id, round(coalesce(confidence, 0.0), 6) AS confidence FROM (SELECT DISTINCT name FROM n) n LEFT JOIN b USING (name)",

@@ -118,12 +118,6 @@ def q_rank_by_degree(spark, sf_dir):
     return j.select("s", "o", rank.alias("rank"), "confidence", "tie1", "tie2").orderBy(F.desc("rank"), F.desc("confidence"), "s", "o", "tie1", "tie2").limit(100)
 
 
-def q_hits_first(spark, sf_dir):
-    """Parts by whether their name begins with a word, then by name."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.startswith("p_name", F.lit("small")).alias("hit"))
-    return p.orderBy(F.desc("hit"), "p_name", "p_partkey").limit(20)
-
-
 def q_role_order(spark, sf_dir):
     """The highest role of each customer among its orders: viewer < member < admin < owner."""
     roles = ("viewer", "member", "admin", "owner")
@@ -255,7 +249,6 @@ ORACLES = {
     "q_last_days": f"SELECT event_type, count(*) AS n, count(DISTINCT user_id || ':' || event_type) AS pairs FROM events WHERE ts > {NOW} - INTERVAL 7 DAYS AND ts <= {NOW} GROUP BY 1",
     "q_users_once": "SELECT o_custkey, min(o_orderpriority) AS first_priority FROM orders GROUP BY 1",
     "q_rank_by_degree": f"WITH {EDGE}, d AS (SELECT n, count(*) AS d FROM (SELECT s AS n FROM e UNION ALL SELECT o FROM e) GROUP BY 1) SELECT s, o, greatest(a.d, b.d) AS rank, confidence, tie1, tie2 FROM e JOIN d a ON a.n = s JOIN d b ON b.n = o ORDER BY rank DESC, confidence DESC, s, o, tie1, tie2 LIMIT 100",
-    "q_hits_first": "SELECT p_partkey, p_name, starts_with(p_name, 'small') AS hit FROM part ORDER BY hit DESC, p_name, p_partkey LIMIT 20",
     "q_role_order": "SELECT o_custkey, ['viewer', 'member', 'admin', 'owner'][(max(o_orderkey % 4) + 1)::INT] AS role FROM orders GROUP BY 1",
     "q_newest_runs": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5",
     "q_expired": f"SELECT user_id, max(ts) + INTERVAL 1 DAY < {NOW} AS expired, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last FROM events WHERE ts <= {NOW} GROUP BY 1",

@@ -126,22 +126,6 @@ def q_set_difference(spark, sf_dir):
     return p.where("p_size > 48").select("p_brand", "p_type").subtract(p.where("p_size < 20").select("p_brand", "p_type"))
 
 
-def q_word_diff(spark, sf_dir):
-    """Each message of a conversation against the one before: runs that are the same, added and removed."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
-    return P.word_diff(c)
-
-
-def q_text_search(spark, sf_dir):
-    """Documents that hold all terms of a query, those that say it word for word first."""
-    asked = "the thing and that"
-    t = _docs(spark, sf_dir).where(X.matches_terms(X.search_terms(F.col("text")), X.search_terms(F.lit("thea thend"))))
-    return t.select("doc_id", F.contains(F.lower("text"), F.lit(asked)).alias("exact"))
-
-
 def q_cited_urls(spark, sf_dir):
     """Pages as answers that cite their own address and another: which are unknown, and whether to warn."""
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("[a]("), "url", F.lit(") [b](http://other.example/"), F.col("page_id").cast("string"), F.lit(")")).alias("text"), "url")
@@ -181,7 +165,6 @@ def q_session_costs(spark, sf_dir):
 
 
 TAB = "t AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE WHEN l_partkey % 5 != 0 THEN l_partkey::VARCHAR ELSE '' END AS part, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || CASE WHEN l_partkey % 5 != 0 THEN l_partkey::VARCHAR ELSE '' END || ' | ' || l_returnflag || ' |')::INT AS row FROM lineitem)"
-_STEM = r"regexp_replace(regexp_replace(w, '^(.{2,})ies$', '\1y'), '^(.{2,}ss)es$|^(.{3,}?)(?:ing|ed|es)$|^(.{2,}[^s])s$', '\1\2\3')"
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
     "q_sheets_split": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
@@ -203,8 +186,6 @@ SELECT doc_id, batch::INT AS batch, min(page)::INT AS first_page, count(*)::INT
     "q_union_teams": "WITH p AS (SELECT p_name, (p_size % 3)::INT AS team, min(p_partkey) AS id FROM part GROUP BY 1, 2) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY team DESC) = 1",
     "q_live_over_final": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'live' ELSE 'final' END AS kind, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "q_set_difference": "SELECT p_brand, p_type FROM part WHERE p_size > 48 EXCEPT SELECT p_brand, p_type FROM part WHERE p_size < 20",
-    "q_text_search": rf"""WITH d AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w != '' AND w NOT IN {X.STOP_WORDS}), lambda w: {_STEM}) AS t FROM documents)
-SELECT doc_id, contains(lower(text), 'the thing and that') AS exact FROM d WHERE list_has_all(t, ['thea', 'thend'])""",
     "q_cited_urls": "SELECT page_id, CASE WHEN url = 'http://other.example/' || page_id THEN 1 ELSE 2 END::INT AS cited, CASE WHEN url = 'http://other.example/' || page_id THEN '' ELSE 'http://other.example/' || page_id END AS unknown, url != 'http://other.example/' || page_id AS warn FROM pages",
     "q_bands": "WITH c AS (SELECT round(1 - l_discount * 5, 2) AS c FROM lineitem) SELECT CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN c >= 0.8 THEN 'full' WHEN c >= 0.5 THEN 'half' WHEN c >= 0.3 THEN 'thin' ELSE 'empty' END AS fill, count(*) AS n FROM c GROUP BY 1, 2",
     "q_cache_keys": "SELECT p_partkey, md5(lower(trim(p_name))) AS key FROM part",

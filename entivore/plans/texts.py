@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from entivore.functions import text as X
 from entivore.operators import documents as D
 from entivore.operators import matching as M
+from entivore.operators import trigrams as T
 from entivore.sources.tables import table
 
 #: Predicate families with the least confidence that keeps an edge (fixed values), and spellings of the predicates.
@@ -22,7 +23,7 @@ def _part_names(spark, sf_dir):
 
 def q_trigram_pairs(spark, sf_dir):
     n = _part_names(spark, sf_dir)
-    found = M.similar_names(n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b")), 0.3)
+    found = T.similar(n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b")), 0.3)
     return found.where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -66,11 +67,6 @@ def q_md_table_roundtrip(spark, sf_dir):
     return cells.join(D.page_starts(part, "page"), "page").select((F.col("row") + F.col("before")).cast("int").alias("row"), "column", "value")
 
 
-def q_bm25_top5(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return D.bm25(table(spark, sf_dir, "documents"), asked)
-
-
 def q_text_dedup(spark, sf_dir):
     """Which document of each text stays: the first."""
     key = F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256)
@@ -148,11 +144,6 @@ SELECT doc_id, page, count(*) AS pages, sum(length(t))::BIGINT AS chars FROM p W
     "q_fixed_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(((length(text) + 3999) // 4000)::BIGINT))::INT AS ix FROM documents WHERE text IS NOT NULL AND text != '') SELECT doc_id, ix, length(substr(text, ix * 4000 + 1, 4000))::INT AS n FROM c",
     "q_md_table_roundtrip": """WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey)::INT AS row, * FROM part)
 SELECT row, 'p_partkey' AS "column", p_partkey::VARCHAR AS value FROM r UNION ALL SELECT row, 'p_name', p_name || '|x' FROM r UNION ALL SELECT row, 'p_brand', p_brand FROM r""",
-    "q_bm25_top5": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w != '') AS t FROM documents), n AS (SELECT count(*) AS n_docs, sum(len(t)) / count(*) AS avg_len FROM d),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w != '')) AS term FROM benchmark),
-h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
-s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg_len))), 6) AS score FROM q JOIN h USING (term) JOIN f USING (term) JOIN d USING (doc_id) CROSS JOIN n GROUP BY ALL)
-SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= 5""",
     "q_text_dedup": "SELECT sha256(lower(trim(coalesce(text, '')))) AS key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "q_claims_conflict": f"{_CLAIMS} SELECT page_id, list_min(c) AS low, list_max(c) AS high, (list_max(c) - list_min(c)) / nullif(list_min(c), 0) > 0.25 AS conflict FROM v",
     "q_claims_by_host": f"{_CLAIMS}, x AS (SELECT host, page_id, unnest(list_filter(c, lambda y: y IS NOT NULL)) AS claim FROM v), g AS (SELECT host, count(DISTINCT page_id) AS sources, count(*) AS n, min(claim) AS low, max(claim) AS high FROM x GROUP BY 1) SELECT *, sources > 1 AND n > 1 AND low > 0 AND coalesce((high - low) / nullif(low, 0) > 0.25, false) AS conflict FROM g",

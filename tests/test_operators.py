@@ -8,6 +8,7 @@ from entivore.functions import text as X
 from entivore.operators import documents as D
 from entivore.operators import graph as G
 from entivore.operators import matching as M
+from entivore.operators import trigrams as T
 from entivore.operators import queues as U
 from entivore.operators import relational as R
 
@@ -57,7 +58,7 @@ def test_trigrams_and_names(spark):
 def test_similar_names_finds_all(spark):
     names = ["small red ring", "small ring", "large blue box", "blue box", "ring", "Ring small", ""]
     df = spark.createDataFrame([(n,) for n in names], "a string")
-    got = {(r.a, r.b) for r in M.similar_names(df, df.withColumnRenamed("a", "b"), 0.3).collect()}
+    got = {(r.a, r.b) for r in T.similar(df, df.withColumnRenamed("a", "b"), 0.3).collect()}
     want = {(a, b) for a in names for b in names if value(spark, X.similarity(F.lit(a), F.lit(b))) >= 0.3}
     assert got == want
 

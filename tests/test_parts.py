@@ -26,9 +26,6 @@ def one(spark, *columns):
 def test_text(spark):
     got = one(spark, F.round(X.word_similarity(F.lit("word"), F.lit("two words")), 6), F.round(X.similarity(F.lit("word"), F.lit("two words")), 6), X.csv_safe(F.lit("|x")), X.csv_safe(F.lit("\tx")), X.csv_safe(F.lit("\rx")))
     assert got == (0.8, 0.363636, "'|x", "'\tx", "\rx")
-    terms = X.search_terms(F.lit("The boxes were carried by tired horses; the glasses fit"))
-    assert one(spark, terms)[0] == ["box", "were", "carri", "tir", "hors", "glass", "fit"]
-    assert one(spark, X.matches_terms(terms, X.search_terms(F.lit("horse glass"))), X.matches_terms(terms, X.search_terms(F.lit("the"))))[1] is False
     assert one(spark, X.cited_urls(F.lit("[a](http://a/b) and [c](https://c) [a](http://a/b)")))[0] == ["http://a/b", "https://c"]
 
 
@@ -128,12 +125,6 @@ def test_chunks_are_the_text(spark):
             assert texts[d][at : at + len(b)] == b
 
 
-def test_word_diff(spark):
-    df = spark.createDataFrame([(1, "a b c d", "a x c d e"), (2, None, "n"), (3, "s", "s")], "id int, old string, new string")
-    got = [tuple(r) for r in P.word_diff(df).orderBy("id", "ix").collect()]
-    assert got == [(1, 0, "same", "a"), (1, 1, "remove", "b"), (1, 2, "add", "x"), (1, 3, "same", "c d"), (1, 4, "add", "e"), (2, 0, "add", "n"), (3, 0, "same", "s")]
-
-
 def test_csv_files(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('﻿Team;Owners;Note\nReds;"Ann; Bob";"said ""hi"""\nBlues;;"two\nlines"\n')
