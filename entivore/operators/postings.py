@@ -24,6 +24,10 @@ from entivore.sources.shared import stored
 #: Documents of a block, and words after which it is closed before.
 BLOCK_DOCS, BLOCK_WORDS = 512, 1_000_000
 BUCKETS = 32
+#: Terms that a task looks up when only some are indexed.
+MOST_TERMS = 100_000
+#: Blocks of each query that give the first bound from below.
+FIRST_BLOCKS = 2
 #: Queries that one task holds against a block at a time.
 TASK_QUERIES = 256
 #: Scores are compared to so many places.
@@ -74,10 +78,10 @@ class Index:
 
 
 def _block(block: int, ids: pa.Array, sizes: list[int], places: list[Sequence[int]], terms: list[Sequence[str]], with_places: bool) -> pa.RecordBatch:
-    """The postings of one block, put in order by term and document."""
+    """The postings of one block, put in order by term and document; under the empty term all documents and their sizes."""
     n = len(ids)
     codes, known = pd.factorize(np.array([t for own in terms for t in own], object))
-    key = codes.astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+    key = codes.astype(np.int64) * n + np.repeat(np.arange(n), [len(own) for own in terms])
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
@@ -91,19 +95,23 @@ def _block(block: int, ids: pa.Array, sizes: list[int], places: list[Sequence[in
         told = pa.array(np.diff(ends), pa.int32())
     lists = [ids.take(pa.array(doc)), pa.array(np.array(sizes, np.int32)[doc]), told]
     columns = [pa.array(np.full(len(known), block)), pa.array(list(known), pa.string()), *(pa.ListArray.from_arrays(offsets, x) for x in lists)]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "docs", "sizes", "places" if with_places else "counts"])
+    whole = [pa.array([block]), pa.array([""]), *(pa.array([x.to_pylist()], c.type) for x, c in zip((ids, pa.array(sizes)), columns[2:4], strict=True)), pa.array([[]], columns[4].type)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(columns, whole, strict=True)], names=["block", "term", "docs", "sizes", "places" if with_places else "counts"])
 
 
-def build(docs: DataFrame, split: Split = plain_terms, *, places: bool = False, block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> Index:
-    """The index of docs (doc_id, text); with the places of terms, which phrases need, or their numbers only.
+def build(docs: DataFrame, split: Split = plain_terms, *, places: bool = False, only: DataFrame | None = None, block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> Index:
+    """The index of docs (doc_id, text); with the places of terms, which phrases need, or their numbers only. only: a table
+    of terms (term) that will be asked for; others are left out if these are no more than MOST_TERMS.
 
     Blocks are numbered by the task that makes them, once: the index is stored before it is read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = None if only is None else only.select("term").distinct().limit(MOST_TERMS + 1).collect()
+    wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in asked} if asked is not None and len(asked) <= MOST_TERMS else None)
 
     def run(batches):
         from pyspark import TaskContext
 
-        terms_of = split()
+        terms_of, few = split(), wanted.value
         block, words = TaskContext.get().partitionId() << 32, 0
         own, sizes, at, terms, type_ = [], [], [], [], None
         for batch in batches:
@@ -111,9 +119,12 @@ def build(docs: DataFrame, split: Split = plain_terms, *, places: bool = False,
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 where, found = terms_of(text)
                 own.append(doc_id)
+                sizes.append(len(found))
+                if few is not None:
+                    kept = [(i, t) for i, t in zip(where, found, strict=True) if t in few]
+                    where, found = [i for i, _ in kept], [t for _, t in kept]
                 at.append(where)
                 terms.append(found)
-                sizes.append(len(found))
                 words += len(found)
                 if len(own) >= block_docs or words >= BLOCK_WORDS:
                     yield _block(block, pa.array(own, type_), sizes, at, terms, places)
@@ -123,24 +134,32 @@ def build(docs: DataFrame, split: Split = plain_terms, *, places: bool = False,
             yield _block(block, pa.array(own, type_), sizes, at, terms, places)
 
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() * 2 < cores:  # few splits: a small table, whose texts are dealt to all cores
+        texts = texts.repartition(cores)
     told = "places array<array<int>>" if places else "counts array<int>"
     postings = texts.mapInArrow(run, f"block long, term string, docs array<{kind}>, sizes array<int>, {told}")
     # rows of one bucket in few files; blocks of a frequent term are dealt to several tasks
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(n, "bucket", F.pmod("block", F.lit(max(1, n // buckets))))
     postings = stored(postings, "postings", "bucket")
-    words = F.aggregate("places", F.lit(0), lambda total, p: total + F.size(p)) if places else F.aggregate("counts", F.lit(0), lambda total, n: total + n)
-    terms = stored(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(words).alias("n")), "posting-terms")
-    return Index(postings, terms.select("term", "df"), docs.count(), terms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n, buckets)
+    terms = postings.where("term != ''").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    words = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, n: total + n)
+    whole = postings.where(F.col("bucket") == zlib.crc32(b"") % buckets).where("term = ''").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.size("docs"), "docs"), (words, "words"))]).first()
+    return Index(postings, stored(terms, "posting-terms"), whole.docs, whole.words, buckets)
 
 
 # ranked passages
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """item_id, term: the distinct plain terms of each query (item_id, query)."""
+    return queries.select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))).alias("term"))
+
+
 def weights(index: Index, queries: DataFrame) -> DataFrame:
-    """item_id, term, idf: the distinct terms of each query (item_id, query) that the index knows."""
-    asked = queries.select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))).alias("term"))
-    return asked.join(index.terms, "term").select("item_id", "term", F.ln(1 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    """item_id, term, idf of the terms of queries that the index knows."""
+    return query_terms(queries).join(index.terms, "term").select("item_id", "term", F.ln(1 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def _best(docs: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -178,9 +197,9 @@ def _scored(pairs: DataFrame, asked: DataFrame, parts: DataFrame, top: int, grou
 def ranked(index: Index, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, top: int = 5) -> DataFrame:
     """item_id, doc_id, score, rank of the best documents for each query (item_id, query).
 
-    No document of a block scores more than the sum of the highest part of each term in it. The block with the highest
-    such bound is scored first; its fifth score is a bound from below, and blocks that can't reach it aren't read. Blocks
-    that remain are scored by waves, each four times the size of the one before, which raises the bound."""
+    No document of a block scores more than the sum of the highest part of each term in it. The blocks with the highest
+    such bounds are scored first; the fifth score that they give is a bound from below, and of all other blocks only those
+    that can reach it are scored."""
     asked = stored(weights(index, queries), "bm25-asked")
     average = max(index.n_words, 1) / max(index.n_docs, 1)
     part = F.zip_with("counts", "sizes", lambda tf, size: tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average)))
@@ -189,21 +208,14 @@ def ranked(index: Index, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75
     bounds = stored(asked.join(tops, "term").groupBy("item_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")), "bm25-bounds")
     groups = max(1, -(-queries.select("item_id").distinct().count() // TASK_QUERIES))
     kinds = [f"{c} {t}" for c, t in (("item_id", queries.schema["item_id"].dataType.simpleString()), ("doc_id", index.postings.schema["docs"].dataType.elementType.simpleString()), ("score", "double"))]
-    order, wave = [F.desc("score"), F.asc("doc_id")], 1
-    best = None
-    while True:
-        # the next blocks of each query, highest bounds first
-        pairs = stored(first_by(bounds, "item_id", [F.desc("bound"), F.asc("block")], wave).select("item_id", "block"), "bm25-pairs")
-        found = _scored(pairs, asked, parts, top, groups, ", ".join(kinds))
-        found = found if best is None else best.unionByName(found)
-        best = stored(first_by(found, "item_id", order, top), "bm25-best")
-        least = best.groupBy("item_id").agg(F.when(F.count("*") >= top, F.min("score")).alias("least"))
-        rest = bounds.join(pairs, ["item_id", "block"], "left_anti").join(least, "item_id", "left")
-        bounds = stored(rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-PLACES)).select("item_id", "block", "bound"), "bm25-bounds")
-        if bounds.isEmpty():
-            break
-        wave *= 4
-    return numbered(best, "item_id", order)
+    order = [F.desc("score"), F.asc("doc_id")]
+    pairs = stored(first_by(bounds, "item_id", [F.desc("bound"), F.asc("block")], FIRST_BLOCKS).select("item_id", "block"), "bm25-pairs")
+    best = stored(first_by(_scored(pairs, asked, parts, top, groups, ", ".join(kinds)), "item_id", order, top), "bm25-best")
+    least = best.groupBy("item_id").agg(F.when(F.count("*") >= top, F.min("score")).alias("least"))
+    rest = bounds.join(pairs, ["item_id", "block"], "left_anti").join(least, "item_id", "left")
+    rest = rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-PLACES)).select("item_id", "block")
+    more = _scored(stored(rest, "bm25-pairs"), asked, parts, top, groups, ", ".join(kinds))
+    return numbered(first_by(best.unionByName(more), "item_id", order, top), "item_id", order)
 
 
 def first_by(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:

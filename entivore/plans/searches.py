@@ -22,7 +22,7 @@ def _docs(spark, sf_dir):
 def q_bm25_top5(spark, sf_dir):
     """The five best documents for every benchmark text."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return postings.ranked(postings.build(_docs(spark, sf_dir)), asked)
+    return postings.ranked(postings.build(_docs(spark, sf_dir), only=postings.query_terms(asked)), asked)
 
 
 def q_passage_search(spark, sf_dir):
