@@ -48,11 +48,39 @@ def paths(edges: DataFrame, start: str, end: str, max_hops: int, limit: int) ->
     return found.orderBy("hops", "path").limit(limit)
 
 
-def partners(edges: DataFrame) -> DataFrame:
-    """person1 < person2 and n_shared, the number of objects both point to."""
+#: People of one object that are paired in one task.
+CROWD = 2_000
+#: Deals in one list.
+LISTED = 1_000
+
+
+def pairs_of(edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """person1 < person2 and o, once for each object o that both point to.
+
+    The people of an object that very many point to are dealt to chunks, and its pairs to pairs of chunks, so that a task
+    gets no more than two chunks of an object."""
     e = edges.select("s", "o").distinct()
-    a, b = e.select(F.col("s").alias("person1"), "o"), e.select(F.col("s").alias("person2"), "o")
-    return a.join(b, "o").where("person1 < person2").groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
+    chunks = e.groupBy("o").agg(F.ceil(F.count("*") / crowd).cast("int").alias("n")).where("n > 1")
+    e = e.join(chunks, "o", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("s"), "n").cast("int"))
+    # each chunk meets itself and all others, in the order of their numbers
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    dealt = e.select("s", "o", "own", F.explode(meets).alias("m")).select("s", "o", "own", "m.i", "m.j")
+    a, b = (dealt.select(F.col("s").alias(name), F.col("own").alias(own), "o", "i", "j") for name, own in (("person1", "own1"), ("person2", "own2")))
+    both = a.join(b, ["o", "i", "j"]).where("person1 < person2 AND (i = j OR own1 != own2)")
+    return both.select("person1", "person2", "o")
+
+
+def partners(edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """person1 < person2 and n_shared, the number of objects both point to."""
+    return pairs_of(edges, crowd).groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
+
+
+def shared_deals(edges: DataFrame, crowd: int = CROWD, listed: int = LISTED) -> DataFrame:
+    """person1, person2, n_shared, part, deals: the objects both point to, in order, in lists of about `listed` at most."""
+    pairs = pairs_of(edges, crowd)
+    many = pairs.groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
+    part = F.pmod(F.xxhash64("o"), F.ceil(F.col("n_shared") / listed)).cast("int")
+    return pairs.join(many, ["person1", "person2"]).groupBy("person1", "person2", "n_shared", part.alias("part")).agg(F.array_sort(F.collect_list("o")).alias("deals"))
 
 
 def conflicts(edges: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -85,3 +85,49 @@ def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     opened = F.when(before.isNull() | (F.col("ts") >= before + F.make_dt_interval(secs=F.lit(gap_seconds))), 1).otherwise(0)
     run = F.sum("opened").over(Window.partitionBy("job_id").orderBy("ts", "seq"))
     return events.withColumn("opened", opened).withColumn("run", run).groupBy("job_id", "run").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("n")).drop("run")
+
+
+def timed_states(events: DataFrame, ref_ts: str, seconds: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """job_id, status, attempts, last_seen at ref_ts, of the events before it, where a claim that isn't renewed times out: after
+    seconds without a heartbeat the job fails as of that time, and is pending again or dead. Events are in order by seq."""
+    before = events.where(F.col("ts") < F.lit(ref_ts).cast("timestamp_ntz"))
+    ordered = before.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "ts"))).alias("all"))
+    wait = F.make_dt_interval(secs=F.lit(seconds))
+
+    def failed(acc):
+        n = (acc["attempts"] + 1).cast("int")
+        return F.struct(F.when(n >= max_attempts, "dead").otherwise("pending").alias("status"), n.alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("last_seen"))
+
+    def timed_out(acc, ts):
+        return F.when(F.coalesce((acc["status"] == "claimed") & (ts > acc["last_seen"] + wait), F.lit(False)), failed(acc)).otherwise(acc)
+
+    def act(acc, e):
+        s, a = acc["status"], e["action"]
+        as_is = lambda status, seen: F.struct(status.alias("status"), acc["attempts"].alias("attempts"), seen.alias("last_seen"))
+        gone = F.lit(None).cast("timestamp_ntz")
+        return (
+            F.when((a == "enqueue") & s.isNull(), as_is(F.lit("pending"), gone))
+            .when(a.isin("claim", "heartbeat") & F.coalesce(s == "claimed", F.lit(False)), as_is(F.lit("claimed"), F.greatest(acc["last_seen"], e["ts"])))
+            .when((a == "claim") & (s == "pending"), as_is(F.lit("claimed"), e["ts"]))
+            .when((a == "finish") & (s == "claimed"), as_is(F.lit("done"), gone))
+            .when((a == "fail") & (s == "claimed"), failed(acc))
+            .otherwise(acc)
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("last_seen"))
+    step = lambda acc, e: F.transform(F.array(timed_out(acc, e["ts"])), lambda x: act(x, e))[0]
+    folded = ordered.select("job_id", F.aggregate("all", start, step).alias("x")).select("job_id", timed_out(F.col("x"), F.lit(ref_ts).cast("timestamp_ntz")).alias("x"))
+    return folded.select("job_id", F.coalesce("x.status", F.lit("unknown")).alias("status"), "x.attempts", "x.last_seen")
+
+
+def closings(children: DataFrame, ended: DataFrame) -> DataFrame:
+    """root, closed_at, closed_by, total, dead, final_status, message of the roots all of whose children (root, child) have
+    ended (root, child, ts, seq, status: done or dead): the one event that closes a root is the last first end of a child.
+
+    Ends of a child beyond its first count for nothing. Sums and maxima only: a root may have any number of children."""
+    first = ended.groupBy("root", "child").agg(F.min(F.struct("ts", "seq", "status")).alias("e"))
+    ends = first.groupBy("root").agg(F.count("*").alias("ended"), F.count_if(F.col("e.status") == "dead").alias("dead"), F.max(F.struct("e.ts", "e.seq", "child")).alias("last"))
+    total = children.select("root", "child").distinct().groupBy("root").agg(F.count("*").alias("total"))
+    out = total.join(ends, "root").where("ended = total").withColumn("final_status", F.when(F.col("dead") == F.col("total"), "failed").otherwise("done"))
+    message = F.when((F.col("final_status") == "done") & (F.col("dead") > 0), F.format_string("%d of %d pair(s) failed", "dead", "total"))
+    return out.select("root", F.col("last.ts").alias("closed_at"), F.col("last.child").alias("closed_by"), "total", "dead", "final_status", message.alias("message"))

@@ -155,11 +155,8 @@ def q_review_flags(spark, sf_dir):
 
 
 def q_partner_deals(spark, sf_dir):
-    """The parts that suppliers 1 to 4 share with others, listed."""
-    e = edges(spark, sf_dir).select("s", "o").distinct()
-    few = e.where(F.col("s").isin("supplier:1", "supplier:2", "supplier:3", "supplier:4"))
-    a, b = few.select(F.col("s").alias("person1"), "o"), few.select(F.col("s").alias("person2"), "o")
-    return a.join(b, "o").where("person1 < person2").groupBy("person1", "person2").agg(F.array_join(F.array_sort(F.collect_list("o")), "|").alias("deals"))
+    """The parts that each two suppliers share, listed."""
+    return G.shared_deals(edges(spark, sf_dir)).select("person1", "person2", "n_shared", F.array_join("deals", "|").alias("deals"))
 
 
 def q_tool_ids(spark, sf_dir):
@@ -239,6 +236,6 @@ SELECT s, o, 1::INT AS hop FROM a UNION ALL SELECT s, o, 2 FROM b""",
     "q_graph_page": f"WITH {EDGES}, {_PAGE} SELECT * FROM pg",
     "q_graph_nodes": f"WITH {EDGES}, {_PAGE} SELECT name, count(*) AS n FROM (SELECT s AS name FROM pg UNION ALL SELECT o FROM pg) GROUP BY 1",
     "q_review_flags": f"WITH {EDGES}, h AS (SELECT *, lag(predicate) OVER (PARTITION BY s, o, family ORDER BY created_at, tie1, tie2) AS old FROM e) SELECT s, count(*) AS n_conflicts, min(old || ' > ' || predicate) AS reason FROM h WHERE old != predicate GROUP BY 1",
-    "q_partner_deals": f"WITH {EDGES}, d AS (SELECT DISTINCT s, o FROM e WHERE s IN ('supplier:1', 'supplier:2', 'supplier:3', 'supplier:4')) SELECT a.s AS person1, b.s AS person2, string_agg(a.o, '|' ORDER BY a.o) AS deals FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2",
+    "q_partner_deals": f"WITH {EDGES}, d AS (SELECT DISTINCT s, o FROM e) SELECT a.s AS person1, b.s AS person2, count(*) AS n_shared, string_agg(a.o, '|' ORDER BY a.o) AS deals FROM d a JOIN d b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2",
     "q_tool_ids": "SELECT s_suppkey, 'supplier:' || s_suppkey || ',nation:' || s_nationkey AS ids FROM supplier",
 }

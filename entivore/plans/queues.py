@@ -70,6 +70,17 @@ def q_fanin_finalize(spark, sf_dir):
     return U.fan_in(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), status.alias("status")))
 
 
+def q_timed_states(spark, sf_dir):
+    """Jobs at the reference time, where a claim without a heartbeat for twelve hours fails."""
+    return U.timed_states(queue_events(spark, sf_dir), REF, 43_200)
+
+
+def q_closing_events(spark, sf_dir):
+    """Orders as roots, their lines as children that end when they are shipped: which line closed the order, and when."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("root"), F.col("l_linenumber").alias("child"), F.col("l_shipdate").alias("ts"), F.col("l_partkey").alias("seq"), F.when(F.col("l_returnflag") == "R", "dead").otherwise("done").alias("status"), "l_linestatus")
+    return U.closings(l, l.where("l_linestatus = 'F'"))
+
+
 def q_rate_limit(spark, sf_dir):
     return U.rate_windows(queue_events(spark, sf_dir), 3600, 2)
 
@@ -102,6 +113,18 @@ ORACLES = {
     "q_queue_dequeue": f"WITH RECURSIVE {_states()}, w AS (SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' GROUP BY 1) SELECT job_id, job_id % 3 AS priority, waiting_since FROM w JOIN st USING (job_id) WHERE status = 'pending' AND job_id % 4 != 0 AND waiting_since + INTERVAL 30 MINUTES <= TIMESTAMP '{REF}' ORDER BY priority DESC, waiting_since, job_id LIMIT 10",
     "q_chunk_progress": "WITH l AS (SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) FILTER (WHERE l_linestatus = 'F') AS done, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1) SELECT *, done = total AS merges FROM l",
     "q_cache_live": f"WITH c AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '{REF}' GROUP BY 1) SELECT event_id AS key, e.user_id AS set_key, ts FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE event_type = 'view' AND ts < TIMESTAMP '{REF}' AND ts > TIMESTAMP '{REF}' - INTERVAL 864000 SECONDS AND (t IS NULL OR t < ts)",
+    "q_timed_states": f"""WITH RECURSIVE {ACTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM ev WHERE ts < TIMESTAMP '{REF}'),
+r(job_id, i, s, a, t) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::VARCHAR, 0, NULL::TIMESTAMP FROM o UNION ALL
+  SELECT job_id, i, CASE WHEN action = 'enqueue' AND s IS NULL THEN 'pending' WHEN action = 'claim' AND s = 'pending' THEN 'claimed' WHEN action = 'finish' AND s = 'claimed' THEN 'done' WHEN action = 'fail' AND s = 'claimed' THEN CASE WHEN a >= 2 THEN 'dead' ELSE 'pending' END ELSE s END,
+    a + CASE WHEN action = 'fail' AND coalesce(s = 'claimed', false) THEN 1 ELSE 0 END,
+    CASE WHEN action IN ('claim', 'heartbeat') AND s = 'claimed' THEN greatest(t, ts) WHEN action = 'claim' AND s = 'pending' THEN ts WHEN action IN ('finish', 'fail') AND s = 'claimed' THEN NULL ELSE t END
+  FROM (SELECT r.job_id, o.i, action, ts, late, CASE WHEN late THEN CASE WHEN a + 1 >= 3 THEN 'dead' ELSE 'pending' END ELSE s END AS s, CASE WHEN late THEN a + 1 ELSE a END AS a, CASE WHEN late THEN NULL ELSE t END AS t
+    FROM (SELECT r.*, o.i AS oi, coalesce(s = 'claimed' AND o.ts > t + INTERVAL 43200 SECONDS, false) AS late FROM r JOIN o ON o.job_id = r.job_id AND o.i = r.i + 1) r JOIN o ON o.job_id = r.job_id AND o.i = r.oi)),
+z AS (SELECT r.*, coalesce(s = 'claimed' AND TIMESTAMP '{REF}' > t + INTERVAL 43200 SECONDS, false) AS late FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i)
+SELECT job_id, CASE WHEN late THEN CASE WHEN a + 1 >= 3 THEN 'dead' ELSE 'pending' END ELSE coalesce(s, 'unknown') END AS status, (CASE WHEN late THEN a + 1 ELSE a END)::INT AS attempts, CASE WHEN NOT late THEN t END AS last_seen FROM z""",
+    "q_closing_events": """WITH f AS (SELECT l_orderkey AS root, l_linenumber AS child, min((l_shipdate, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'dead' ELSE 'done' END)) AS e FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
+g AS (SELECT root, count(*) AS ended, count(*) FILTER (WHERE e[3] = 'dead') AS dead, max((e[1], e[2], child)) AS z FROM f GROUP BY 1), t AS (SELECT l_orderkey AS root, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1)
+SELECT root, z[1] AS closed_at, z[3] AS closed_by, total, dead, CASE WHEN dead = total THEN 'failed' ELSE 'done' END AS final_status, CASE WHEN dead > 0 AND dead < total THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g JOIN t USING (root) WHERE ended = total""",
     "q_idle_claims": f"WITH RECURSIVE {_states(f"ts < TIMESTAMP '{REF}'")} {_STALE} 300 SECONDS ORDER BY last_seen, job_id LIMIT 100",
     "q_viewers_now": f"WITH {ACTIONS} SELECT job_id, max(ts) AS last_seen FROM ev WHERE ts > TIMESTAMP '{REF}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{REF}' GROUP BY 1",
     "q_death_hooks": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus != 'F') AS dead, count(*) AS total FROM orders GROUP BY 1) SELECT root, CASE WHEN dead = total THEN 'failed' ELSE 'done' END AS final_status, CASE WHEN dead < total THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g WHERE dead > 0",
