@@ -60,24 +60,6 @@ def q_first_table(spark, sf_dir):
     return t.select("doc_id", F.size(P.table_lines(P.first_table(F.col("text")))).alias("lines"))
 
 
-def q_schema_profile(spark, sf_dir):
-    """Documents and order tables by what they are: tabular, prose, or mixed where both share a session."""
-    both = _docs(spark, sf_dir).withColumn("session", F.pmod("doc_id", F.lit(50))).unionByName(_tables(spark, sf_dir).where("doc_id % 3 = 0").withColumn("session", F.pmod("doc_id", F.lit(70))))
-    kinds = both.select("session", F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^\|.*\|$"), "tabular").otherwise("prose").alias("kind"))
-    s = kinds.groupBy("session").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("*").alias("n"))
-    return s.select("session", F.when(F.size("kinds") > 1, "mixed").otherwise(F.col("kinds")[0]).alias("kind"), "n")
-
-
-def q_query_suggestions(spark, sf_dir):
-    """Questions for a table by the kinds of its columns, here by the type of the part."""
-    p = table(spark, sf_dir, "part")
-    money = F.when(F.col("p_size") % 2 == 0, F.lit("What is the total price?"))
-    person = F.when(F.col("p_size") % 3 == 0, F.lit("List all owners")).when(F.col("p_size") % 5 == 0, F.lit("List all companies"))
-    date = F.when(F.col("p_size") % 7 == 0, F.lit("What is the date range in made?"))
-    always = [F.concat(F.lit("Summarize the key data in "), "p_name"), F.lit("What are the most common values in this dataset?"), F.lit("Show me the first 10 rows of data")]
-    return p.select("p_partkey", F.array_join(F.slice(F.filter(F.array(money, person, date, *always), lambda x: x.isNotNull()), 1, 3), " / ").alias("asks"))
-
-
 def q_person_names(spark, sf_dir):
     """Names of all orders' parts across chunks: one row per name (titles and case apart), the first form, and how many."""
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
@@ -177,8 +159,6 @@ SELECT doc_id, batch::INT AS batch, min(page)::INT AS first_page, count(*)::INT
     "q_table_extract_one": f"WITH {TAB} SELECT doc_id, row, 'Part' AS \"column\", part AS value FROM t WHERE part != ''",
     "q_table_extract_several": f"WITH {TAB} SELECT doc_id, row, 'Part' AS \"column\", part AS value FROM t WHERE part != '' UNION ALL SELECT doc_id, row, 'Flag', flag FROM t WHERE part != ''",
     "q_first_table": "SELECT l_orderkey AS doc_id, (count(*) + 1)::INT AS lines FROM lineitem GROUP BY 1",
-    "q_schema_profile": "WITH k AS (SELECT doc_id % 50 AS session, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^\\|.*\\|$') THEN 'tabular' ELSE 'prose' END AS kind FROM documents UNION ALL SELECT l_orderkey % 70, 'tabular' FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)) SELECT session, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed' ELSE min(kind) END AS kind, count(*) AS n FROM k GROUP BY 1",
-    "q_query_suggestions": "SELECT p_partkey, array_to_string(list_slice(list_filter([CASE WHEN p_size % 2 = 0 THEN 'What is the total price?' END, CASE WHEN p_size % 3 = 0 THEN 'List all owners' WHEN p_size % 5 = 0 THEN 'List all companies' END, CASE WHEN p_size % 7 = 0 THEN 'What is the date range in made?' END, 'Summarize the key data in ' || p_name, 'What are the most common values in this dataset?', 'Show me the first 10 rows of data'], lambda x: x IS NOT NULL), 1, 3), ' / ') AS asks FROM part",
     "q_person_names": "SELECT lower(p_name) AS key, arg_min(CASE WHEN l_linenumber % 2 = 0 THEN 'Dr. ' || upper(p_name) ELSE p_name END, (l_orderkey, l_linenumber)) AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
     "q_memory_search": "SELECT lower(p_name) AS entity, max(p_partkey) AS newest FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_name), 'brass') OR contains(lower(p_name), 'thing') GROUP BY 1 ORDER BY newest DESC LIMIT 5",
     "q_chunk_results": "SELECT l_orderkey, l_linenumber, '{\"part\":' || l_partkey || ',\"flag\":\"' || l_returnflag || '\"}' AS value, count(*) OVER (PARTITION BY l_partkey, l_returnflag) AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) = 1",
