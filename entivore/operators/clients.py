@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entivore.functions.text import plain_name
@@ -82,3 +82,20 @@ def once_each(people: DataFrame) -> DataFrame:
     p = people.withColumn("key", F.lower(plain_name(F.col("name"))))
     first = p.groupBy("key").agg(F.min("position").alias("first"), F.min_by("company", "position").alias("first_company"))
     return p.join(first, "key").select("position", "name", "key", "first", F.col("first_company").alias("company"))
+
+
+def aligned(verdicts: DataFrame, entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    """entity_id, number, label, present, confidence, note: every entity with every attribute (number, label), in which verdicts
+    (entity_id, number, present, confidence) that are missing are absent, with a note. Attributes are one cluster's: few."""
+    few = F.broadcast(attributes) if attributes.count() <= 10_000 else attributes
+    out = entities.crossJoin(few).join(verdicts, ["entity_id", "number"], "left")
+    note = F.when(F.col("present").isNull(), "not in the answer")
+    return out.select("entity_id", "number", "label", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), note.alias("note"))
+
+
+def clustered(attributes: DataFrame, cluster: str, key: str, most: int, rest: str = "General Research") -> DataFrame:
+    """attributes with the cluster they are researched in, those without one in the rest, and part: clusters of more than so
+    many attributes are cut in the order of key."""
+    named = attributes.withColumn(cluster, F.coalesce(F.col(cluster), F.lit(rest)))
+    at = F.row_number().over(Window.partitionBy(cluster).orderBy(key)) - 1
+    return named.withColumn("part", F.floor(at / most).cast("int"))

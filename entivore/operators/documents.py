@@ -69,8 +69,31 @@ def table_cells(tables: DataFrame) -> DataFrame:
     return out.where("value != ''")
 
 
-def recent_turns(turns: DataFrame, budget: int) -> DataFrame:
-    """The newest turns of each conversation (conv_id, turn, text) whose sizes, of characters / 4 + 4, fit the budget."""
-    cost = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4) + 4
-    used = F.sum(cost).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
-    return turns.withColumn("used", used).where(F.col("used") <= budget)
+def trimmed_turns(turns: DataFrame, budget: int) -> DataFrame:
+    """The turns of each conversation (conv_id, turn, role, text) that stay when its cost, of characters / 4 + 4 a turn, is to fit
+    the budget: the oldest tool results go first, then the oldest messages, until it fits; what then comes before the first
+    message of the user or the system goes as well, if there is one."""
+    cost = (F.floor(F.length(F.coalesce("text", F.lit(""))) / 4) + 4).cast("long")
+    own = Window.partitionBy("conv_id")
+    order = own.orderBy(F.col("role") != "tool", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    df = turns.withColumn("_cost", cost).withColumn("_over", F.sum("_cost").over(own) - budget).withColumn("_before", F.coalesce(F.sum("_cost").over(order), F.lit(0)))
+    kept = df.where(F.col("_before") >= F.col("_over"))
+    kept = kept.withColumn("_start", F.min(F.when(F.col("role").isin("user", "system"), F.col("turn"))).over(own))
+    return kept.where(F.col("turn") >= F.coalesce("_start", "turn")).drop("_cost", "_over", "_before", "_start")
+
+
+def capped(turns: DataFrame, cap: int) -> DataFrame:
+    """turns with text cut so that a conversation's texts, in the order of turns, have cap characters together."""
+    before = F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return turns.withColumn("text", F.substring("text", F.lit(1), F.greatest(F.lit(cap) - before, F.lit(0)).cast("int")))
+
+
+def remembered(memories: DataFrame, query: str, n: int = 5) -> DataFrame:
+    """The n newest memories (entity, created, id, ...) of subjects that hold a word of more than three letters of the query, one
+    for each subject whatever its case."""
+    words = sorted({w for w in query.lower().split() if len(w) > 3})
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower("entity"), F.lit(w))
+    newest = F.row_number().over(Window.partitionBy(F.lower("entity")).orderBy(F.desc("created"), F.desc("id")))
+    return memories.where(hit).withColumn("_k", newest).where("_k = 1").drop("_k").orderBy(F.desc("created"), F.desc("id")).limit(n)

@@ -54,16 +54,17 @@ def recursive_chunks(docs: DataFrame, size: int, marks: Sequence[str] = ("\n\n",
 
 
 def overlapping_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """doc_id, ix, chunk: pieces of at most size characters that end at a blank where they hold one; each begins overlap
-    characters before the end of the one before, so what spans a cut is whole in one of them."""
+    """doc_id, ix, chunk: pieces of at most size characters that end at their last blank, if it comes after what they repeat;
+    each begins overlap characters, which must be fewer than half of size, before the end of the one before."""
 
     def cut(text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > size:
-            end = text.rfind(" ", start, start + size)
-            end = start + size if end <= start else end
+            # a blank that leaves more than what is repeated, so that every piece brings the text forward
+            end = text.rfind(" ", start + overlap + 1, start + size)
+            end = start + size if end < 0 else end
             yield text[start:end]
-            start = max(end - overlap, start + 1)
+            start = end - overlap
         yield text[start:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

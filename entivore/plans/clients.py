@@ -68,19 +68,17 @@ def q_client_batch(spark, sf_dir):
 
 
 def q_attribute_verdicts(spark, sf_dir):
-    """Verdicts by number aligned with the attributes: those that are missing are absent, with a note."""
-    a = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").cast("int").alias("number"), F.col("p_name").alias("label"))
-    v = table(spark, sf_dir, "lineitem").where("l_partkey < 200 AND l_suppkey = 1").groupBy(F.col("l_partkey").cast("int").alias("number")).agg(F.max(F.col("l_returnflag") == "N").alias("present"), F.max("l_tax").alias("confidence"))
-    return a.join(v, "number", "left").select("number", "label", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(F.col("present").isNull(), "not in the answer").alias("note"))
+    """Verdicts of each supplier on sizes of parts, by number, aligned with all sizes: those that are missing are absent, with a note."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("int").alias("number"))
+    v = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_quantity > 45").join(p, "l_partkey").groupBy(F.col("l_suppkey").alias("entity_id"), "number")
+    v = v.agg(F.max(F.col("l_returnflag") == "N").alias("present"), F.max("l_tax").alias("confidence"))
+    return C.aligned(v, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id")), p.select("number", F.format_string("size %d", "number").alias("label")).distinct())
 
 
 def q_attribute_clusters(spark, sf_dir):
     """Clusters by type of at most ten attributes, by key; attributes without a brand of one digit go to the rest."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "part").where("p_partkey < 500").withColumn("cluster", F.when(F.length("p_brand") <= 7, F.col("p_type")).otherwise("General Research"))
-    at = F.row_number().over(Window.partitionBy("cluster").orderBy("p_partkey")) - 1
-    return p.select("p_partkey", "cluster", F.floor(at / 10).cast("int").alias("part"))
+    p = table(spark, sf_dir, "part").withColumn("cluster", F.when(F.length("p_brand") <= 7, F.col("p_type")))
+    return C.clustered(p, "cluster", "p_partkey", 10).select("p_partkey", "cluster", "part")
 
 
 def q_batch_summary(spark, sf_dir):
@@ -116,7 +114,7 @@ k AS (SELECT *, round(0.6 + (id % 35) / 100, 2) AS confidence, id % 11 = 0 AS co
 s AS (SELECT *, CASE WHEN conflict THEN 'conflict' WHEN ambiguous THEN 'ambiguous' WHEN confidence < 0.7 THEN 'no_match' WHEN coalesce(own - rival < 0.15 AND confidence < 0.85, false) THEN 'ambiguous' ELSE 'matched' END AS status FROM k)
 SELECT name, status, CASE WHEN status IN ('matched', 'no_match') THEN id END AS id, CASE WHEN conflict THEN least(confidence, 0.5) ELSE confidence END AS confidence FROM s""",
     "q_client_batch": "WITH p AS (SELECT p_partkey AS position, p_name AS key, p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'Dr. ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS name FROM part) SELECT position, name, key, min(position) OVER w AS first, first_value(p_brand) OVER w AS company FROM p WINDOW w AS (PARTITION BY key ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    "q_attribute_verdicts": "WITH v AS (SELECT l_partkey, bool_or(l_returnflag = 'N') AS present, max(l_tax) AS confidence FROM lineitem WHERE l_suppkey = 1 GROUP BY 1) SELECT p_partkey::INT AS number, p_name AS label, coalesce(present, false) AS present, coalesce(confidence, 0.0) AS confidence, CASE WHEN present IS NULL THEN 'not in the answer' END AS note FROM part LEFT JOIN v ON l_partkey = p_partkey WHERE p_partkey < 200",
-    "q_attribute_clusters": "WITH p AS (SELECT p_partkey, CASE WHEN len(p_brand) <= 7 THEN p_type ELSE 'General Research' END AS cluster FROM part WHERE p_partkey < 500) SELECT p_partkey, cluster, ((row_number() OVER (PARTITION BY cluster ORDER BY p_partkey) - 1) // 10)::INT AS part FROM p",
+    "q_attribute_verdicts": "WITH v AS (SELECT l_suppkey AS entity_id, p_size::INT AS number, bool_or(l_returnflag = 'N') AS present, max(l_tax) AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linestatus = 'F' AND l_quantity > 45 GROUP BY 1, 2) SELECT s_suppkey AS entity_id, a.number, 'size ' || a.number AS label, coalesce(present, false) AS present, coalesce(confidence, 0.0) AS confidence, CASE WHEN present IS NULL THEN 'not in the answer' END AS note FROM supplier CROSS JOIN (SELECT DISTINCT p_size::INT AS number FROM part) a LEFT JOIN v ON v.entity_id = s_suppkey AND v.number = a.number",
+    "q_attribute_clusters": "WITH p AS (SELECT p_partkey, CASE WHEN len(p_brand) <= 7 THEN p_type ELSE 'General Research' END AS cluster FROM part) SELECT p_partkey, cluster, ((row_number() OVER (PARTITION BY cluster ORDER BY p_partkey) - 1) // 10)::INT AS part FROM p",
     "q_batch_summary": f"WITH {_fuzzy(0.5)}, b AS (SELECT name, max(score) AS s FROM c GROUP BY 1) SELECT count(*) FILTER (WHERE coalesce(s, 0) >= 0.4) AS matched, count(*) FILTER (WHERE coalesce(s, 0) < 0.4) AS no_match, count(*) AS total FROM (SELECT DISTINCT name FROM n) LEFT JOIN b USING (name)",
 }

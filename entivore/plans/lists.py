@@ -86,8 +86,8 @@ def q_rows_from_json(spark, sf_dir):
 def q_rows_from_arrays(spark, sf_dir):
     """Pairs (supplier, part) given as two arrays, and what is known of them; pairs that nothing is known of stay."""
     asked = spark.createDataFrame([([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 999_999_999])], "a array<bigint>, b array<bigint>").select(F.inline(F.arrays_zip("a", "b")))
-    known = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("b")).agg(F.count("*").alias("n"))
-    return F.broadcast(asked).join(known, "b", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("known"))
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("b")).join(F.broadcast(asked.select("b").distinct()), "b", "left_semi")
+    return asked.join(known.groupBy("b").agg(F.count("*").alias("n")), "b", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("known"))
 
 
 def q_edges_with_names(spark, sf_dir):
@@ -105,7 +105,7 @@ def q_last_days(spark, sf_dir):
 
 
 def q_users_once(spark, sf_dir):
-    """Each customer with orders once, with the first clerk by name."""
+    """Each customer with orders once, with the first priority by name."""
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("first_priority"))
 
 
@@ -201,14 +201,12 @@ def q_recent_entities(spark, sf_dir):
 
 
 def q_cached_or_research(spark, sf_dir):
-    """For each supplier and one of the first parts: the cached finding if it is young enough, else research is due."""
+    """For each supplier and the part after each of its own: the cached finding if it is young enough, else research is due."""
     from entivore.plans.scores import latest
 
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("attribute_id"))
-    pairs = s.crossJoin(F.broadcast(p))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), (F.col("l_partkey") + 1).alias("attribute_id")).distinct()
     young = latest(spark, sf_dir).where(F.expr("created_at > timestamp '1997-01-01 00:00:00'")).select("entity_id", "attribute_id", "present", "confidence")
-    out = pairs.join(young, ["entity_id", "attribute_id"], "left")
+    out = asked.join(young, ["entity_id", "attribute_id"], "left")
     return out.select("entity_id", "attribute_id", "present", F.when(F.col("present").isNull(), "research").otherwise("cache").alias("source"))
 
 
@@ -225,7 +223,7 @@ def q_rankings(spark, sf_dir):
     from entivore.plans.scores import latest
 
     g = latest(spark, sf_dir).groupBy(F.col("entity_id").alias("s_suppkey")).agg(F.count("*").alias("checked"), F.count_if("present").alias("present"))
-    out = g.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").where("present * 10 >= checked * 4")
+    out = g.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").where("present * 10 >= checked * 3")
     return out.orderBy(F.desc("checked"), F.desc("present"), "s_name").limit(50).select("s_name", "checked", "present")
 
 
@@ -259,8 +257,8 @@ ORACLES = {
     "q_dashboard": f"SELECT * FROM (SELECT count(*) AS jobs, count(DISTINCT o_custkey) AS owners, count(*) FILTER (WHERE o_orderstatus = 'P') AS running FROM orders), (SELECT count(*) AS recent, count(DISTINCT user_id || ':' || event_type) AS pairs FROM events WHERE ts > {NOW} - INTERVAL 7 DAYS AND ts <= {NOW}), (SELECT count(*) AS entities FROM supplier)",
     "q_duplicate_groups": "SELECT lower(trim(p_name)) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1",
     "q_recent_entities": "SELECT 'supplier:' || l_suppkey AS s FROM lineitem GROUP BY 1 ORDER BY max(l_shipdate) DESC, s LIMIT 20",
-    "q_cached_or_research": f"WITH {LATEST} SELECT s_suppkey AS entity_id, p_partkey AS attribute_id, present, CASE WHEN present IS NULL THEN 'research' ELSE 'cache' END AS source FROM supplier CROSS JOIN (SELECT p_partkey FROM part WHERE p_partkey < 5) LEFT JOIN (SELECT * FROM latest WHERE created_at > TIMESTAMP '1997-01-01 00:00:00') l ON entity_id = s_suppkey AND attribute_id = p_partkey",
+    "q_cached_or_research": f"WITH {LATEST}, a AS (SELECT DISTINCT l_suppkey AS entity_id, l_partkey + 1 AS attribute_id FROM lineitem) SELECT a.entity_id, a.attribute_id, present, CASE WHEN present IS NULL THEN 'research' ELSE 'cache' END AS source FROM a LEFT JOIN (SELECT * FROM latest WHERE created_at > TIMESTAMP '1997-01-01 00:00:00') l ON l.entity_id = a.entity_id AND l.attribute_id = a.attribute_id",
     "q_weight_override": "SELECT p_partkey, coalesce(CASE WHEN p_size % 5 = 0 THEN p_size::DOUBLE END, CASE WHEN p_type = 'PROMO' THEN 2.0::DOUBLE END, 1.0::DOUBLE) AS weight FROM part",
-    "q_rankings": f"WITH {LATEST} SELECT any_value(s_name) AS s_name, count(*) AS checked, count(*) FILTER (WHERE present) AS present FROM latest JOIN supplier ON s_suppkey = entity_id GROUP BY entity_id HAVING count(*) FILTER (WHERE present) * 10 >= count(*) * 4 ORDER BY checked DESC, present DESC, s_name LIMIT 50",
+    "q_rankings": f"WITH {LATEST} SELECT any_value(s_name) AS s_name, count(*) AS checked, count(*) FILTER (WHERE present) AS present FROM latest JOIN supplier ON s_suppkey = entity_id GROUP BY entity_id HAVING count(*) FILTER (WHERE present) * 10 >= count(*) * 3 ORDER BY checked DESC, present DESC, s_name LIMIT 50",
     "q_messages_in_order": "SELECT conv_id, turn, (row_number() OVER w)::INT AS number, lag(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 }

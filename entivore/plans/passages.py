@@ -25,7 +25,9 @@ def q_recursive_chunks(spark, sf_dir):
 
 
 def q_overlapping_chunks(spark, sf_dir):
-    return P.overlapping_chunks(_docs(spark, sf_dir), 8000, 200).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+    """Pieces of 2000 characters with 200 of the one before; every seventh document is without blanks."""
+    docs = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit(" "), F.lit("_"))).otherwise(F.col("text")))
+    return P.overlapping_chunks(docs, 2000, 200).select("doc_id", "ix", F.md5("chunk").alias("digest"), F.length("chunk").alias("chars"))
 
 
 def q_page_batches(spark, sf_dir):
@@ -69,11 +71,9 @@ def q_person_names(spark, sf_dir):
 
 
 def q_memory_search(spark, sf_dir):
-    """The five newest memories of each subject asked for: any word of more than three letters must be in it."""
-    words = F.filter(F.split(F.lower(F.lit("a small or brass thing")), " "), lambda w: F.length(w) > 3)
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("entity"))
-    hit = F.exists(words, lambda w: F.contains(F.col("entity"), w))
-    return p.where(hit).groupBy("entity").agg(F.max("p_partkey").alias("newest")).orderBy(F.desc("newest")).limit(5)
+    """The five newest memories of subjects that a word asked for is in, one for each subject."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("entity"), F.col("p_size").alias("created"), "p_brand")
+    return D.remembered(p, "a small or brass thing")
 
 
 def q_chunk_results(spark, sf_dir):
@@ -152,6 +152,11 @@ ORACLES = {
     "q_sheets_split": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, n, (i + 1) // 2 AS k, string_agg(t, chr(10) ORDER BY i) AS t FROM l GROUP BY ALL), s AS (SELECT doc_id, n, CASE WHEN n = 1 THEN 'Sheet1' WHEN k = 0 THEN '_preamble' ELSE 's' || (2 * k - 1) END AS sheet, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM g)
 SELECT doc_id, count(*) AS sheets, min(sheet) AS first, sum(length(t))::BIGINT AS chars FROM s WHERE n = 1 OR t != '' GROUP BY 1""",
+    "q_overlapping_chunks": """WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, ' ', '_') ELSE text END AS text FROM documents WHERE text != ''),
+c(doc_id, ix, start, stop) AS (SELECT doc_id, 0, 0, CASE WHEN length(text) <= 2000 THEN length(text) ELSE 2000 - CASE WHEN contains(substr(text, 202, 1799), ' ') THEN strpos(reverse(substr(text, 202, 1799)), ' ') ELSE 0 END END FROM d
+  UNION ALL SELECT doc_id, ix + 1, start, CASE WHEN length(text) - start <= 2000 THEN length(text) ELSE start + 2000 - CASE WHEN contains(substr(text, start + 202, 1799), ' ') THEN strpos(reverse(substr(text, start + 202, 1799)), ' ') ELSE 0 END END
+  FROM (SELECT c.doc_id, ix, stop - 200 AS start, text FROM c JOIN d ON d.doc_id = c.doc_id WHERE stop < length(text)))
+SELECT c.doc_id, ix, md5(substr(text, start + 1, stop - start)) AS digest, (stop - start)::INT AS chars FROM c JOIN d ON d.doc_id = c.doc_id""",
     "q_page_batches": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS page FROM documents WHERE text IS NOT NULL),
 r(doc_id, page, batch, size) AS (SELECT doc_id, page, 0, length(t) FROM l WHERE page = 0 UNION ALL SELECT l.doc_id, l.page, CASE WHEN size + length(t) <= 1000 THEN batch ELSE batch + 1 END, CASE WHEN size + length(t) <= 1000 THEN size + length(t) ELSE length(t) END FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page + 1)
 SELECT doc_id, batch::INT AS batch, min(page)::INT AS first_page, count(*)::INT AS n_pages, (sum(length(t)) + 2 * (count(*) - 1))::INT AS chars FROM r JOIN l USING (doc_id, page) GROUP BY 1, 2""",
@@ -160,7 +165,7 @@ SELECT doc_id, batch::INT AS batch, min(page)::INT AS first_page, count(*)::INT
     "q_table_extract_several": f"WITH {TAB} SELECT doc_id, row, 'Part' AS \"column\", part AS value FROM t WHERE part != '' UNION ALL SELECT doc_id, row, 'Flag', flag FROM t WHERE part != ''",
     "q_first_table": "SELECT l_orderkey AS doc_id, (count(*) + 1)::INT AS lines FROM lineitem GROUP BY 1",
     "q_person_names": "SELECT lower(p_name) AS key, arg_min(CASE WHEN l_linenumber % 2 = 0 THEN 'Dr. ' || upper(p_name) ELSE p_name END, (l_orderkey, l_linenumber)) AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
-    "q_memory_search": "SELECT lower(p_name) AS entity, max(p_partkey) AS newest FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_name), 'brass') OR contains(lower(p_name), 'thing') GROUP BY 1 ORDER BY newest DESC LIMIT 5",
+    "q_memory_search": "WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS entity, p_size AS created, p_brand FROM part) SELECT * FROM p WHERE contains(lower(entity), 'small') OR contains(lower(entity), 'brass') OR contains(lower(entity), 'thing') QUALIFY row_number() OVER (PARTITION BY lower(entity) ORDER BY created DESC, id DESC) = 1 ORDER BY created DESC, id DESC LIMIT 5",
     "q_chunk_results": "SELECT l_orderkey, l_linenumber, '{\"part\":' || l_partkey || ',\"flag\":\"' || l_returnflag || '\"}' AS value, count(*) OVER (PARTITION BY l_partkey, l_returnflag) AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) = 1",
     "q_chunk_json": "SELECT p_partkey, CASE WHEN p_partkey % 4 != 0 THEN p_name END AS value, CASE WHEN p_partkey % 4 != 0 THEN p_size END AS row, CASE WHEN p_partkey % 4 != 0 THEN CASE WHEN p_size > 25 THEN 0.9 ELSE 0.5 END::DOUBLE END AS confidence FROM part",
     "q_union_teams": "WITH p AS (SELECT p_name, (p_size % 3)::INT AS team, min(p_partkey) AS id FROM part GROUP BY 1, 2) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY team DESC) = 1",

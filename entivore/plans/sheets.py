@@ -24,11 +24,11 @@ def q_csv_lines(spark, sf_dir):
 
 
 def q_magic_bytes(spark, sf_dir):
-    """Pages as files: whether their first bytes are those of the ending they name."""
+    """Pages as files, some behind the first bytes of other formats: whether their first bytes are those of the ending they name."""
     p = table(spark, sf_dir, "pages")
     ends = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "PNG", "csv", "gif", "docx", "odd")]), F.pmod("page_id", F.lit(6)).cast("int") + 1)
     head = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("255044462D31", "89504E470D0A1A0A00", "00", "474946383961", "504B0303", "00")]), F.pmod("page_id", F.lit(6)).cast("int") + 1)
-    return p.select("page_id", ends.alias("ending"), files.looks_like(ends, head).alias("ok"))
+    return p.select("page_id", ends.alias("ending"), files.looks_like(ends, F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("ok"))
 
 
 def q_format_counts(spark, sf_dir):
@@ -51,7 +51,7 @@ def q_matrix_wide(spark, sf_dir):
     """Each supplier's cells as one map, shown as a sheet shows them."""
     kind = F.col("attribute_id") % 4
     shown = H.typed_text(F.when(kind == 0, F.col("present")), F.when(kind == 1, F.round(F.col("confidence") * 100, 0)), F.when(kind == 2, F.concat(F.lit("o"), F.col("attribute_id") % 3)), F.when(kind == 3, F.lit("")))
-    wide = H.wide_map(latest(spark, sf_dir).where("attribute_id < 100").withColumn("shown", shown), "entity_id", "attribute_id", "shown")
+    wide = H.wide_map(latest(spark, sf_dir).withColumn("shown", shown), "entity_id", "attribute_id", "shown")
     return wide.select("entity_id", F.size("cells").alias("n"), F.to_json("cells").alias("cells"))
 
 
@@ -108,10 +108,10 @@ def q_results_json(spark, sf_dir):
 
 
 def q_trend_series(spark, sf_dir):
-    """Shares of present findings of suppliers 1 to 20 by month, with gaps, and the campaign's average."""
+    """Shares of present findings of all suppliers by month, with gaps, and the campaign's average."""
     from entivore.sources.tables import results
 
-    r = results(spark, sf_dir).where("entity_id BETWEEN 1 AND 20")
+    r = results(spark, sf_dir)
     s = r.groupBy(F.col("job").alias("date"), "entity_id").agg((F.count_if("present") / F.count("*")).alias("score"))
     return H.trend_series(s)
 
@@ -131,7 +131,7 @@ ORACLES = {
     "q_magic_bytes": "SELECT page_id, ['pdf', 'PNG', 'csv', 'gif', 'docx', 'odd'][(page_id % 6 + 1)::INT] AS ending, [true, true, true, true, false, NULL][(page_id % 6 + 1)::INT] AS ok FROM pages",
     "q_format_counts": "SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') != ''))::INT AS rows, len(regexp_extract_all(coalesce(text, ''), '(?m)^\\[Page [0-9]+\\]'))::INT AS pages, len(regexp_extract_all(coalesce(text, ''), '(?m)^## Sheet:'))::INT AS sheets FROM documents",
     "q_session_blob": "SELECT conv_id, (row_number() OVER w - 1)::INT AS ix, length(text)::INT AS chars, CASE WHEN row_number() OVER w <= 2 THEN role END AS filename FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "q_matrix_wide": f"""WITH {LATEST}, c AS (SELECT entity_id, attribute_id::VARCHAR AS k, CASE attribute_id % 4 WHEN 0 THEN CASE WHEN present THEN 'Yes' ELSE 'No' END WHEN 1 THEN round(confidence * 100, 0)::BIGINT::VARCHAR WHEN 2 THEN 'o' || attribute_id % 3 ELSE '' END AS v FROM latest WHERE attribute_id < 100)
+    "q_matrix_wide": f"""WITH {LATEST}, c AS (SELECT entity_id, attribute_id::VARCHAR AS k, CASE attribute_id % 4 WHEN 0 THEN CASE WHEN present THEN 'Yes' ELSE 'No' END WHEN 1 THEN round(confidence * 100, 0)::BIGINT::VARCHAR WHEN 2 THEN 'o' || attribute_id % 3 ELSE '' END AS v FROM latest)
 SELECT entity_id, count(*)::INT AS n, '{{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}}' AS cells FROM c GROUP BY 1""",
     "q_matrix_columns": f"WITH {LATEST}, c AS (SELECT entity_id, attribute_id, CASE WHEN present THEN 'Yes' ELSE 'No' END AS v FROM latest WHERE attribute_id IN (1, 2, 3)) SELECT entity_id, coalesce(max(v) FILTER (WHERE attribute_id = 1), '') AS \"1\", coalesce(max(v) FILTER (WHERE attribute_id = 2), '') AS \"2\", coalesce(max(v) FILTER (WHERE attribute_id = 3), '') AS \"3\" FROM c GROUP BY 1",
     "q_results_csv": f"WITH {LATEST}, {W} SELECT entity_id, attribute_id, 's' || entity_id || ',''=' || attribute_label || ',' || CASE WHEN present THEN 'Yes' ELSE 'No' END || ',' || printf('%.2f', confidence) || ',' || printf('%.2f', weight::DOUBLE) || ',' || strftime(created_at, '%Y-%m-%d') AS line FROM latest JOIN w USING (attribute_id)",
@@ -140,7 +140,7 @@ SELECT entity_id, count(*)::INT AS n, '{{' || string_agg('"' || k || '":"' || v
     "q_import_errors": "SELECT p_partkey + 2 AS row, p_type, CASE WHEN p_partkey % 7 = 0 AND p_type = 'PROMO' THEN 'Missing entity label; No promotions' WHEN p_partkey % 7 = 0 THEN 'Missing entity label' ELSE 'No promotions' END AS _error FROM part WHERE p_partkey % 7 = 0 OR p_type = 'PROMO'",
     "q_job_report": "WITH r AS (SELECT l_orderkey, string_agg('## supplier ' || l_suppkey || ' — part ' || l_partkey || chr(10) || chr(10) || 'flag ' || l_returnflag, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, '## supplier ' || l_suppkey || ' — part ' || l_partkey || chr(10) || chr(10) || 'flag ' || l_returnflag) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, md5(t) AS digest, length(t)::INT AS chars FROM r",
     "q_results_json": f"WITH {LATEST} SELECT entity_id, '{{\"entity_id\":' || entity_id || ',\"found\":' || count(*) FILTER (WHERE present) || ',\"missing\":' || count(*) FILTER (WHERE NOT present) || '}}' AS body FROM latest GROUP BY 1",
-    "q_trend_series": f"""WITH {LATEST}, s AS (SELECT job AS date, entity_id, count(*) FILTER (WHERE present) / count(*) AS score FROM res WHERE entity_id BETWEEN 1 AND 20 GROUP BY 1, 2), w AS (SELECT date, sum(round(score * 10000)::BIGINT) / count(*) AS a FROM s GROUP BY 1)
+    "q_trend_series": f"""WITH {LATEST}, s AS (SELECT job AS date, entity_id, count(*) FILTER (WHERE present) / count(*) AS score FROM res GROUP BY 1, 2), w AS (SELECT date, sum(round(score * 10000)::BIGINT) / count(*) AS a FROM s GROUP BY 1)
 SELECT w.date, e.entity_id, round(score * 100, 2) AS percent, round(a / 100, 1) AS campaign FROM w CROSS JOIN (SELECT DISTINCT entity_id FROM s) e LEFT JOIN s ON s.date = w.date AND s.entity_id = e.entity_id""",
     "q_token_costs": "SELECT conv_id, sum(length(coalesce(text, '')) // 4)::BIGINT AS tokens, sum(length(coalesce(text, '')) // 4 * CASE WHEN role = 'assistant' THEN 1000 ELSE 250 END)::BIGINT AS cost FROM conversations GROUP BY 1",
 }

@@ -80,15 +80,14 @@ def q_claims_conflict(spark, sf_dir):
 
 
 def q_history_trim(spark, sf_dir):
-    t = D.recent_turns(table(spark, sf_dir, "conversations"), 200)
-    return t.groupBy("conv_id").agg(F.count("*").alias("turns_kept"), F.min("turn").alias("first_turn"))
+    """Conversations trimmed to 300 tokens; every third answer counts as a tool's."""
+    c = table(spark, sf_dir, "conversations").withColumn("role", F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), "tool").otherwise(F.col("role")))
+    return D.trimmed_turns(c, 300).select("conv_id", "turn", "role")
 
 
 def q_session_cap(spark, sf_dir):
-    """Characters of each turn that fit in 1000 characters of its conversation."""
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = table(spark, sf_dir, "conversations").withColumn("before", before)
-    return c.select("conv_id", "turn", F.greatest(F.lit(0), F.least(F.length("text"), 1000 - F.col("before"))).cast("long").alias("n_kept"))
+    """Turns cut to 1000 characters of each conversation."""
+    return D.capped(table(spark, sf_dir, "conversations"), 1000).select("conv_id", "turn", "text")
 
 
 def q_claims_by_host(spark, sf_dir):
@@ -152,8 +151,10 @@ SELECT row, 'p_partkey' AS "column", p_partkey::VARCHAR AS value FROM r UNION AL
     "q_batch_greedy": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 r(doc_id, i, s, b) AS (SELECT doc_id, i, length(t), 0 FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN s > 0 AND s + length(t) > 1000 THEN length(t) ELSE s + length(t) END, CASE WHEN s > 0 AND s + length(t) > 1000 THEN b + 1 ELSE b END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
 SELECT doc_id, max(b)::INT AS last_batch FROM r GROUP BY 1""",
-    "q_history_trim": "WITH t AS (SELECT *, sum(floor(length(coalesce(text, '')) / 4) + 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations) SELECT conv_id, count(*) AS turns_kept, min(turn) AS first_turn FROM t WHERE used <= 200 GROUP BY 1",
-    "q_session_cap": "WITH t AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) SELECT conv_id, turn, greatest(0, least(length(text), 1000 - before))::BIGINT AS n_kept FROM t",
+    "q_history_trim": """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'tool' ELSE role END AS role, length(coalesce(text, '')) // 4 + 4 AS cost FROM conversations),
+k AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id) - 300 AS over_, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY role != 'tool', turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+s AS (SELECT *, min(turn) FILTER (WHERE role IN ('user', 'system')) OVER (PARTITION BY conv_id) AS start FROM k WHERE before >= over_) SELECT conv_id, turn, role FROM s WHERE turn >= coalesce(start, turn)""",
+    "q_session_cap": "WITH t AS (SELECT *, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) SELECT conv_id, turn, left(text, greatest(0, 1000 - before)::BIGINT) AS text FROM t",
     "q_predicate_normalise": """WITH e AS (SELECT event_id, ['Buys', 'purchased ', 'fan-of', 'sponsors', 'operates in'][event_id % 5 + 1] AS raw, round(event_id % 100 / 100, 2) AS confidence FROM events),
 k AS (SELECT * FROM (VALUES ('buys', 'owns', 'ownership', 0.5), ('purchased', 'owns', 'ownership', 0.5), ('owns', 'owns', 'ownership', 0.5), ('fan_of', 'fan_of', 'affinity', 0.75), ('sponsors', 'sponsors', 'deal_network', 0.7)) t(key, canonical, family, least))
 SELECT event_id, raw, canonical, family, coalesce(confidence >= least, false) AS keep FROM e LEFT JOIN k ON key = regexp_replace(trim(lower(raw)), '[ -]', '_', 'g')""",

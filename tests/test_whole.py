@@ -52,11 +52,6 @@ def test_only_pending_jobs_are_claimable(spark, tmp_path):
     assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, sf).collect()] == [(4, dt.datetime(2024, 1, 6)), (2, dt.datetime(2024, 1, 8))]
 
 
-def test_claimable_jobs_on_the_smallest_tables(spark):
-    sql = f"WITH st AS ({queues.ORACLES['q_queue_state']}) SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' AND user_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10"
-    assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, SF).collect()] == duck(sql, "events")
-
-
 def test_bm25_asks_the_whole_passage(spark, tmp_path):
     saved(spark, tmp_path, "benchmark", [(1, "a b c d e f g h i late")], "item_id long, text string")
     sf = saved(spark, tmp_path, "documents", [(1, "x y"), (2, "a late word"), (3, "a z w")], "doc_id long, text string")
