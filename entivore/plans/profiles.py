@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from entivore.operators import answers as A
 from entivore.operators import cascades
 from entivore.operators import profiles as P
 from entivore.operators.passages import sheets
@@ -49,6 +50,33 @@ def q_schema_summary(spark, sf_dir):
     return P.summaries(P.roles(_profiles(spark, sf_dir)))
 
 
+def _plans(spark, sf_dir):
+    """Every second order gets a simple plan, the others a complex one, of three rows a request; one answer in five fails."""
+    docs = sheets(_orders(spark, sf_dir))
+    plans = docs.select(F.col("doc_id").alias("plan_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("kind"), F.array(F.lit("PRICE"), F.lit("supplier name")).alias("columns"))
+    requests = stored(A.requests(docs, plans, 3), "requests")
+    value = F.transform(F.slice(F.split("chunk", "\n"), 2, 3), lambda x: F.trim(F.element_at(F.split(x, r"\|"), 3)))
+    answers = requests.select("plan_id", "sheet", "ix", F.when((F.col("plan_id") + F.col("ix")) % 5 == 0, "failed").alias("error"), value.alias("matches"))
+    return docs, plans, requests, answers
+
+
+def q_plan_simple(spark, sf_dir):
+    docs, plans, _, _ = _plans(spark, sf_dir)
+    return A.simple(docs, plans).select("plan_id", "sheet", "row", "column", "value")
+
+
+def q_plan_requests(spark, sf_dir):
+    return _plans(spark, sf_dir)[2].select("plan_id", "sheet", "ix", "chunk")
+
+
+def q_plan_merged(spark, sf_dir):
+    return A.merged(*_plans(spark, sf_dir)[2:])
+
+
+def q_plan_outcomes(spark, sf_dir):
+    return A.outcomes(*_plans(spark, sf_dir)[2:])
+
+
 def _cascaded(spark, sf_dir):
     """What goes with region 2: nations, their suppliers and customers, orders, and lines."""
     lines = table(spark, sf_dir, "lineitem").withColumn("line", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
@@ -86,6 +114,8 @@ p AS (SELECT doc_id, position, sum(n) AS n, coalesce(sum(n) FILTER (WHERE value
   coalesce(array_to_string(list_slice(list(value ORDER BY row) FILTER (WHERE value != ''), 1, 3), '|'), '') AS samples FROM v GROUP BY ALL),
 r AS (SELECT *, ['Line', 'Price', 'Discount', 'Shipped', 'Supplier name', 'column 6'][position + 1] AS "column", CASE WHEN filled = 0 THEN 'empty' ELSE ['number', 'money', 'percent', 'date', 'text', 'flag'][position + 1] END AS type,
   CASE WHEN filled = 0 THEN 'empty' WHEN position = 0 THEN CASE WHEN n_distinct = n THEN 'key' ELSE 'measure' END ELSE ['', 'amount', 'share', 'date', 'organisation', 'flag'][position + 1] END AS role FROM p)"""
+_ASKED = f"""{_CELLS}, w AS (SELECT doc_id, row, max(value) FILTER (WHERE position = 1) AS price, max(value) FILTER (WHERE position = 4) AS supplier FROM x GROUP BY ALL),
+q AS (SELECT doc_id AS plan_id, 'lines' AS sheet, ((row - 1) // 3)::INT AS ix, row, price, supplier FROM w WHERE doc_id % 2 = 1)"""
 _GONE = """n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM n)), c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT k FROM n)), o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c)),
 l AS (SELECT l_suppkey, l_quantity, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS k, CASE WHEN l_suppkey IN (SELECT k FROM s) THEN 3 WHEN l_orderkey IN (SELECT k FROM o) THEN 4 END AS level FROM lineitem)"""
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -94,6 +124,10 @@ ORACLES = {
     "q_schema_profile": "WITH k AS (SELECT l_orderkey % 700 AS session, CASE WHEN count(*) > 1 THEN 'tabular' ELSE 'prose' END AS kind FROM lineitem GROUP BY l_orderkey UNION ALL SELECT doc_id % 500 + 600, 'prose' FROM documents) SELECT session, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'mixed' END AS kind, count(*) AS n FROM k GROUP BY 1",
     "q_query_suggestions": f"""WITH {_CELLS} SELECT doc_id, array_to_string(list_slice(['How much is Price in all?'] || CASE WHEN max(filled) FILTER (WHERE position = 4) > 0 THEN ['Which organisations stand under Supplier name?'] ELSE [] END || ['What time does Shipped span?', 'Where is Discount highest?'], 1, 3), ' / ') AS asks FROM r GROUP BY 1""",
     "q_schema_summary": f"""WITH {_CELLS} SELECT doc_id, 1::BIGINT AS sheets, 6::BIGINT AS columns, 'lines: ' || string_agg("column" || ' (' || role || ')', ', ' ORDER BY position) FILTER (WHERE position < 5) AS summary FROM r GROUP BY 1""",
+    "q_plan_simple": f'WITH {_ASKED}, s AS (SELECT * FROM w WHERE doc_id % 2 = 0 AND supplier != \'\' AND price != \'\') SELECT doc_id AS plan_id, \'lines\' AS sheet, row::INT AS row, \'Price\' AS "column", price AS value FROM s UNION ALL SELECT doc_id, \'lines\', row::INT, \'Supplier name\', supplier FROM s',
+    "q_plan_requests": f"WITH {_ASKED} SELECT plan_id, sheet, ix, '| Price | Supplier name |' || chr(10) || string_agg('| ' || price || ' | ' || supplier || ' |', chr(10) ORDER BY row) AS chunk FROM q GROUP BY 1, 2, 3",
+    "q_plan_merged": f"WITH {_ASKED} SELECT plan_id, supplier AS value, sheet || ':' || min(ix) AS first, count(*) AS n FROM q WHERE supplier != '' AND (plan_id + ix) % 5 != 0 GROUP BY plan_id, sheet, supplier",
+    "q_plan_outcomes": f"WITH {_ASKED}, c AS (SELECT DISTINCT plan_id, ix FROM q), o AS (SELECT plan_id, count(*) AS chunks, count(*) FILTER (WHERE (plan_id + ix) % 5 = 0) AS failed FROM c GROUP BY 1) SELECT *, failed > 0 AND failed < chunks AS partial, failed = 0 AS cached FROM o",
     "q_cascade_levels": f"WITH {_GONE} SELECT 'region' AS \"table\", '2' AS key, 0 AS level UNION ALL SELECT 'nation', k::VARCHAR, 1 FROM n UNION ALL SELECT 'supplier', k::VARCHAR, 2 FROM s UNION ALL SELECT 'customer', k::VARCHAR, 2 FROM c UNION ALL SELECT 'orders', k::VARCHAR, 3 FROM o UNION ALL SELECT 'lineitem', k, min(level) FROM l WHERE level IS NOT NULL GROUP BY k",
     "q_cascade_scores": f"WITH {_GONE}, lost AS (SELECT DISTINCT l_suppkey FROM l WHERE level IS NOT NULL), g AS (SELECT k FROM l WHERE level IS NOT NULL) SELECT l_suppkey, count(*) AS lines, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, l_suppkey IN (SELECT l_suppkey FROM lost) AS recomputed FROM l WHERE k NOT IN (SELECT k FROM g) GROUP BY 1",
 }
