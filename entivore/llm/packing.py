@@ -81,6 +81,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, rows_per_shard: int = ROW
         F.col("source").cast("string").alias("source"),
         (n_words(text) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
         F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)).alias("cluster"),
+        F.monotonically_increasing_id().alias("number"),  # stays the same once stored, however often a task runs
     )
     rows = stored(rows, "pack-rows")
     key = F.xxhash64("doc_id", "source", "cluster")
@@ -91,7 +92,8 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, rows_per_shard: int = ROW
         rows = rows.withColumn("shard", F.pmod(key, shards))
     else:
         rows = rows.withColumn("key", key).join(again.withColumn("often", F.lit(True)), "key", "left")
-        rows = rows.withColumn("shard", F.pmod(F.when(F.col("often"), F.xxhash64("key", F.monotonically_increasing_id())).otherwise(F.col("key")), shards)).drop("key", "often")
+        rows = rows.withColumn("shard", F.pmod(F.when(F.col("often"), F.xxhash64("key", "number")).otherwise(F.col("key")), shards)).drop("key", "often")
+    rows = rows.drop("number")
     kind = docs.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("piece", pa.int32()), ("n_words", pa.int64()), ("shard", pa.int64()), ("bin", pa.int32()), ("offset", pa.int64())])
 

@@ -6,10 +6,12 @@ most TABLE_SIZE pre-tokens) and broadcasts it: some 2 MB, whatever the size of t
 The table decides about speed only: what it lacks is encoded by the library and kept in a
 bounded cache of the worker (tier two). All texts are counted whole, where they are read.
 
-Pre-tokens are found here only if the tokenizer file names the normaliser and the pattern of
-NORMALIZER and PRE_TOKENIZER, and only in texts whose characters are all below U+0250, where
-that normalisation is lower-casing; other texts, texts that hold a special string of the
-tokenizer, and all texts under another tokenizer are encoded by the library as a whole.
+Pre-tokens are looked up only if the tokenizer file names the normaliser and the pattern of
+NORMALIZER and PRE_TOKENIZER. In texts whose characters are all below U+0250, where that
+normalisation is lower-casing, one pattern finds them; in texts of any other script the
+library's own normaliser and pre-tokenizer do, so that both tiers serve every script. Texts
+that hold a special string of the tokenizer, and all texts under another tokenizer, are encoded
+by the library as a whole.
 
 Cases: null text counts as empty and has no tokens. An empty table gives an empty result.
 Very long texts are counted whole. Repeated rows are counted each. Other columns are left
@@ -90,11 +92,14 @@ def specials(tokenizer) -> tuple[str, ...] | None:
     return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
 
-def pre_tokens(text: str, special: tuple[str, ...] | None) -> list[str] | None:
-    """The text's pre-tokens; None if only the library can tell."""
-    if special is None or (not text.isascii() and _FAR.search(text)) or any(x in text for x in special):
+def pre_tokens(text: str, special: tuple[str, ...] | None, tokenizer) -> list[str] | None:
+    """The text's pre-tokens; None if the text has to be encoded as a whole."""
+    if special is None or any(x in text for x in special):
         return None
-    return _PRE.findall(text.lower())
+    if text.isascii() or not _FAR.search(text):
+        return _PRE.findall(text.lower())
+    plain = tokenizer.normalizer.normalize_str(text)
+    return [plain[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
 
 def frequent(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
@@ -102,7 +107,7 @@ def frequent(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, table_s
     tokenizer, seen = load(path), Counter()
     special = specials(tokenizer)
     for row in docs.select(F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text")).where("text != ''").take(sample_docs):
-        seen.update(pre_tokens(row.text, special) or ())
+        seen.update(pre_tokens(row.text, special, tokenizer) or ())
     words = [w for w, _ in seen.most_common(table_size)]
     return dict(zip(words, (len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)), strict=True))
 
@@ -121,7 +126,7 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, **options) ->
                 sizes, tokens = [], []
                 for text in batch.column("text").to_pylist():
                     text = text or ""
-                    words = pre_tokens(text, special)
+                    words = pre_tokens(text, special, tokenizer)
                     sizes.append(len(text.encode()))
                     tokens.append(len(tokenizer.encode(text, add_special_tokens=False).ids) if words is None else sum(map(lengths.__getitem__, words)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -250,3 +250,40 @@ def test_packing_within_shards_fills_as_one_packing_does(spark, docs):
     """Shards of a hundred rows need few more bins than one packing of all."""
     bins = lambda n: len({(r.shard, r.bin) for r in packing.pack(docs, rows_per_shard=n).collect()})
     assert bins(100) <= 1.1 * bins(10**9)
+
+
+# 7: pre-tokens of any script
+def test_no_script_skips_the_tiers(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = token_count.load(path)
+    special = token_count.specials(tokenizer)
+    rng = random.Random(7)
+    pools = ["abc ABC é“”’—… 123", "дом Дом и Я ё", "漢字かなカナ。、", "αβγ ΑΣς", "İıſKÅ", "á ẹ̈ ́̀", "😀👩‍👩‍👧 🇩🇪", "ا ب ت ١٢٣", "한국어 각 각", "ﬁ ﬃ Ⅻ ²", "\u2003\u3000 \u0085\x1c", "हिन्दी ನಮ"]
+    texts = ["".join(rng.choice("".join(rng.sample(pools, 2))) for _ in range(rng.randint(0, 80))) for _ in range(400)] + ["It’s “quoted” — привет, 世界!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(df, path).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert all(token_count.pre_tokens(t, special, tokenizer) is not None for t in texts if not any(x in t for x in special))
+
+
+# 1: classes beyond one bucket, 5: repeats
+def test_mixes_of_many_buckets(spark, docs):
+    def mix(df, n):
+        return {r.id: (r.source_size, r.target, r.size, r.copies) for r in mixing.mix(df, keep=["doc_id"], rows_per_bucket=n).collect()}
+
+    one, many = mix(docs, 50_000), mix(docs, 1)
+    assert many == mix(docs.repartition(3), 1) and set(many) == set(one)
+    for source_size, target in {x[:2] for x in one.values()}:
+        mine = [x for x in many.values() if x[:2] == (source_size, target)]
+        assert abs(sum(x[2] * x[3] for x in mine) - target) <= 0.1 * target + 3 * max(x[2] for x in mine)
+    assert all(0 <= x[3] <= 3 for x in many.values()) and many != one
+
+
+def test_repeated_rows_are_dealt_once(spark):
+    rows = [(1, "s", "one two three")] * 500 + [(2, "s", "four")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    packed = packing.pack(df, capacity=10, rows_per_shard=50)
+    assert packed.count() == len(rows) and packed.select("shard").distinct().count() > 5
+    assert "monotonically" not in packed._jdf.queryExecution().optimizedPlan().toString()
