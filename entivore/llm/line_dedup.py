@@ -10,7 +10,11 @@ similarity s with a chance of about s ** ROWS, found by any band with
 1 - (1 - s ** ROWS) ** BANDS: 0.986 at 0.8, 0.999 at 0.85. Lines of up to SHORT shingles have
 SHORT_BANDS more, of SHORT_ROWS hashes, as a few long windows would hold most of the line.
 
-Lines that share a band are candidates; of bands with the same lines one is kept. Candidates
+Lines that share a band are candidates; of bands with the same lines one is kept. A band that
+more than CROWD lines share, as those that begin with the same words do, says little: its lines
+meet by a rare shingle instead. Shingles of such lines are ordered by how many of them hold each;
+two similar lines share one of their rarest, of as many as a line can't miss all of, so this
+loses no pair, and lines that have but the frequent ones in common are never compared. Candidates
 whose sets have a Jaccard similarity of 0.8 or more, counted exactly, are linked. A
 distributed union-find joins links to components; of each component, and of equal lines, the
 first line (by doc_id, row and line number) stays.
@@ -37,6 +41,8 @@ from entivore.llm.common import discard, linked, small, stored, table, with_rows
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 14, 6
 SHORT, SHORT_BANDS, SHORT_ROWS = 40, 8, 3
+#: Lines of a band beyond which they meet by rare shingles.
+CROWD = 16
 #: Keys of up to so many rows (about 40 MB) are broadcast; beyond, an ordinary join is used.
 BROADCAST_ROWS = 500_000
 
@@ -101,6 +107,25 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).where(F.exists(shared, lambda i: 100 * i >= percent * (F.col("sa") + F.col("sb") - i))).select("a", "b")
 
 
+def by_rare_shingles(cells: DataFrame, texts: DataFrame, percent: int, crowd: int = CROWD) -> DataFrame:
+    """cells (cell, id, size) in which those of more than crowd ids give way to a cell for each shingle that some of their ids
+    share and that similar ids can't do without; texts: id, size, line."""
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("cell")
+    crowded = stored(crowded, "lines-crowded")
+    if crowded.isEmpty():
+        return cells
+    members = cells.join(small(crowded, BROADCAST_ROWS), "cell").select("id").distinct()
+    sets = stored(texts.join(members, "id").select("id", "size", F.explode(_hashes(F.col("line"))).alias("h")), "lines-sets")
+    common = sets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = sets.join(common, "h").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+    # of size shingles so many may differ; those that no other line holds come first among them
+    spare = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("all"))
+    rare = shared.select(F.explode(F.transform(F.slice("all", F.lit(1), F.greatest(spare, F.lit(0)).cast("int")), lambda x: F.xxhash64(F.lit("rare"), x["h"]))).alias("cell"), "id", "size")
+    out = stored(cells.join(small(crowded, BROADCAST_ROWS), "cell", "left_anti").unionByName(rare.select(*cells.columns)), "lines-refined")
+    discard(crowded, sets)
+    return out
+
+
 def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs (doc_id, text): row, doc_id, n_lines, n_kept, removed (numbers of the lines that go,
     counted from 0). row: a column that tells rows apart; one is made if none is given."""
@@ -125,7 +150,7 @@ def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERC
         a, b = (texts.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
         return _similar(pairs.join(a, "a").join(b, "b"), percent)
 
-    labels = linked(cells, verify, percent)
+    labels = linked(by_rare_shingles(cells, texts, percent), verify, percent)
     fuzzy = wanted.join(labels.withColumnRenamed("node", "id"), "id").select("k1", "k2", "label")
     exact = lines.where("n > 1").select("k1", "k2")
     groups = exact.join(fuzzy, ["k1", "k2"], "full").select("k1", "k2", F.col("label").isNotNull().alias("g0"), F.coalesce("label", "k1").alias("g1"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"))

@@ -1,6 +1,9 @@
 """Lines without spaces and rulers of different lengths meet their near copies."""
 
 import random
+import string
+
+import pytest
 
 from entivore.llm import line_dedup
 
@@ -14,3 +17,19 @@ def test_unspaced_lines_and_rulers(spark):
     docs = spark.createDataFrame([(1, "\n".join(base + rulers[::2])), (2, "\n".join(near + rulers[1::2]))], "doc_id long, text string")
     got = {r.doc_id: list(r.removed) for r in line_dedup.decisions(docs).collect()}
     assert got == {1: [], 2: list(range(len(base) + 2))}
+
+
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_templates_are_no_square(spark, monkeypatch, n):
+    """Lines that share a long beginning and are not similar: few pairs are verified, and similar ones are found among them."""
+    rng = random.Random(n)
+    template = "share this page with your friends and subscribe to our weekly newsletter at"
+    lines = [f"{template} {''.join(rng.choices(string.ascii_lowercase + string.digits, k=45))}" for _ in range(n)]
+    twins = {i: lines[i][:-2] + "zz" for i in range(0, n, 50)}
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10_000 + i, x) for i, x in twins.items()]
+    compared = []
+    similar = line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, percent: compared.append(pairs.count()) or similar(pairs, percent))
+    got = {r.doc_id for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").collect()}
+    assert got == {10_000 + i for i in twins}
+    assert sum(compared) <= 4 * n
