@@ -17,7 +17,7 @@ def _orders(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     cell = [F.col("l_linenumber").cast("string"), F.concat(F.lit("$"), F.floor("l_extendedprice").cast("long").cast("string")), F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")), F.date_format("l_shipdate", "yyyy-MM-dd"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("Supplier "), F.col("l_suppkey"))), F.when(F.col("l_returnflag") == "R", "yes").otherwise("no")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |"))
-    rows = l.select("l_orderkey", F.struct("l_linenumber", "l_partkey", line.alias("line")).alias("x"))
+    rows = l.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag", line.alias("line")).alias("x"))
     body = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
     head = "## Sheet: lines\n| Line | Price | Discount | Shipped | Supplier name |  |\n| --- | --- | --- | --- | --- | --- |\n"
     text = F.when(F.size("lines") > 1, F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n| 99 | $5 |\n"))).otherwise("one line, no table")
@@ -105,7 +105,7 @@ def q_cascade_scores(spark, sf_dir):
     return cascades.recomputed(compute(lines), lost, "l_suppkey", left, compute)
 
 
-_CELLS = r"""t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS row, count(*) OVER (PARTITION BY l_orderkey) AS m, l_linenumber::VARCHAR AS c0, '$' || floor(l_extendedprice)::BIGINT AS c1, round(l_discount * 100)::INT || '%' AS c2, strftime(l_shipdate, '%Y-%m-%d') AS c3,
+_CELLS = r"""t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_shipdate, l_returnflag) AS row, count(*) OVER (PARTITION BY l_orderkey) AS m, l_linenumber::VARCHAR AS c0, '$' || floor(l_extendedprice)::BIGINT AS c1, round(l_discount * 100)::INT || '%' AS c2, strftime(l_shipdate, '%Y-%m-%d') AS c3,
   CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'Supplier ' || l_suppkey END AS c4, CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS c5 FROM lineitem),
 x AS (SELECT doc_id, row, m, unnest([0, 1, 2, 3, 4, 5]) AS position, unnest([c0, c1, c2, c3, c4, c5]) AS value FROM t WHERE m > 1
   UNION ALL SELECT doc_id, m + 1, m, unnest([0, 1, 2, 3, 4, 5]), unnest(['99', '$5', '', '', '', '']) FROM (SELECT DISTINCT doc_id, m FROM t WHERE m > 1)),
