@@ -202,7 +202,7 @@ def test_other_tokenizers_are_left_to_the_library(spark, docs):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     columns = sorted(df.columns)
