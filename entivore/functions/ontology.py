@@ -88,7 +88,6 @@ SPELLINGS = {
     },
 }
 SUFFIXES = ("_of", "_by", "_with", "_in", "_for", "_at", "_to", "_from")
-LEGACY = {"ownership": "ownership", "employment": "role", "transaction": "investment", "location": "location", "partnership": "deal_network"}
 #: Floors of the relevance of entity types, and what edges add or take.
 TYPE_FLOORS = {"person": 0.4, "sports_team": 0.6, "sports_league": 0.7, "company": 0.5, "pe_fund": 0.65, "sports_foundation": 0.55, "transaction_event": 0.7, "location": 0.3, "life_event": 0.6, "media_rights_deal": 0.7}
 HIGH_EDGE, HIGH_MOST, MEDIUM_EDGE, MEDIUM_MOST, ONLY_LOW, KEEP_ENTITY = 0.20, 0.40, 0.10, 0.20, 0.10, 0.40

@@ -1,8 +1,8 @@
-"""Reading delimited files, and telling file types by their first bytes."""
+"""Delimiters and byte order marks of text files, and file types by their first bytes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -23,16 +23,6 @@ def without_mark(text: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def read_csv(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """A delimited file with a header, all columns strings; quoted fields may hold delimiters, doubled quotes and line
-    breaks. The delimiter is told from the first line. limit: so many rows at most; 0: all."""
-    head = spark.read.text(path).limit(1).select(delimiter(without_mark(F.col("value")))).first()
-    sep = head[0] if head else ","
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return df.limit(limit) if limit else df
-
-
 def looks_like(ending: Column, content: Column) -> Column:
     """Whether content begins as files of that ending do; null for endings that aren't known."""
     out = F.when(F.lower(ending).isin(*PLAIN), True)
@@ -42,10 +32,3 @@ def looks_like(ending: Column, content: Column) -> Column:
             hit = hit | (F.hex(F.substr(content, F.lit(at + 1), F.lit(len(sign) // 2))) == sign)
         out = out.when(F.lower(ending) == name, hit)
     return out
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    """df as CSV files with a header, cells made safe for spreadsheets."""
-    from entivore.functions.text import csv_safe
-
-    df.select(*[csv_safe(F.col(c).cast("string")).alias(c) for c in df.columns]).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)

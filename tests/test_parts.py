@@ -14,7 +14,7 @@ from entivore.operators import passages as P
 from entivore.operators import queues as Q
 from entivore.operators import sheets as H
 from entivore.plans import catalog
-from entivore.sources import files
+from entivore.sources import delimited
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,10 +128,10 @@ def test_chunks_are_the_text(spark):
 def test_csv_files(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('﻿Team;Owners;Note\nReds;"Ann; Bob";"said ""hi"""\nBlues;;"two\nlines"\n')
-    got = files.read_csv(spark, str(path))
+    got = delimited.read_delimited(spark, str(path))
     assert got.columns == ["Team", "Owners", "Note"]
     assert [tuple(r) for r in got.collect()] == [("Reds", "Ann; Bob", 'said "hi"'), ("Blues", None, "two\nlines")]
-    files.write_csv(spark.createDataFrame([("=1+1", 2), ("ok", None)], "a string, b int"), str(tmp_path / "out"))
+    delimited.write_delimited(spark.createDataFrame([("=1+1", 2), ("ok", None)], "a string, b int"), str(tmp_path / "out"))
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).fillna("").collect()) == [("'=1+1", "2"), ("ok", "")]
 
 
