@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from entivore.functions.text import ilike, similarity
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """name, degree: both ends count, a loop twice."""
@@ -106,6 +108,41 @@ def merged(edges: DataFrame, winners: DataFrame) -> DataFrame:
     return kept.select("s", "predicate", "o").distinct()
 
 
+def merged_entities(entities: DataFrame, winners: DataFrame) -> DataFrame:
+    """entities (id, name, aliases, ...) without the losers (loser, winner); a winner's aliases are joined by the names and aliases
+    of those that it stands for, each once, in order. Others stay as they are."""
+    none = F.array().cast("array<string>")
+    lost = entities.join(winners, F.col("id") == F.col("loser")).select(F.col("winner").alias("id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", none))).alias("alias"))
+    gained = lost.where("alias IS NOT NULL").groupBy("id").agg(F.collect_set("alias").alias("_gained"))
+    kept = entities.join(winners.select(F.col("loser").alias("id")), "id", "left_anti").join(gained, "id", "left")
+    union = F.array_sort(F.array_union(F.coalesce("aliases", none), "_gained"))
+    return kept.withColumn("aliases", F.when(F.col("_gained").isNull(), F.col("aliases")).otherwise(union)).drop("_gained")
+
+
+def with_degree(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits, a page of entities (id, ...), with degree: only edges at them are counted."""
+    ids = hits.select(F.col("id").alias("end")).distinct()
+    ends = edges.select(F.explode(F.array("s", "o")).alias("end"))
+    found = ends.join(F.broadcast(ids), "end", "left_semi").groupBy("end").agg(F.count("*").alias("degree"))
+    return hits.join(found, F.col("id") == F.col("end"), "left").drop("end").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def searched(entities: DataFrame, edges: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """The newest entities (id, name, aliases, description, updated_at) whose name or description holds query or of whose aliases
+    one is it, whatever the case, with their degree."""
+    low = query.lower()
+    hit = ilike(F.col("name"), query) | F.exists("aliases", lambda a: F.lower(a) == low) | ilike(F.col("description"), query)
+    page = entities.where(F.coalesce(hit, F.lit(False))).orderBy(F.desc_nulls_first("updated_at"), "id").limit(limit)
+    return with_degree(page, edges)
+
+
+def suggested(entities: DataFrame, edges: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """id, name, sim, degree of the entities (id, name) most like query, of those that hold it or are somewhat like it; 1 to 50."""
+    sim = similarity(F.lower("name"), F.lit(query.lower()))
+    near = entities.select("id", "name", sim.alias("sim")).where((F.col("sim") > 0.1) | ilike(F.col("name"), query))
+    return with_degree(near.orderBy(F.desc("sim"), "name", "id").limit(min(max(limit, 1), 50)), edges)
+
+
 def promotable(edges: DataFrame, min_confidence: float, min_sessions: int) -> DataFrame:
     """Subjects whose edges are sure enough and from several sessions: name, avg_conf, sessions."""
     g = edges.groupBy(F.col("s").alias("name")).agg((F.sum(F.col("confidence").cast("decimal(4,2)")) / F.count("*")).cast("double").alias("avg_conf"), F.countDistinct("session").alias("sessions"))

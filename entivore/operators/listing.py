@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entivore.functions.text import ilike
+from entivore.operators import postings
+from entivore.operators.relational import first_per_key
 
 
 def by_id(df: DataFrame, key: str, value) -> DataFrame:
@@ -85,3 +89,35 @@ def touching(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
 def due(rows: DataFrame, at: str, now: Column) -> DataFrame:
     """Active rows whose time has come, longest due first."""
     return rows.where(F.col("active") & (F.col(at) <= now))
+
+
+def own_or_teams(campaigns: DataFrame, user, teams: Sequence) -> DataFrame:
+    """Campaigns (owner, team) that are the user's or one of the teams'."""
+    return campaigns.where((F.col("owner") == F.lit(user)) | F.col("team").isin(*teams)) if teams else campaigns.where(F.col("owner") == F.lit(user))
+
+
+def searched_in_scope(campaigns: DataFrame, entities: DataFrame, attributes: DataFrame, programs: DataFrame, query: str, user, teams: Sequence, limit: int = 20) -> DataFrame:
+    """category, id, label, hit, rank: what a search box shows, so many of each kind. Campaigns (campaign_id, label, description,
+    owner, team, created_at) that the user sees and programs (id, label, description, team, created_at) of the user's teams go by the
+    letters; entities and attributes (id, campaign_id, label, description, created_at) of such campaigns by their words (hit: all
+    of the query's stems) or by the letters, hits first. Then the newest come first; attributes go by label."""
+    own = own_or_teams(campaigns, user, teams)
+    like = lambda *columns: reduce(or_, [F.coalesce(ilike(F.col(c), query), F.lit(False)) for c in columns])
+    no = F.lit(False)
+    found = [("campaigns", own.where(like("label", "description")).select(F.col("campaign_id").alias("id"), "label", no.alias("hit"), "created_at"), [F.desc("created_at"), F.col("id")])]
+    for name, rows, order in (("entities", entities, [F.desc("created_at"), F.col("id")]), ("attributes", attributes, [F.col("label"), F.col("id")])):
+        seen = rows.join(own.select("campaign_id"), "campaign_id", "left_semi")
+        index = postings.build(seen.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "label", "description").alias("text")), postings.english_terms, places=True)
+        hits = postings.matching(index, query).select(F.col("doc_id").alias("id"), F.lit(True).alias("hit"))
+        both = seen.join(hits, "id", "left").withColumn("hit", F.coalesce("hit", no)).where(F.col("hit") | like("label", "description"))
+        found.append((name, both.select("id", "label", "hit", "created_at"), [F.desc("hit"), *order]))
+    mine = programs.where(F.col("team").isin(*teams)) if teams else programs.limit(0)
+    found.append(("programs", mine.where(like("label", "description")).select("id", "label", no.alias("hit"), "created_at"), [F.desc("created_at"), F.col("id")]))
+    pages = [rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(F.lit(name).alias("category"), F.col("id").cast("string").alias("id"), "label", "hit", "rank") for name, rows, order in found]
+    return reduce(DataFrame.unionByName, pages)
+
+
+def newest_each(rows: DataFrame, key: str, at: str, tie: str, limit: int = 50) -> DataFrame:
+    """The newest rows of each key; tasks keep no more than that of each before they shuffle."""
+    return first_per_key(rows, [key], [f"{at} desc", tie], limit)
+

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entivore.operators.documents import pages
+
 SHEET = r"(?m)^## Sheet: *(.+?) *$"
 
 
@@ -137,10 +139,9 @@ def batched(pages: DataFrame, target: int) -> DataFrame:
 
 
 def merged_first(results: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """results with one row per keys: the first by order, and how many there were (n)."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(*order))
-    return results.withColumn("_rank", rank).withColumn("n", F.count("*").over(w)).where("_rank = 1").drop("_rank")
+    """results with one row per keys: the first by order, and how many there were (n). Each task folds its own rows first."""
+    first = results.groupBy(*keys).agg(F.min_by(F.struct(*results.columns), F.struct(*order)).alias("_first"), F.count("*").alias("n"))
+    return first.select("_first.*", "n")
 
 
 def overriding(*frames: DataFrame, key: str) -> DataFrame:
@@ -151,3 +152,35 @@ def overriding(*frames: DataFrame, key: str) -> DataFrame:
         every = every.unionByName(df)
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_place")))
     return every.withColumn("_last", last).where("_last = 1").drop("_last", "_place")
+
+
+#: What a file is by the ending of its name, where nothing else says so.
+ENDINGS = {"pdf": "pdf", "csv": "csv", "tsv": "csv", "xlsx": "xlsx", "xls": "xlsx"}
+
+
+def session_chunks(sessions: DataFrame, size: int = 2000, rows: int = 8) -> DataFrame:
+    """session_id, file, filename, page (a number or a sheet), ix, chunk of the files of each session (session_id, texts, metadata: structs of filename
+    and type). Texts and metadata go in pairs as far as both reach. Tables are cut by rows, with their header (csv: the text,
+    xlsx: each sheet); pages and other texts by characters."""
+    n = F.least(F.size("texts"), F.size("metadata"))
+    pairs = F.arrays_zip(F.slice("texts", F.lit(1), n).alias("text"), F.slice("metadata", F.lit(1), n).alias("meta"))
+    files = sessions.where("texts IS NOT NULL AND metadata IS NOT NULL").select("session_id", F.posexplode(pairs).alias("file", "x"))
+    files = files.select("session_id", "file", F.coalesce("x.meta.filename", F.lit("unknown")).alias("filename"), "x.meta.type", F.col("x.text").alias("text"))
+    known = F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair])
+    ending = F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1))
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.try_element_at(known, ending), F.lit("txt"))
+    files = files.select(F.concat_ws(":", "session_id", "file").alias("doc_id"), "session_id", "file", "filename", kind.alias("kind"), "text").where("text IS NOT NULL")
+    of = {k: files.where(F.col("kind") == k).select("doc_id", "text") for k in ("pdf", "csv", "xlsx")}
+
+    def by_part(parts: DataFrame, page: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Chunks of a file's parts (doc_id, page, text)."""
+        chunks = cut(parts.select(F.to_json(F.array("doc_id", F.col(page).cast("string"))).alias("doc_id"), "text"))
+        key = F.from_json("doc_id", "array<string>")
+        return chunks.select(key[0].alias("doc_id"), key[1].alias("page"), "ix", "chunk")
+
+    rest = files.where(~F.col("kind").isin(*of)).select("doc_id", "text")
+    every = by_part(pages(of["pdf"]), "page", lambda d: recursive_chunks(d, size))
+    every = every.unionByName(table_chunks(of["csv"], rows).withColumn("page", F.lit("1")))
+    every = every.unionByName(by_part(sheets(of["xlsx"]), "sheet", lambda d: table_chunks(d, rows)))
+    every = every.unionByName(recursive_chunks(rest, size).withColumn("page", F.lit("1")))
+    return every.join(files.select("doc_id", "session_id", "file", "filename"), "doc_id").select("session_id", "file", "filename", "page", "ix", "chunk")

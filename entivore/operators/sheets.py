@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entivore.sources.delimited import write_delimited
+
 
 def typed_text(boolean: Column, numeric: Column, select: Column, text: Column) -> Column:
     """What a cell shows: its option, else its number, else yes or no, else its text."""
@@ -61,3 +63,19 @@ def trend_series(scores: DataFrame) -> DataFrame:
 
 def running_total(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     return rows.withColumn("total", F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def exported(entities: DataFrame, attributes: Sequence[tuple[str, str]], cells: DataFrame, path: str) -> None:
+    """A campaign's matrix as delimited files: Entity, GWM ID and a column for each of attributes (id, label), in their order; a label
+    that comes again is followed by its id. A cell shows its option, else its number, truth or text, safe for spreadsheets.
+
+    entities: entity_id, label, gwm_id; cells: entity_id, attribute_id, value_select, value_numeric, value_boolean, value_text."""
+    shown = F.coalesce(F.nullif("value_select", F.lit("")), F.col("value_numeric").cast("string"), F.initcap(F.col("value_boolean").cast("string")), "value_text", F.lit(""))
+    keys = [key for key, _ in attributes]
+    wide = wide_columns(cells.select("entity_id", "attribute_id", shown.alias("shown")), "entity_id", "attribute_id", "shown", keys)
+    labels: list[str] = []
+    for key, label in attributes:
+        labels.append(label if label.lower() not in {x.lower() for x in ("Entity", "GWM ID", *labels)} else f"{label} ({key})")
+    both = entities.select("entity_id", "label", "gwm_id").join(wide, "entity_id", "left").fillna("", keys)
+    columns = [F.coalesce(c, F.lit("")).alias(name) for c, name in (("label", "Entity"), ("gwm_id", "GWM ID"))]
+    write_delimited(both.select(*columns, *[F.col(f"`{k}`").alias(label) for k, label in zip(keys, labels, strict=True)]), path)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from entivore.plans import changes, clients, files, graphs, ingest, lists, passages, profiles, queues, scores, searches, sheets, texts
+from entivore.plans import changes, clients, files, graphs, ingest, lists, passages, profiles, queues, reads, scores, searches, sheets, texts
 
-_PLANS = (scores, graphs, texts, files, queues, lists, changes, ingest, clients, passages, profiles, searches, sheets)
+_PLANS = (scores, graphs, texts, files, queues, lists, changes, ingest, clients, passages, profiles, searches, sheets, reads)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
