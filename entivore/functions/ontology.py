@@ -36,55 +36,55 @@ DROPPED = (("role", "low"), ("deal_network", "low"), ("affinity", "low"), ("loca
 FLOOR, DEFAULT_LEAST = 0.50, 0.70
 SPELLINGS = {
     "ownership": {
-        "owns": "buys bought purchased acquires acquired has_ownership is_owner_of owner_of takes_ownership takes_over completes_acquisition acquires_team buys_team purchases_team",
-        "minority_stake_in": "minority_owns minority_owner partial_owner holds_stake lp_in limited_partner_in invested_equity_in",
-        "co_owns": "co_owner co_owner_of joint_owner majority_owns",
-        "controls": "controlling_owner controlling_interest_in voting_control_of",
-        "formerly_owned": "previously_owned sold_stake_in divested",
-        "subsidiary_of": "parent_of parent_company_of holding_company_of owned_by belongs_to",
+        "owns": ["buys", "bought", "purchased", "acquires", "acquired", "has_ownership", "is_owner_of", "owner_of", "takes_ownership", "takes_over", "completes_acquisition", "acquires_team", "buys_team", "purchases_team"],
+        "minority_stake_in": ["minority_owns", "minority_owner", "partial_owner", "holds_stake", "lp_in", "limited_partner_in", "invested_equity_in"],
+        "co_owns": ["co_owner", "co_owner_of", "joint_owner", "majority_owns"],
+        "controls": ["controlling_owner", "controlling_interest_in", "voting_control_of"],
+        "formerly_owned": ["previously_owned", "sold_stake_in", "divested"],
+        "subsidiary_of": ["parent_of", "parent_company_of", "holding_company_of", "owned_by", "belongs_to"],
     },
     "investment": {
-        "invested_in": "invests_in investor_in backed funded financed committed_capital_to acquired_stake_in put_money_into writing_check_into deployed_capital_in",
-        "lp_in": "limited_partner_in lp_commitment_in fund_investor_in",
-        "gp_of": "general_partner_of fund_manager_of manages_fund runs_fund",
-        "co_invested_with": "co_invest_with co_investor_with coinvested_with joint_investor_with syndicate_partner_with",
-        "donated_to": "contributed_to gifted_to supports_foundation",
-        "exited": "sold sold_stake ipo took_public completed_exit realized_investment sold_to divested_from",
+        "invested_in": ["invests_in", "investor_in", "backed", "funded", "financed", "committed_capital_to", "acquired_stake_in", "put_money_into", "writing_check_into", "deployed_capital_in"],
+        "lp_in": ["limited_partner_in", "lp_commitment_in", "fund_investor_in"],
+        "gp_of": ["general_partner_of", "fund_manager_of", "manages_fund", "runs_fund"],
+        "co_invested_with": ["co_invest_with", "co_investor_with", "coinvested_with", "joint_investor_with", "syndicate_partner_with"],
+        "donated_to": ["contributed_to", "gifted_to", "supports_foundation"],
+        "exited": ["sold", "sold_stake", "ipo", "took_public", "completed_exit", "realized_investment", "sold_to", "divested_from"],
     },
     "role": {
-        "ceo_of": "chief_executive_of leads heads runs president_of managing_director_of md_of",
-        "board_member_of": "on_board_of director_of board_director_of board_chair_of chairman_of trustee_of",
-        "founded": "founder_of co_founded co_founder_of started established",
-        "executive_at": "works_for employed_by coo_of cfo_of vp_of svp_of partner_at senior_partner_at managing_partner_at",
-        "advisor_to": "advises advisory_board_of strategic_advisor_to",
-        "plays_for": "athlete_at plays_on signed_with drafted_by",
-        "coaches": "head_coach_of coached_by assistant_coach_of",
+        "ceo_of": ["chief_executive_of", "leads", "heads", "runs", "president_of", "managing_director_of", "md_of"],
+        "board_member_of": ["on_board_of", "director_of", "board_director_of", "board_chair_of", "chairman_of", "trustee_of"],
+        "founded": ["founder_of", "co_founded", "co_founder_of", "started", "established"],
+        "executive_at": ["works_for", "employed_by", "coo_of", "cfo_of", "vp_of", "svp_of", "partner_at", "senior_partner_at", "managing_partner_at"],
+        "advisor_to": ["advises", "advisory_board_of", "strategic_advisor_to"],
+        "plays_for": ["athlete_at", "plays_on", "signed_with", "drafted_by"],
+        "coaches": ["head_coach_of", "coached_by", "assistant_coach_of"],
     },
     "deal_network": {
-        "partnered_on_deal": "partnered_with_on_deal co_investor_in_deal joint_venture_with jv_with syndicated_with clubbed_with",
-        "bid_for": "bid_on submitted_bid_for loi_for letter_of_intent_for made_offer_for attempted_to_acquire failed_bid_for",
-        "merged_with": "merges_with merger_with combined_with",
-        "competes_with": "rival_of competitor_of competes_against",
-        "sponsors": "sponsored_by title_sponsor_of jersey_sponsor_of naming_rights_with",
-        "endorsed_by": "endorses brand_ambassador_for spokesperson_for",
+        "partnered_on_deal": ["partnered_with_on_deal", "co_investor_in_deal", "joint_venture_with", "jv_with", "syndicated_with", "clubbed_with"],
+        "bid_for": ["bid_on", "submitted_bid_for", "loi_for", "letter_of_intent_for", "made_offer_for", "attempted_to_acquire", "failed_bid_for"],
+        "merged_with": ["merges_with", "merger_with", "combined_with"],
+        "competes_with": ["rival_of", "competitor_of", "competes_against"],
+        "sponsors": ["sponsored_by", "title_sponsor_of", "jersey_sponsor_of", "naming_rights_with"],
+        "endorsed_by": ["endorses", "brand_ambassador_for", "spokesperson_for"],
     },
     "affinity": {
-        "fan_of": "supporter_of lifelong_fan_of avid_fan_of passionate_about follows",
-        "attended_event": "attended was_at present_at",
-        "played_sport": "played former_player_of played_professionally collegiate_athlete_at",
-        "named_in_honor_of": "named_after honors",
+        "fan_of": ["supporter_of", "lifelong_fan_of", "avid_fan_of", "passionate_about", "follows"],
+        "attended_event": ["attended", "was_at", "present_at"],
+        "played_sport": ["played", "former_player_of", "played_professionally", "collegiate_athlete_at"],
+        "named_in_honor_of": ["named_after", "honors"],
     },
     "life_event": {
-        "married": "wed got_married_to married_to spouse_of",
-        "divorced": "divorced_from separated_from split_from",
-        "inherited_from": "inherited heir_of beneficiary_of received_estate_from",
-        "succession_from": "succeeded took_over_from assumed_control_from",
+        "married": ["wed", "got_married_to", "married_to", "spouse_of"],
+        "divorced": ["divorced_from", "separated_from", "split_from"],
+        "inherited_from": ["inherited", "heir_of", "beneficiary_of", "received_estate_from"],
+        "succession_from": ["succeeded", "took_over_from", "assumed_control_from"],
     },
     "location": {
-        "headquartered_in": "hq_in based_in located_in registered_in incorporated_in",
-        "resides_in": "lives_in home_in domiciled_in resident_of",
-        "operates_in": "has_office_in branch_in active_in",
-        "plays_in": "home_arena_in home_stadium_in market_in",
+        "headquartered_in": ["hq_in", "based_in", "located_in", "registered_in", "incorporated_in"],
+        "resides_in": ["lives_in", "home_in", "domiciled_in", "resident_of"],
+        "operates_in": ["has_office_in", "branch_in", "active_in"],
+        "plays_in": ["home_arena_in", "home_stadium_in", "market_in"],
     },
 }
 SUFFIXES = ("_of", "_by", "_with", "_in", "_for", "_at", "_to", "_from")
@@ -99,7 +99,7 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     for place, family in enumerate(FAMILIES):
         own = PREDICATES[family]
         rows += [(p, family, p, place) for p in own]
-        rows += [(key, family, p, place) for p, keys in SPELLINGS[family].items() for key in keys.split() if key not in own]
+        rows += [(key, family, p, place) for p, keys in SPELLINGS[family].items() for key in keys if key not in own]
     return spark.createDataFrame(rows, "key string, family string, canonical string, place int")
 
 

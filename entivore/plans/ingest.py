@@ -171,7 +171,7 @@ def _values() -> str:
     words, rules = [], []
     for place, family in enumerate(O.FAMILIES):
         own = O.PREDICATES[family]
-        words += [(p, family, p, place) for p in own] + [(k, family, p, place) for p, keys in O.SPELLINGS[family].items() for k in keys.split() if k not in own]
+        words += [(p, family, p, place) for p in own] + [(k, family, p, place) for p, keys in O.SPELLINGS[family].items() for k in keys if k not in own]
         for p, signal in own.items():
             least = "NULL" if (family, signal) in O.DROPPED else O.LEAST.get((family, signal), O.DEFAULT_LEAST)
             rules.append(f"('{family}', '{p}', '{signal}', {str(p in O.SYMMETRIC).lower()}, {least})")
