@@ -17,8 +17,8 @@ def q_queue_state(spark, sf_dir):
 
 
 def q_queue_claim(spark, sf_dir):
-    """The next ten jobs to claim: pending at the reference time, longest waiting first."""
-    e = queue_events(spark, sf_dir).where(F.expr(f"ts < timestamp '{EARLY}'"))
+    """The next ten jobs to claim: pending after all events, longest waiting first."""
+    e = queue_events(spark, sf_dir)
     pending = U.states(e).where("status = 'pending'").select("job_id")
     since = e.where("action = 'enqueue'").groupBy("job_id").agg(F.min("ts").alias("waiting_since"))
     return since.join(pending, "job_id").orderBy("waiting_since", "job_id").limit(10)
@@ -137,7 +137,7 @@ r(job_id, i, status, attempts) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::VARC
     WHEN action = 'fail' AND status = 'claimed' THEN CASE WHEN attempts + 1 >= 3 THEN 'dead' ELSE 'pending' END ELSE status END, attempts + CASE WHEN action = 'fail' AND coalesce(status = 'claimed', false) THEN 1 ELSE 0 END
   FROM r JOIN o ON o.job_id = r.job_id AND o.i = r.i + 1)
 SELECT r.job_id, coalesce(status, 'unknown') AS status, attempts FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i""",
-    "q_queue_claim": f"WITH RECURSIVE {_BEFORE} SELECT job_id, min(ts) AS waiting_since FROM o WHERE action = 'enqueue' AND job_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
+    "q_queue_claim": f"WITH RECURSIVE {_states()} SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' AND job_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
     "q_stale_reclaim": f"WITH RECURSIVE {_BEFORE} {_STALE} 600 SECONDS",
     "q_fanin_finalize": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus = 'P') AS dead, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY 1) SELECT *, CASE WHEN dead = total THEN 'failed' WHEN dead + done < total THEN 'running' ELSE 'done' END AS final_status, CASE WHEN final_status = 'done' AND dead > 0 THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g",
     "q_rate_limit": f"WITH {ACTIONS} SELECT job_id, date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) > 2 AS limited FROM ev GROUP BY 1, 2",

@@ -76,3 +76,10 @@ def test_markdown_tables_of_all_parts(spark, tmp_path):
 def test_matrix_cells_are_not_sorted_by_attribute(spark):
     plan = scores.q_matrix_score(spark, SF)._jdf.queryExecution().toString()
     assert "Window" not in plan and "largest" in plan
+
+
+def test_jobs_that_come_late_are_claimed_as_well(spark, tmp_path):
+    """The whole table counts: a job enqueued on the 25th waits, one that finishes then doesn't."""
+    rows = [(1, 1, dt.datetime(2024, 1, 25), "signup"), (2, 2, dt.datetime(2024, 1, 2), "signup"), (3, 2, dt.datetime(2024, 1, 24), "click"), (4, 2, dt.datetime(2024, 1, 25), "purchase")]
+    sf = saved(spark, tmp_path, "events", rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, sf).collect()] == [(1, dt.datetime(2024, 1, 25))]
