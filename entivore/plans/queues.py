@@ -47,7 +47,7 @@ def q_cache_live(spark, sf_dir):
 
 
 def q_idle_claims(spark, sf_dir):
-    return U.idle_claims(queue_events(spark, sf_dir), EARLY, 300, 100)
+    return U.idle_claims(queue_events(spark, sf_dir), REF, 300, 100)
 
 
 def q_viewers_now(spark, sf_dir):
@@ -111,7 +111,12 @@ st AS (SELECT r.job_id, status FROM r JOIN (SELECT job_id, max(n) AS n FROM o GR
 
 
 _BEFORE = _states(f"ts < TIMESTAMP '{EARLY}'")
-_STALE = f"SELECT job_id, max(ts) AS last_seen FROM ev WHERE action IN ('claim', 'heartbeat') AND ts < TIMESTAMP '{EARLY}' AND job_id IN (SELECT job_id FROM st WHERE status = 'claimed') GROUP BY 1 HAVING max(ts) < TIMESTAMP '{EARLY}' - INTERVAL"
+
+
+def _stale(ref: str) -> str:
+    return f"{_states(f"ts < TIMESTAMP '{ref}'")} SELECT job_id, max(ts) AS last_seen FROM ev WHERE action IN ('claim', 'heartbeat') AND ts < TIMESTAMP '{ref}' AND job_id IN (SELECT job_id FROM st WHERE status = 'claimed') GROUP BY 1 HAVING max(ts) < TIMESTAMP '{ref}' - INTERVAL"
+
+
 ORACLES = {
     "q_queue_dequeue": f"WITH RECURSIVE {_BEFORE}, w AS (SELECT job_id, min(ts) AS waiting_since FROM o WHERE action = 'enqueue' GROUP BY 1) SELECT job_id, job_id % 3 AS priority, waiting_since FROM w JOIN st USING (job_id) WHERE status = 'pending' AND job_id % 4 != 0 AND waiting_since + INTERVAL 30 MINUTES <= TIMESTAMP '{EARLY}' ORDER BY priority DESC, waiting_since, job_id LIMIT 10",
     "q_chunk_progress": "WITH l AS (SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) FILTER (WHERE l_linestatus = 'F') AS done, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1) SELECT *, done = total AS merges FROM l",
@@ -128,7 +133,7 @@ SELECT job_id, CASE WHEN late THEN CASE WHEN a + 1 >= 3 THEN 'dead' ELSE 'pendin
     "q_closing_events": """WITH f AS (SELECT l_orderkey AS root, l_linenumber AS child, min((l_shipdate, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'dead' ELSE 'done' END)) AS e FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
 g AS (SELECT root, count(*) AS ended, count(*) FILTER (WHERE e[3] = 'dead') AS dead, max((e[1], e[2], child)) AS z FROM f GROUP BY 1), t AS (SELECT l_orderkey AS root, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1)
 SELECT root, z[1] AS closed_at, z[3] AS closed_by, total, dead, CASE WHEN dead = total THEN 'failed' ELSE 'done' END AS final_status, CASE WHEN dead > 0 AND dead < total THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g JOIN t USING (root) WHERE ended = total""",
-    "q_idle_claims": f"WITH RECURSIVE {_BEFORE} {_STALE} 300 SECONDS ORDER BY last_seen, job_id LIMIT 100",
+    "q_idle_claims": f"WITH RECURSIVE {_stale(REF)} 300 SECONDS ORDER BY last_seen, job_id LIMIT 100",
     "q_viewers_now": f"WITH {ACTIONS} SELECT job_id, max(ts) AS last_seen FROM ev WHERE ts > TIMESTAMP '{REF}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{REF}' GROUP BY 1",
     "q_death_hooks": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus != 'F') AS dead, count(*) AS total FROM orders GROUP BY 1) SELECT root, CASE WHEN dead = total THEN 'failed' ELSE 'done' END AS final_status, CASE WHEN dead < total THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g WHERE dead > 0",
     "q_queue_state": f"""WITH RECURSIVE {ACTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM ev),
@@ -138,7 +143,7 @@ r(job_id, i, status, attempts) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::VARC
   FROM r JOIN o ON o.job_id = r.job_id AND o.i = r.i + 1)
 SELECT r.job_id, coalesce(status, 'unknown') AS status, attempts FROM r JOIN (SELECT job_id, max(n) AS n FROM o GROUP BY 1) m ON m.job_id = r.job_id AND m.n = r.i""",
     "q_queue_claim": f"WITH RECURSIVE {_states()} SELECT job_id, min(ts) AS waiting_since FROM ev WHERE action = 'enqueue' AND job_id IN (SELECT job_id FROM st WHERE status = 'pending') GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
-    "q_stale_reclaim": f"WITH RECURSIVE {_BEFORE} {_STALE} 600 SECONDS",
+    "q_stale_reclaim": f"WITH RECURSIVE {_stale(EARLY)} 600 SECONDS",
     "q_fanin_finalize": "WITH g AS (SELECT o_custkey AS root, count(*) FILTER (WHERE o_orderstatus = 'P') AS dead, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY 1) SELECT *, CASE WHEN dead = total THEN 'failed' WHEN dead + done < total THEN 'running' ELSE 'done' END AS final_status, CASE WHEN final_status = 'done' AND dead > 0 THEN dead || ' of ' || total || ' pair(s) failed' END AS message FROM g",
     "q_rate_limit": f"WITH {ACTIONS} SELECT job_id, date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) > 2 AS limited FROM ev GROUP BY 1, 2",
     "q_presence": f"WITH {ACTIONS}, o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 3600 SECONDS THEN 1 ELSE 0 END AS op FROM ev WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)), s AS (SELECT *, sum(op) OVER (PARTITION BY job_id ORDER BY ts, seq) AS run FROM o) SELECT job_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY job_id, run",

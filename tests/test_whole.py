@@ -83,3 +83,10 @@ def test_jobs_that_come_late_are_claimed_as_well(spark, tmp_path):
     rows = [(1, 1, dt.datetime(2024, 1, 25), "signup"), (2, 2, dt.datetime(2024, 1, 2), "signup"), (3, 2, dt.datetime(2024, 1, 24), "click"), (4, 2, dt.datetime(2024, 1, 25), "purchase")]
     sf = saved(spark, tmp_path, "events", rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
     assert [(r.job_id, r.waiting_since) for r in queues.q_queue_claim(spark, sf).collect()] == [(1, dt.datetime(2024, 1, 25))]
+
+
+def test_claims_of_the_later_days_are_idle_as_well(spark, tmp_path):
+    """A job that is claimed on the 15th and not seen again idles at the reference time of the 20th."""
+    rows = [(1, 1, dt.datetime(2024, 1, 15), "signup"), (2, 1, dt.datetime(2024, 1, 15, 1), "click"), (3, 2, dt.datetime(2024, 1, 2), "signup"), (4, 2, dt.datetime(2024, 1, 3), "click"), (5, 2, dt.datetime(2024, 1, 12), "purchase")]
+    sf = saved(spark, tmp_path, "events", rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    assert [(r.job_id, r.last_seen) for r in queues.q_idle_claims(spark, sf).collect()] == [(1, dt.datetime(2024, 1, 15, 1))]
