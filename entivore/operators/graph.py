@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entivore.functions.text import ilike, similarity
+from entivore.sources.shared import stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -54,6 +59,10 @@ def paths(edges: DataFrame, start: str, end: str, max_hops: int, limit: int) ->
 CROWD = 2_000
 #: Deals in one list.
 LISTED = 1_000
+#: Pairs that a task puts together, about, and the most of one person there.
+TASK_PAIRS, HUB = 2_000_000, 8_000_000
+#: Names that are broadcast; more are joined.
+MOST_NAMES = 1_000_000
 
 
 def pairs_of(edges: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -72,17 +81,90 @@ def pairs_of(edges: DataFrame, crowd: int = CROWD) -> DataFrame:
     return both.select("person1", "person2", "o")
 
 
+def _met(edges: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """person1, o, others: each person with those after them in the crowd of an object, by number, so that no row is shuffled for
+    a pair; the people (name, id: numbers in the order of names); those with more than HUB others; and how many pairs there are."""
+    e = stored(edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL").distinct(), "deals")
+    people = stored(e.select(F.col("s").alias("name")).distinct().orderBy("name").withColumn("id", F.monotonically_increasing_id()), "people")
+    sizes = e.groupBy("o").agg(F.count("*").alias("size"), F.ceil(F.count("*") / crowd).cast("int").alias("n"))
+    e = stored(e.join(sizes, "o").join(people, F.col("s") == F.col("name")).select("id", "o", "size", "n"), "numbered-deals")
+    hubs = stored(e.groupBy("id").agg(F.sum(F.col("size") - 1).alias("others")).where(F.col("others") > HUB).select("id"), "hubs")
+    n_pairs = e.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("n")).first().n // 2
+    dealt = e.withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    dealt = dealt.select("id", "o", "own", F.explode(meets).alias("m")).groupBy("o", "m").agg(F.array_sort(F.collect_list(F.struct("id", "own"))).alias("all"))
+    after = dealt.select("o", "m", "all", F.posexplode("all").alias("at", "x")).withColumn("rest", F.slice("all", F.col("at") + 2, F.size("all")))
+    others = F.when(F.col("m.i") == F.col("m.j"), F.col("rest")["id"]).otherwise(F.filter("rest", lambda y: y["own"] != F.col("x.own"))["id"])
+    return after.select(F.col("x.id").alias("person1"), "o", others.alias("others")).where("size(others) > 0"), people, hubs, n_pairs
+
+
+def _paired(edges: DataFrame, crowd: int, listed: int | None) -> DataFrame:
+    """person1, person2, n_shared and, in lists of `listed` at most, part and deals. The people after a person meet in the task that
+    the person is dealt to, of which there are as many as the pairs need; people with more than HUB are joined instead."""
+    met, people, hubs, n_pairs = _met(edges, crowd)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        rank = None
+        if listed:
+            known = t["o"].combine_chunks().dictionary_encode()
+            order = pc.array_sort_indices(known.dictionary)
+            names, rank = known.dictionary.take(order), np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            rank = rank[known.indices.to_numpy()]
+            rows = np.argsort(rank, kind="stable")
+            t, rank = t.take(pa.array(rows)), rank[rows]
+        many = pc.list_value_length(t["others"]).to_numpy()
+        one, ones = pd.factorize(t["person1"].to_numpy())
+        two, twos = pd.factorize(pc.list_flatten(t["others"]).to_numpy())
+        key = np.repeat(one, many) * len(twos) + two
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(np.append(starts, len(key)))
+        if listed:
+            parts = -(-n // listed)
+            part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts, key, n = np.repeat(starts, parts) + part * listed, np.repeat(key[starts], parts), np.repeat(n, parts)
+        else:
+            key = key[starts]
+        out = [pa.array(ones[key // len(twos)]), pa.array(twos[key % len(twos)]), pa.array(n)]
+        if listed:
+            offsets = pa.array(np.append(starts, len(order)), pa.int32())
+            out += [pa.array(part, pa.int32()), pa.ListArray.from_arrays(offsets, names.take(pa.array(np.repeat(rank, many)[order])))]
+        b = pa.RecordBatch.from_arrays(out, names=["id1", "id2", "n_shared", "part", "deals"][: len(out)])
+        yield from (b.slice(i, 10_000) for i in range(0, len(b), 10_000))
+
+    few = hubs.isEmpty()
+    light = met if few else met.join(hubs.select(F.col("id").alias("person1")), "person1", "left_anti")
+    kinds = "id1 long, id2 long, n_shared long" + (", part int, deals array<string>" if listed else "")
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // TASK_PAIRS))
+    out = (light if listed else light.drop("o")).repartition(tasks, "person1").mapInArrow(run, kinds)
+    named = F.broadcast(people) if people.count() <= MOST_NAMES else people
+    for i in ("1", "2"):
+        out = out.join(named.select(F.col("id").alias(f"id{i}"), F.col("name").alias(f"person{i}")), f"id{i}")
+    out = out.select("person1", "person2", "n_shared", *(("part", "deals") if listed else ()))
+    if few:
+        return out
+    pairs = pairs_of(edges, crowd).join(people.join(hubs, "id").select(F.col("name").alias("person1")), "person1", "left_semi")
+    counts = pairs.groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
+    if not listed:
+        return out.unionByName(counts)
+    part = F.pmod(F.xxhash64("o"), F.ceil(F.col("n_shared") / listed)).cast("int")
+    return out.unionByName(pairs.join(counts, ["person1", "person2"]).groupBy("person1", "person2", "n_shared", part.alias("part")).agg(F.array_sort(F.collect_list("o")).alias("deals")))
+
+
 def partners(edges: DataFrame, crowd: int = CROWD) -> DataFrame:
     """person1 < person2 and n_shared, the number of objects both point to."""
-    return pairs_of(edges, crowd).groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
+    return _paired(edges, crowd, None)
 
 
 def shared_deals(edges: DataFrame, crowd: int = CROWD, listed: int = LISTED) -> DataFrame:
     """person1, person2, n_shared, part, deals: the objects both point to, in order, in lists of about `listed` at most."""
-    pairs = pairs_of(edges, crowd)
-    many = pairs.groupBy("person1", "person2").agg(F.count("*").alias("n_shared"))
-    part = F.pmod(F.xxhash64("o"), F.ceil(F.col("n_shared") / listed)).cast("int")
-    return pairs.join(many, ["person1", "person2"]).groupBy("person1", "person2", "n_shared", part.alias("part")).agg(F.array_sort(F.collect_list("o")).alias("deals"))
+    return _paired(edges, crowd, listed)
 
 
 def conflicts(edges: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -171,3 +171,19 @@ def test_an_index_of_some_terms_scores_alike(spark):
     full, some = postings.build(docs, block_docs=16), postings.build(docs, only=postings.query_terms(asked), block_docs=16)
     assert some.postings.count() < full.postings.count() / 3 and (some.n_docs, some.n_words) == (full.n_docs, full.n_words) == (200, 800)
     assert sorted(map(tuple, postings.ranked(full, asked).collect())) == sorted(map(tuple, postings.ranked(some, asked).collect()))
+
+
+@pytest.mark.parametrize("hub", [8_000_000, 40])
+def test_pairs_are_put_together_without_a_row_for_each(spark, monkeypatch, hub):
+    """Rows that are shuffled are people of objects, not pairs; people with very many others go by joins, with the same results."""
+    monkeypatch.setattr(G, "HUB", hub)
+    df = spark.range(60).select(F.concat(F.lit("p"), "id").alias("s"), F.explode(F.sequence(F.lit(0), F.when(F.col("id") < 8, 9).otherwise(0))).alias("k")).select("s", F.concat(F.lit("o"), "k").alias("o"))
+    names = sorted(f"p{i}" for i in range(60))
+    both = {(a, b): 10 if int(a[1:]) < 8 and int(b[1:]) < 8 else 1 for a, b in itertools.combinations(names, 2)}
+    counted, listed = G.partners(df), G.shared_deals(df)
+    assert {(r.person1, r.person2): r.n_shared for r in counted.collect()} == both
+    assert {(r.person1, r.person2): r.deals for r in listed.collect()} == {k: [f"o{i}" for i in range(n)] for k, n in both.items()}
+    if hub > 40:
+        for out in (counted, listed):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "HashAggregate(keys=[person1" not in plan
