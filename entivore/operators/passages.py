@@ -17,12 +17,18 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def sheet_parts(text: Column) -> Column:
+    """The texts of all sheets, blank ones and what comes before the first included."""
+    return F.split(text, SHEET, -1)
+
+
 def sheets(docs: DataFrame) -> DataFrame:
     """doc_id, sheet, text: split at lines '## Sheet: name'; text before the first is _preamble, without any all is
-    Sheet1; blank sheets go."""
+    Sheet1; blank sheets go. (What is exploded comes by outer forms here and filters follow: a filter before would make the text
+    anew, which may be a whole table's rows put in order.)"""
     names = F.regexp_extract_all("text", F.lit(SHEET), F.lit(1))
-    zipped = F.arrays_zip(F.concat(F.array(F.when(F.size(names) > 0, "_preamble").otherwise("Sheet1")), names).alias("sheet"), F.split("text", SHEET, -1).alias("part"))
-    out = docs.where("text IS NOT NULL").select("doc_id", F.size(names).alias("n"), F.explode(zipped).alias("x"))
+    zipped = F.arrays_zip(F.concat(F.array(F.when(F.size(names) > 0, "_preamble").otherwise("Sheet1")), names).alias("sheet"), sheet_parts(F.col("text")).alias("part"))
+    out = docs.select("doc_id", F.size(names).alias("n"), F.explode_outer(zipped).alias("x")).where("x.part IS NOT NULL")
     return out.select("doc_id", "n", F.col("x.sheet").alias("sheet"), stripped(F.col("x.part")).alias("text")).where("n = 0 OR text != ''").drop("n")
 
 
@@ -107,15 +113,16 @@ def table_chunks(docs: DataFrame, rows: int, columns: Sequence[str] | None = Non
 def extracted(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """doc_id, row, column, value: what a document's table says in columns (any case): without any, every cell that isn't
     empty; of one, its cells that aren't; of several, all of them in rows where none is empty."""
-    lines = docs.select("doc_id", table_lines(F.col("text")).alias("lines")).where("size(lines) > 1")
-    rows = lines.select("doc_id", cells(F.col("lines")[0]).alias("head"), F.posexplode("lines").alias("row", "line")).where("row > 0")
+    lines = docs.select("doc_id", table_lines(F.col("text")).alias("lines"))
+    rows = lines.select("doc_id", cells(F.get("lines", F.lit(0))).alias("head"), F.posexplode_outer("lines").alias("row", "line")).where("row > 0")
     pairs = rows.select("doc_id", "row", F.arrays_zip(F.col("head").alias("column"), cells(F.col("line")).alias("value")).alias("all"))
     low = [c.lower() for c in columns]
     kept = F.filter("all", lambda x: F.lower(x["column"]).isin(*low)) if low else F.col("all")
     full = pairs.select("doc_id", "row", kept.alias("kept"))
     if len(low) > 1:
-        full = full.where(F.forall("kept", lambda x: F.coalesce(x["value"], F.lit("")) != "") & (F.size("kept") == len(low)))
-    return full.select("doc_id", "row", F.inline("kept")).where("coalesce(value, '') != '' AND column IS NOT NULL")
+        whole = F.forall("kept", lambda x: F.coalesce(x["value"], F.lit("")) != "") & (F.size("kept") == len(low))
+        full = full.select("doc_id", "row", F.when(whole, F.col("kept")).alias("kept"))
+    return full.select("doc_id", "row", F.inline_outer("kept")).where("coalesce(value, '') != '' AND column IS NOT NULL")
 
 
 def batched(pages: DataFrame, target: int) -> DataFrame:
