@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entivore.operators.passages import cells, table_lines
-from entivore.operators.profiles import table_cells
+from entivore.operators.profiles import names
 
 #: Rows of a chunk.
 ROWS = 100
@@ -19,11 +19,16 @@ def simple(docs: DataFrame, plans: DataFrame) -> DataFrame:
     """plan_id, doc_id, sheet, row, column, value: the filled cells of the columns (any case) that each simple plan (plan_id,
     doc_id, kind, columns) names; of several, in rows where none of them is empty; of none, all."""
     asked = plans.where("kind = 'simple'").select("plan_id", "doc_id", F.transform(F.coalesce("columns", F.array().cast("array<string>")), F.lower).alias("low"))
-    held = table_cells(docs).join(asked, "doc_id").where((F.size("low") == 0) | F.array_contains("low", F.lower("column")))
+    lines = docs.select("doc_id", "sheet", "text").join(asked, "doc_id").select("plan_id", "doc_id", "sheet", "low", table_lines(F.col("text")).alias("lines"))
+    rows = lines.select("plan_id", "doc_id", "sheet", "low", names(cells(F.get("lines", F.lit(0)))).alias("head"), F.posexplode_outer("lines").alias("row", "line")).where("row > 0")
+    # the cells of a row stay together: only rows that have some are put together
+    each = F.zip_with(F.transform("head", lambda c, i: F.struct(i.alias("position"), c.alias("column"))), F.slice(cells(F.col("line")), F.lit(1), F.size("head")), lambda h, v: F.struct(h["position"].alias("position"), h["column"].alias("column"), F.coalesce(v, F.lit("")).alias("value")))
+    held = rows.select("plan_id", "doc_id", "sheet", "low", "row", F.filter(each, lambda x: (x["value"] != "") & ((F.size("low") == 0) | F.array_contains("low", F.lower(x["column"])))).alias("all"))
     keys = ["plan_id", "doc_id", "sheet", "row"]
-    full = held.where("value != ''").groupBy(*keys, "low").agg(F.countDistinct(F.lower("column")).alias("n"), F.collect_list(F.struct("position", "column", "value")).alias("all"))
-    full = full.where((F.size("low") < 2) | (F.col("n") == F.size(F.array_distinct("low"))))
-    return full.select(*keys, F.inline(F.array_sort("all"))).drop("position")
+    full = held.groupBy(*keys, "low").agg(F.flatten(F.collect_list("all")).alias("all"))
+    n = F.size(F.array_distinct(F.transform("all", lambda x: F.lower(x["column"]))))
+    whole = (F.size("low") < 2) | (n == F.size(F.array_distinct("low")))
+    return full.select(*keys, F.inline_outer(F.when(whole, F.array_sort("all")))).where("position IS NOT NULL").drop("position")
 
 
 def requests(docs: DataFrame, plans: DataFrame, rows: int = ROWS) -> DataFrame:

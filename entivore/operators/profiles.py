@@ -27,15 +27,19 @@ TYPES = (
 PEOPLE, ORGANISATIONS, AMOUNTS = r"(?i)name|owner|person|contact|author|user", r"(?i)company|organi[sz]ation|team|vendor|supplier|client", r"(?i)price|cost|revenue|amount|total|salary|value|balance"
 
 
+def names(head: Column) -> Column:
+    """The names of columns; those without one are called by their position."""
+    return F.transform(head, lambda c, i: F.when(c == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(c))
+
+
 def table_cells(docs: DataFrame) -> DataFrame:
     """doc_id, sheet, position, column, row, value of all cells of the documents' markdown tables (doc_id, sheet, text): missing
     cells of short rows and empty ones are empty; columns without a name are called by their position."""
-    lines = docs.select("doc_id", "sheet", table_lines(F.col("text")).alias("lines")).where("size(lines) > 1")
-    rows = lines.select("doc_id", "sheet", cells(F.get("lines", F.lit(0))).alias("head"), F.posexplode("lines").alias("row", "line")).where("row > 0")
+    lines = docs.select("doc_id", "sheet", table_lines(F.col("text")).alias("lines"))
+    rows = lines.select("doc_id", "sheet", names(cells(F.get("lines", F.lit(0)))).alias("head"), F.posexplode_outer("lines").alias("row", "line")).where("row > 0")
     rows = rows.select("doc_id", "sheet", "row", "head", cells(F.col("line")).alias("values"))
-    each = rows.select("doc_id", "sheet", "row", "values", F.posexplode("head").alias("position", "name"))
-    name = F.when(F.col("name") == "", F.concat(F.lit("column "), (F.col("position") + 1).cast("string"))).otherwise(F.col("name"))
-    return each.select("doc_id", "sheet", "position", name.alias("column"), "row", F.coalesce(F.get("values", F.col("position")), F.lit("")).alias("value"))
+    each = rows.select("doc_id", "sheet", "row", "values", F.posexplode_outer("head").alias("position", "name"))
+    return each.select("doc_id", "sheet", "position", F.col("name").alias("column"), "row", F.coalesce(F.get("values", F.col("position")), F.lit("")).alias("value"))
 
 
 def _vote(value: Column) -> Column:
@@ -48,19 +52,21 @@ def _vote(value: Column) -> Column:
 def profiles(cells_: DataFrame) -> DataFrame:
     """doc_id, sheet, position, column, n, filled, n_distinct, type, samples of each column of table_cells.
 
-    Cells are counted by value first, so that a column of any length is a sum; samples are the values that come first."""
+    Cells are counted by value first, so that a column of any length is a sum; samples are the values that come first. A cell's
+    vote is found once, before its value is counted, and all sums are taken in one pass over the values in order."""
     keys = ["doc_id", "sheet", "position", "column"]
-    values = cells_.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min("row").alias("row")).withColumn("vote", _vote(F.col("value")))
+    values = cells_.withColumn("vote", _vote(F.col("value"))).groupBy(*keys, "value", "vote").agg(F.count("*").alias("n"), F.min("row").alias("row"))
     votes = [F.sum(F.when(F.col("vote") == t, F.col("n")).otherwise(0)).alias(f"v_{t}") for t, _ in TYPES]
     filled = F.coalesce(F.sum(F.when(F.col("value") != "", F.col("n"))), F.lit(0)).alias("filled")
     first = Window.partitionBy(*keys).orderBy(F.col("value") == "", "row")
-    firsts = values.withColumn("_k", F.row_number().over(first)).where((F.col("_k") <= SAMPLES) & (F.col("value") != ""))
-    firsts = firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("samples"))
-    out = values.groupBy(*keys).agg(F.sum("n").alias("n"), filled, F.count_if(F.col("value") != "").alias("n_distinct"), *votes).join(firsts, keys, "left")
+    values = values.withColumn("_k", F.row_number().over(first))
+    firsts = [F.max(F.when((F.col("_k") == k) & (F.col("value") != ""), F.col("value"))).alias(f"s_{k}") for k in range(1, SAMPLES + 1)]
+    out = values.groupBy(*keys).agg(F.sum("n").alias("n"), filled, F.count_if(F.col("value") != "").alias("n_distinct"), *votes, *firsts)
+    samples = F.filter(F.array(*[f"s_{k}" for k in range(1, SAMPLES + 1)]), lambda x: x.isNotNull())
     type_ = F.when(F.col("filled") == 0, "empty")
     for t, _ in TYPES:
         type_ = type_.when(10 * F.col(f"v_{t}") >= VOTES * F.col("filled"), t)
-    return out.select(*keys, "n", "filled", "n_distinct", type_.otherwise("text").alias("type"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    return out.select(*keys, "n", "filled", "n_distinct", type_.otherwise("text").alias("type"), samples.alias("samples"))
 
 
 def roles(profiles_: DataFrame) -> DataFrame:
@@ -88,6 +94,20 @@ def kinds(docs: DataFrame, profiles_: DataFrame) -> DataFrame:
     return docs.select("doc_id").distinct().join(tabular, "doc_id", "left").select("doc_id", F.when(F.col("_t"), "tabular").otherwise("prose").alias("kind"))
 
 
+def text_kinds(docs: DataFrame, parts: Column) -> DataFrame:
+    """doc_id, kind: tabular if one of a document's parts (of docs: doc_id and what parts, texts in an array, are made of) has a
+    table with a filled cell under its header, else prose. Told from the text itself: no cell is shuffled."""
+
+    def tabular(text: Column) -> Column:
+        def below(lines: Column) -> Column:
+            return F.exists(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.exists(F.slice(x, F.lit(1), F.size(F.get(lines, F.lit(0)))), lambda c: c != ""))
+
+        return F.exists(F.array(F.transform(table_lines(text), cells)), lambda lines: (F.size(lines) > 1) & below(lines))
+
+    each = docs.select("doc_id", F.coalesce(F.exists(parts, tabular), F.lit(False)).alias("_t"))
+    return each.groupBy("doc_id").agg(F.max("_t").alias("_t")).select("doc_id", F.when(F.col("_t"), "tabular").otherwise("prose").alias("kind"))
+
+
 def together(kinds_: DataFrame, by: str) -> DataFrame:
     """kind of each group: that of all its documents, or mixed."""
     return kinds_.groupBy(by).agg(F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("mixed").alias("kind"), F.count("*").alias("n"))
@@ -121,9 +141,11 @@ def suggestions(roles_: DataFrame, most: int = 3) -> DataFrame:
 
 def summaries(roles_: DataFrame) -> DataFrame:
     """doc_id, sheets, columns, summary: how many are kept, and the sheets with their first columns and roles, in one line."""
-    kept = _kept(roles_)
-    named = kept.where(F.col("position") < NAMED).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet", "position"))).where(F.col("_k") <= NAMED_IN_ALL)
-    sheet = named.groupBy("doc_id", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.concat("column", F.lit(" ("), "role", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("t"))
-    line = sheet.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "t"))), lambda x: F.concat(x["sheet"], F.lit(": "), x["t"])), "; ").alias("summary"))
-    size = kept.groupBy("doc_id").agg(F.countDistinct("sheet").alias("sheets"), F.count("*").alias("columns"))
-    return size.join(line, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("sheet", "position")
+    kept = _kept(roles_).withColumn("_named", (F.col("position") < NAMED).cast("int"))
+    named = (F.col("_named") == 1) & (F.sum("_named").over(order) <= NAMED_IN_ALL)
+    kept = kept.select("doc_id", "sheet", F.when(named, F.struct("position", F.concat("column", F.lit(" ("), "role", F.lit(")")).alias("t"))).alias("x"))
+    sheet = kept.groupBy("doc_id", "sheet").agg(F.count("*").alias("columns"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), ", ").alias("t"))
+    line = F.when(F.col("t") != "", F.struct("sheet", "t"))
+    every = sheet.groupBy("doc_id").agg(F.count("*").alias("sheets"), F.sum("columns").alias("columns"), F.array_sort(F.collect_list(line)).alias("all"))
+    return every.select("doc_id", "sheets", "columns", F.array_join(F.transform("all", lambda x: F.concat(x["sheet"], F.lit(": "), x["t"])), "; ").alias("summary"))

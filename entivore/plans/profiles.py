@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entivore.operators import answers as A
 from entivore.operators import cascades
 from entivore.operators import profiles as P
-from entivore.operators.passages import sheets
+from entivore.operators.passages import sheet_parts, sheets
 from entivore.sources.shared import stored
 from entivore.sources.tables import table
 
@@ -36,9 +36,8 @@ def q_column_profiles(spark, sf_dir):
 def q_schema_profile(spark, sf_dir):
     """Orders and documents by what they are, by session: tabular, prose, or mixed."""
     docs = _orders(spark, sf_dir)
-    tabular = P.kinds(docs, _profiles(spark, sf_dir)).withColumn("session", F.pmod("doc_id", F.lit(700)))
-    prose = table(spark, sf_dir, "documents").select("doc_id", F.lit("s").alias("sheet"), "text")
-    prose = P.kinds(prose, P.profiles(P.table_cells(prose))).withColumn("session", F.pmod("doc_id", F.lit(500)) + 600)
+    tabular = P.text_kinds(docs, sheet_parts(F.col("text"))).withColumn("session", F.pmod("doc_id", F.lit(700)))
+    prose = P.text_kinds(table(spark, sf_dir, "documents").select("doc_id", "text"), F.array("text")).withColumn("session", F.pmod("doc_id", F.lit(500)) + 600)
     return P.together(tabular.unionByName(prose), "session")
 
 
@@ -50,10 +49,15 @@ def q_schema_summary(spark, sf_dir):
     return P.summaries(P.roles(_profiles(spark, sf_dir)))
 
 
-def _plans(spark, sf_dir):
-    """Every second order gets a simple plan, the others a complex one, of three rows a request; one answer in five fails."""
+def _asked(spark, sf_dir):
+    """Every second order gets a simple plan, the others a complex one."""
     docs = sheets(_orders(spark, sf_dir))
-    plans = docs.select(F.col("doc_id").alias("plan_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("kind"), F.array(F.lit("PRICE"), F.lit("supplier name")).alias("columns"))
+    return docs, docs.select(F.col("doc_id").alias("plan_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("kind"), F.array(F.lit("PRICE"), F.lit("supplier name")).alias("columns"))
+
+
+def _plans(spark, sf_dir):
+    """The complex plans' requests, of three rows each; one answer in five fails."""
+    docs, plans = _asked(spark, sf_dir)
     requests = stored(A.requests(docs, plans, 3), "requests")
     value = F.transform(F.slice(F.split("chunk", "\n"), 2, 3), lambda x: F.trim(F.element_at(F.split(x, r"\|"), 3)))
     answers = requests.select("plan_id", "sheet", "ix", F.when((F.col("plan_id") + F.col("ix")) % 5 == 0, "failed").alias("error"), value.alias("matches"))
@@ -61,7 +65,7 @@ def _plans(spark, sf_dir):
 
 
 def q_plan_simple(spark, sf_dir):
-    docs, plans, _, _ = _plans(spark, sf_dir)
+    docs, plans = _asked(spark, sf_dir)
     return A.simple(docs, plans).select("plan_id", "sheet", "row", "column", "value")
 
 

@@ -187,3 +187,24 @@ def test_pairs_are_put_together_without_a_row_for_each(spark, monkeypatch, hub):
         for out in (counted, listed):
             plan = out._jdf.queryExecution().executedPlan().toString()
             assert "MapInArrow" in plan and "HashAggregate(keys=[person1" not in plan
+
+
+def test_kinds_are_told_from_texts(spark):
+    """The same kinds as by profiles, without a row for a cell; profiles take their values once, without a join."""
+    texts = ["| A | | Price |\n|---|---|---|\n| x\\|y | $1,000 | 5% |\n|  | $2 |", "no table", "| only a head |", "| a |\n|  |\n|  | b |", "|q|\n| 1 |", None]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, sheet string, text string")
+    told, profiles = R.text_kinds(docs, F.array("text")), R.profiles(R.table_cells(docs))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, R.kinds(docs, profiles).collect())) == [(i, "tabular" if i in (0, 4) else "prose") for i in range(6)]
+    assert "explode" not in told._jdf.queryExecution().executedPlan().toString()
+    for out in (profiles, R.summaries(R.roles(profiles))):
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_tables_are_made_once(spark):
+    """A filter before an explode would make a text anew, which is here a sort of a whole order's lines."""
+    from entivore.plans import passages, profiles
+
+    for query in (profiles.q_column_profiles, profiles.q_plan_simple, passages.q_table_extract_one, passages.q_table_extract_several):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter")]
+        assert not [f for f in filters if "array_sort" in f or "collect_list" in f]
