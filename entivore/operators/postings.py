@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -237,38 +237,47 @@ def in_files(passages: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: flo
 
     The passages of a file meet in one task, as do its queries; files may be many."""
 
-    def run(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        own = own.sort_values("ix", ignore_index=True)
-        if len(own) and len(asked):
-            words = [t.lower().split() for t in own["text"]]
-            sizes = np.array([len(w) for w in words], float)
-            held: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-            for i, ws in enumerate(words):
-                for w in ws:
+    def best(file, own: list[dict], asked: list[dict]) -> Iterator[tuple]:
+        own.sort(key=lambda x: x["ix"])
+        words = [x["text"].lower().split() for x in own]
+        sizes = np.array([len(w) for w in words], float)
+        number = np.array([x["ix"] for x in own])
+        wanted = {w for x in asked for w in (x["query"] or "").lower().split()}
+        held: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for i, ws in enumerate(words):
+            for w in ws:
+                if w in wanted:
                     held[w][i] += 1
-            average = max(sizes.sum(), 1) / len(own)
-            for item, query in zip(asked["item_id"], asked["query"], strict=True):
-                scores = np.zeros(len(own))
-                for term in dict.fromkeys((query or "").lower().split()):
-                    if term in held:
-                        at, tf = (np.array(list(x)) for x in (held[term].keys(), held[term].values()))
-                        scores[at] += np.log(1 + (len(own) - len(at) + 0.5) / (len(at) + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[at] / average))
-                scores = np.round(scores, PLACES)
-                order = np.arange(len(own)) if len(own) <= few else _best(own["ix"].to_numpy(), scores, top)
-                order = order if len(order) else np.arange(min(top, len(own)))
-                left = cap
-                for rank, i in enumerate(order, 1):
-                    if left <= 0:
-                        break
-                    text = own["text"][i][:left]
-                    left -= len(text)
-                    out.append((item, key[0], own["ix"][i], scores[i], text, rank))
-        return pd.DataFrame(out, columns=["item_id", "file", "ix", "score", "text", "rank"])
+        average = max(sizes.sum(), 1) / len(own)
+        for item, query in ((x["item_id"], x["query"]) for x in asked):
+            scores = np.zeros(len(own))
+            for term in dict.fromkeys((query or "").lower().split()):
+                if term in held:
+                    at, tf = (np.array(list(x)) for x in (held[term].keys(), held[term].values()))
+                    scores[at] += np.log(1 + (len(own) - len(at) + 0.5) / (len(at) + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[at] / average))
+            scores = np.round(scores, PLACES)
+            order = np.arange(len(own)) if len(own) <= few else _best(number, scores, top)
+            order = order if len(order) else np.arange(min(top, len(own)))
+            left = cap
+            for rank, i in enumerate(order, 1):
+                if left <= 0:
+                    break
+                text = own[i]["text"][:left]
+                left -= len(text)
+                yield item, file, own[i]["ix"], float(scores[i]), text, rank
+
+    def run(batches):
+        for batch in batches:
+            kinds_ = [batch.schema.field(2).type.value_type.field(0).type, batch.schema.field(0).type, pa.int32(), pa.float64(), pa.string(), pa.int32()]
+            for start in range(0, len(batch), 100):  # so many files at a time
+                out = [x for row in batch.slice(start, 100).to_pylist() for x in best(row["file"], row["own"], row["asked"])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds_, strict=True)], names=["item_id", "file", "ix", "score", "text", "rank"])
 
     kinds = f"item_id {queries.schema['item_id'].dataType.simpleString()}, file {passages.schema['file'].dataType.simpleString()}, ix int, score double, text string, rank int"
-    texts = passages.select("file", F.col("ix").cast("int").alias("ix"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.groupBy("file").cogroup(queries.select("item_id", "file", "query").groupBy("file")).applyInPandas(run, kinds)
+    texts = passages.select("file", F.struct(F.col("ix").cast("int").alias("ix"), F.coalesce("text", F.lit("")).alias("text")).alias("x")).groupBy("file").agg(F.collect_list("x").alias("own"))
+    each = queries.select(F.col("file").alias("_file"), F.struct("item_id", "query").alias("x")).groupBy("_file").agg(F.collect_list("x").alias("asked"))
+    return texts.join(each, F.col("file").eqNullSafe(F.col("_file"))).select("file", "own", "asked").mapInArrow(run, kinds)
 
 
 # full text

@@ -208,3 +208,30 @@ def test_texts_of_tables_are_made_once(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         filters = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter")]
         assert not [f for f in filters if "array_sort" in f or "collect_list" in f]
+
+
+def test_no_step_runs_a_frame_for_each_document_or_edges_anew(spark):
+    """Documents pass their tasks in batches, not as a pandas frame each; paths read the edges that are stored."""
+    from entivore.plans import graphs, passages, searches
+
+    for query in (searches.q_passage_search, passages.q_page_batches):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan
+    assert "lineitem" not in graphs.q_kg_paths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_pages_over_many_documents(spark):
+    pages = [(d, p, "x" * ((7 * d + 3 * p) % 11)) for d in range(30) for p in range(d % 9)]
+    want = []
+    for d in range(30):
+        batches = []
+        for _, p, t in (x for x in pages if x[0] == d):
+            if batches and sum(map(len, batches[-1][1])) + len(t) <= 12:
+                batches[-1][1].append(t)
+            else:
+                batches.append((p, [t]))
+        want += [(d, i, p, len(ts), "\n\n".join(ts)) for i, (p, ts) in enumerate(batches)]
+    df = spark.createDataFrame(random.Random(1).sample(pages, len(pages)), "doc_id long, page int, text string")
+    from entivore.operators import passages as operators
+
+    assert sorted(map(tuple, operators.batched(df, 12).collect())) == want
