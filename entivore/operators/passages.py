@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,22 +128,34 @@ def extracted(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def batched(pages: DataFrame, target: int) -> DataFrame:
     """doc_id, batch, first_page, n_pages, text: pages (doc_id, page, text) in order, joined by a blank line, closed when the next
-    would go beyond target characters. A page is never cut. A document's pages meet in one task, one after the other."""
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        out, size = [], 0
-        for page, text in sorted(zip(part["page"], part["text"], strict=True)):
-            if out and size + len(text) <= target:
-                out[-1][3] += 1
-                out[-1][4].append(text)
-                size += len(text)
-            else:
-                out.append([key[0], len(out), page, 1, [text]])
-                size = len(text)
-        return pd.DataFrame([(*x[:4], "\n\n".join(x[4])) for x in out], columns=["doc_id", "batch", "first_page", "n_pages", "text"])
+    would go beyond target characters. A page is never cut. A document's pages pass one task one after the other; only the open batch is held."""
 
     kind = pages.schema["doc_id"].dataType.simpleString()
-    return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, batch int, first_page int, n_pages int, text string")
+
+    def run(batches):
+        own, size, type_ = None, 0, None  # the batch that is being filled: doc_id, batch, first_page, texts
+        out: list[tuple] = []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [type_, pa.int32(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "batch", "first_page", "n_pages", "text"])
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for doc_id, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and own[0] == doc_id and size + len(text) <= target:
+                    own[3].append(text)
+                    size += len(text)
+                    continue
+                number = own[1] + 1 if own and own[0] == doc_id else 0
+                if own:
+                    out.append((*own[:3], len(own[3]), "\n\n".join(own[3])))
+                own, size = (doc_id, number, page, [text]), len(text)
+            if out:
+                yield told()
+                out.clear()
+        if own:
+            out.append((*own[:3], len(own[3]), "\n\n".join(own[3])))
+            yield told()
+
+    in_order = pages.select("doc_id", "page", "text").repartition("doc_id").sortWithinPartitions("doc_id", "page", "text")
+    return in_order.mapInArrow(run, f"doc_id {kind}, batch int, first_page int, n_pages int, text string")
 
 
 def merged_first(results: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
