@@ -38,12 +38,13 @@ def neighbourhood(edges: DataFrame, seeds: Sequence[str], depth: int) -> DataFra
 def paths(edges: DataFrame, start: str, end: str, max_hops: int, limit: int) -> DataFrame:
     """hops, path (nodes joined by '>') of the limit shortest directed simple paths from start to end.
 
-    A path goes on only by nodes from which end is within the hops that remain."""
-    edges = edges.select("s", "o").where("s != o").distinct()
+    A path goes on only by nodes from which end is within the hops that remain. Edges and these nodes are stored, so that no step
+    finds them anew."""
+    edges = stored(edges.select("s", "o").where("s != o").distinct(), "path-edges")
     reach = [edges.sparkSession.createDataFrame([(end,)], "node string")]
     for _ in range(1, max_hops):
         before = edges.join(reach[-1], F.col("o") == F.col("node"), "left_semi").select(F.col("s").alias("node"))
-        reach.append(reach[-1].unionByName(before).distinct())
+        reach.append(stored(reach[-1].unionByName(before).distinct(), "path-nodes"))
     walk = edges.where(F.col("s") == start).join(reach[max_hops - 1], F.col("o") == F.col("node"), "left_semi").select("o", F.array("s", "o").alias("nodes"))
     found = None
     for k in range(1, max_hops + 1):
