@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import csv
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +25,66 @@ from entivore.sources.files import delimiter, without_mark
 from entivore.sources.shared import stored
 
 MOST_LINES = 100_000
+#: Splits or files whose table is broadcast; with more it is joined.
+MOST_SPLITS = 100_000
 
 
-def records(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> DataFrame:
-    """file, split, n, record: the records of delimited files, line breaks in quotes included; n rises within a split."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the files as they are read, with the quotes of each, whether those before it in its split are odd in number, and
+    for either case of how the split starts (last0: outside of quotes) the last line up to it that begins a record.
+
+    A task reads a split in order, so this takes neither a shuffle nor a sort."""
+
+    def run(batches):
+        key, total, last = None, 0, [-1, -1]
+        for batch in batches:
+            quotes, n = pc.count_substring(batch["value"], '"').to_numpy().astype(np.int64), batch["n"].to_numpy()
+            files = batch["file"].dictionary_encode()
+            split, code = batch["split"].to_numpy(), files.indices.to_numpy()
+            odd, begun = np.empty(len(n), np.int32), [np.empty(len(n), np.int64), np.empty(len(n), np.int64)]
+            starts = np.flatnonzero(np.append(True, (np.diff(split) != 0) | (np.diff(code) != 0))) if len(n) else []
+            for start, end in zip(starts, [*starts[1:], len(n)], strict=True):
+                own = (files.dictionary[code[start]].as_py(), split[start])
+                if own != key:
+                    key, total, last = own, 0, [-1, -1]
+                up_to = total + np.cumsum(quotes[start:end])
+                odd[start:end] = (up_to - quotes[start:end]) % 2
+                total = int(up_to[-1])
+                for i in (0, 1):
+                    held = np.maximum(np.maximum.accumulate(np.where(odd[start:end] == i, n[start:end], -1)), last[i])
+                    begun[i][start:end], last[i] = held, held[-1]
+            more = [pa.array(quotes), pa.array(odd), *(pa.array(x, mask=x < 0) for x in begun)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "quotes", "odd", "last0", "last1"])
+
     read = spark.read.option("lineSep", "\n").text(path)
     lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
-    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
-    own = Window.partitionBy("file", "split").orderBy("n")
-    before = F.coalesce(F.sum("quotes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    lines = stored(lines.withColumn("odd", before.cast("int")), "csv-lines")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = lines.coalesce(tasks)  # very many splits in fewer files; each is read whole and in order
+    return stored(lines.mapInArrow(run, "value string, file string, split long, n long, quotes long, odd int, last0 long, last1 long"), "csv-lines")
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """df, one row for each split or file: broadcast unless these are very many."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= MOST_SPLITS else df
+
+
+def records(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """file, split, n, record: the records of delimited files, line breaks in quotes included; n rises within a split."""
+    return _records(_lines(spark, path), most_lines)
+
+
+def _records(lines: DataFrame, most_lines: int) -> DataFrame:
     # both cases of a split: where its last record begins if it starts outside of quotes, or inside
-    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), *[F.max(F.when(F.col("odd") == i, F.col("n"))).alias(f"last{i}") for i in (0, 1)])
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), *[F.max(f"last{i}").alias(f"last{i}") for i in (0, 1)])
     by_file = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("inside", (F.coalesce(F.sum("quotes").over(by_file), F.lit(0)) % 2).cast("int"))
-    last = F.when(F.col("inside") == 0, F.col("last0")).otherwise(F.col("last1"))
-    splits = splits.withColumn("carried", F.last(last, ignorenulls=True).over(by_file)).select("file", "split", "inside", "carried")
-    lines = lines.join(splits, ["file", "split"]).withColumn("inside", (F.col("odd") + F.col("inside")) % 2)
+    splits = splits.withColumn("starts", (F.coalesce(F.sum("quotes").over(by_file), F.lit(0)) % 2).cast("int"))
+    last = F.when(F.col("starts") == 0, F.col("last0")).otherwise(F.col("last1"))
+    splits = _small(splits.withColumn("carried", F.last(last, ignorenulls=True).over(by_file)).select("file", "split", "starts", "carried"), "csv-splits")
+    lines = lines.join(splits, ["file", "split"]).withColumn("inside", (F.col("odd") + F.col("starts")) % 2)
     after = (F.col("inside") + F.col("quotes")) % 2
     one = lines.where((F.col("inside") == 0) & (after == 0)).select("file", "split", "n", F.col("value").alias("record"))
-    begun = F.last(F.when(F.col("inside") == 0, F.col("n")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    parts = lines.withColumn("begun", F.coalesce(begun, "carried")).where((F.col("inside") != 0) | (after != 0))
+    parts = lines.withColumn("begun", F.coalesce(last, "carried")).where((F.col("inside") != 0) | (after != 0))
     whole = parts.groupBy("file", "begun").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["value"]), "\n")
     many = whole.select("file", F.get("all", F.lit(0))["split"].alias("split"), F.col("begun").alias("n"), F.when(F.col("lines") <= most_lines, text).otherwise(F.raise_error(F.concat(F.lit(f"a record of more than {most_lines} lines: is there a stray quote in "), "file"))).alias("record"))
@@ -53,10 +95,12 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, most_
     """The rows of delimited files (a file, a folder, a pattern) with a header each, all columns strings. The delimiter is told
     from the first header, unless it is given. Short rows are filled with nulls, what is beyond the header is left out, blank
     lines go. Empty fields are null, quoted empty ones empty."""
-    every = records(spark, path, most_lines).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    lines = _lines(spark, path)
+    every = _records(lines, most_lines).withColumn("record", F.regexp_replace("record", "\r$", ""))
     # the first line of the first split of each file: one row for each file
-    firsts = every.where("split = 0").groupBy("file").agg(F.min("n").alias("first"))
-    head = every.join(firsts, "file").where("split = 0 AND n = first").select("file", without_mark(F.col("record")).alias("record"), delimiter(F.col("record")).alias("sep")).orderBy("file").first()
+    firsts = _small(lines.where("split = 0").groupBy("file").agg(F.min("n").alias("first")), "csv-firsts")
+    top = firsts.orderBy("file").first()
+    head = top and every.where((F.col("file") == top.file) & (F.col("n") == top["first"])).select(without_mark(F.col("record")).alias("record"), delimiter(F.col("record")).alias("sep")).first()
     if head is None:
         return spark.createDataFrame([], "value string")
     sep = sep or head.sep

@@ -71,3 +71,13 @@ def test_written_files_come_back(spark, tmp_path):
     delimited.write_delimited(df, str(tmp_path / "out"), ";")
     got = delimited.read_delimited(spark, str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.collect()) == [("1", " a ", "'=x"), ("2", None, '"q"\n,'), ("3", "", "'\ttab"), ("4", "b\n", "c")]
+
+
+def test_records_of_one_line_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "d.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n" + "".join(f'{i},"x\ny"\n' if i % 50 == 0 else f"{i},z\n" for i in range(1000)))
+    df = delimited.read_delimited(spark, path)
+    assert df.count() == 1000 and df.where("b = 'x\ny'").count() == 20
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
