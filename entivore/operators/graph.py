@@ -62,6 +62,8 @@ CROWD = 2_000
 LISTED = 1_000
 #: Pairs that a task puts together, about, and the most of one person there.
 TASK_PAIRS, HUB = 2_000_000, 8_000_000
+#: Pairs whose lists of others a task makes, about.
+LIST_PAIRS = 8_000_000
 #: Names that are broadcast; more are joined.
 MOST_NAMES = 1_000_000
 
@@ -93,7 +95,9 @@ def _met(edges: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame,
     n_pairs = e.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("n")).first().n // 2
     dealt = e.withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    dealt = dealt.select("id", "o", "own", F.explode(meets).alias("m")).groupBy("o", "m").agg(F.array_sort(F.collect_list(F.struct("id", "own"))).alias("all"))
+    # lists are far longer than the rows they are made of, so their tasks go by pairs and aren't coalesced by the size of rows
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // LIST_PAIRS))
+    dealt = dealt.select("id", "o", "own", F.explode(meets).alias("m")).repartition(tasks, "o", "m").groupBy("o", "m").agg(F.array_sort(F.collect_list(F.struct("id", "own"))).alias("all"))
     after = dealt.select("o", "m", "all", F.posexplode("all").alias("at", "x")).withColumn("rest", F.slice("all", F.col("at") + 2, F.size("all")))
     others = F.when(F.col("m.i") == F.col("m.j"), F.col("rest")["id"]).otherwise(F.filter("rest", lambda y: y["own"] != F.col("x.own"))["id"])
     return after.select(F.col("x.id").alias("person1"), "o", others.alias("others")).where("size(others) > 0"), people, hubs, n_pairs

@@ -235,3 +235,12 @@ def test_batches_of_pages_over_many_documents(spark):
     from entivore.operators import passages as operators
 
     assert sorted(map(tuple, operators.batched(df, 12).collect())) == want
+
+
+def test_lists_of_partners_are_dealt_by_pairs(spark, monkeypatch):
+    """The lists of one task hold about LIST_PAIRS pairs, however few rows they are made of."""
+    monkeypatch.setattr(G, "LIST_PAIRS", 1_000)
+    edges = spark.range(4_000).select((F.col("id") % 50).cast("string").alias("s"), F.concat(F.lit("o"), (F.col("id") / 50).cast("int")).alias("o"))
+    met, _, _, n_pairs = G._met(edges, G.CROWD)
+    tasks = [r.n for r in met.groupBy(F.spark_partition_id()).agg(F.sum(F.size("others")).alias("n")).collect()]
+    assert sum(tasks) == n_pairs == 80 * 50 * 49 // 2 and max(tasks) <= 10_000
