@@ -182,17 +182,30 @@ def conflicts(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     return edges.withColumn("old_predicate", old).withColumn("status", status)
 
 
+#: Losers at one end of edges that are broadcast; more are joined.
+FEW_LOSERS = 100_000
+#: Edges that a task puts together, about.
+TASK_EDGES = 1_000_000
+
+
 def merged(edges: DataFrame, winners: DataFrame) -> DataFrame:
     """Distinct edges with ends re-pointed by winners (loser, winner); loops go, and so do losers' edges where the winner
-    has one of its own of the same family (without that column: the same predicate) to the same end."""
-    w = lambda end: winners.select(F.col("loser").alias(end), F.col("winner").alias(f"{end}_new"))
-    out = edges.join(w("s"), "s", "left").join(w("o"), "o", "left")
+    has one of its own of the same family (without that column: the same predicate) to the same end.
+
+    Edges are shuffled for an end at which many losers stand, and once by their new ends, not for each of the steps there."""
+    ends = F.explode(F.array(*[F.struct(F.lit(x).alias("end"), F.col(x).alias("loser")) for x in "so"]))
+    met = stored(winners.join(edges.select(ends.alias("x")).select("x.*").distinct(), "loser").select("end", "loser", "winner"), "losers")
+    many = {r.end: r.n for r in met.groupBy("end").agg(F.count("*").alias("n")).collect()}
+    out = edges.select("s", "predicate", F.col("family" if "family" in edges.columns else "predicate").alias("family"), "o")
+    for end in "so":
+        w = met.where(F.col("end") == end).select(F.col("loser").alias(end), F.col("winner").alias(f"{end}_new"))
+        out = out.join(F.broadcast(w) if many.get(end, 0) <= FEW_LOSERS else w, end, "left")
     own = F.col("s_new").isNull() & F.col("o_new").isNull()
-    family = F.col("family" if "family" in edges.columns else "predicate").alias("family")
-    out = out.select(F.coalesce("s_new", "s").alias("s"), "predicate", family, F.coalesce("o_new", "o").alias("o"), own.alias("own")).where("s != o").distinct()
-    held = out.where("own").select("s", "o", "family", F.lit(True).alias("held")).distinct()
-    kept = out.join(held, ["s", "o", "family"], "left").where(F.col("own") | F.col("held").isNull())
-    return kept.select("s", "predicate", "o").distinct()
+    out = out.select(F.coalesce("s_new", "s").alias("s"), "predicate", "family", F.coalesce("o_new", "o").alias("o"), own.alias("own")).where("s != o")
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+    once = out.repartition(tasks, "s", "o").groupBy("s", "o", "family", "predicate").agg(F.max("own").alias("own"))
+    held = F.max("own").over(Window.partitionBy("s", "o", "family")) & F.col("family").isNotNull()
+    return once.withColumn("held", held).where("own OR NOT held").select("s", "predicate", "o").distinct()
 
 
 def merged_entities(entities: DataFrame, winners: DataFrame) -> DataFrame:

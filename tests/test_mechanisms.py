@@ -244,3 +244,20 @@ def test_lists_of_partners_are_dealt_by_pairs(spark, monkeypatch):
     met, _, _, n_pairs = G._met(edges, G.CROWD)
     tasks = [r.n for r in met.groupBy(F.spark_partition_id()).agg(F.sum(F.size("others")).alias("n")).collect()]
     assert sum(tasks) == n_pairs == 80 * 50 * 49 // 2 and max(tasks) <= 10_000
+
+
+@pytest.mark.parametrize("few", (0, 100))
+def test_edges_are_merged_in_one_shuffle_beside_the_joins(spark, monkeypatch, few):
+    """Distinct edges, those held by winners and distinct results share a shuffle; few losers at an end need none."""
+    monkeypatch.setattr(G, "FEW_LOSERS", few, raising=False)
+    rng = random.Random(12)
+    rows = [(rng.choice("abcdef"), rng.choice("pqr"), rng.choice(("f", "g", None)), rng.choice("abcdefx")) for _ in range(300)] + [(None, "p", "f", "a"), ("y", None, "f", "x"), ("y", "p", "f", "x"), ("y", "p", "g", "x")]
+    win = {"b": "a", "d": "c", "x": "a"}
+    moved = {(win.get(s, s), p, f, win.get(o, o), s not in win and o not in win) for s, p, f, o in rows}
+    held = {(s, f, o) for s, _, f, o, own in moved if own and f}
+    want = {(s, p, o) for s, p, f, o, own in moved if s and o and s != o and (own or (s, f, o) not in held)}
+    got = G.merged(spark.createDataFrame(rows, "s string, predicate string, family string, o string"), spark.createDataFrame(list(win.items()), "loser string, winner string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    if few:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
