@@ -52,14 +52,18 @@ def assigned_once(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return out.select("request_id", "item", "target", F.when(fresh, "assigned").when(F.col("target") == holder, "same").otherwise("conflict").alias("outcome"))
 
 
-def cancelled(jobs: DataFrame, queue: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cancelled(jobs: DataFrame, queue: DataFrame, wanted: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """jobs (job_id, status, message) and their queue rows (row_id, job_id, status) after cancelling wanted (job_id): jobs
-    that are queued or running fail, and those jobs' rows that aren't done or dead die."""
+    that are queued or running fail, and those jobs' rows that aren't done or dead die. tasks: rows come by job in so many
+    tasks, whatever the size of the queue, which counts by job can go on with."""
     w = wanted.select(F.col("job_id").alias("_job")).distinct()
     open_ = F.col("_job").isNotNull() & F.col("status").isin("queued", "running")
     hit = jobs.join(w, F.col("job_id") == F.col("_job"), "left").withColumn("_open", open_)
     new_jobs = hit.select("job_id", F.when(F.col("_open"), "failed").otherwise(F.col("status")).alias("status"), F.when(F.col("_open"), "cancelled by user").otherwise(F.col("message")).alias("message"))
     gone = hit.where("_open").select(F.col("job_id").alias("_gone"))
+    if tasks:
+        # both sides, as a join with one of them alone would be dealt anew to Spark's own number of partitions
+        queue, gone = queue.repartition(tasks, "job_id"), gone.repartition(tasks, "_gone")
     rows = queue.join(gone, F.col("job_id") == F.col("_gone"), "left")
     dead = F.col("_gone").isNotNull() & ~F.col("status").isin("done", "dead")
     return new_jobs, rows.select("row_id", "job_id", F.when(dead, "dead").otherwise(F.col("status")).alias("status"))

@@ -41,12 +41,17 @@ def q_assign_once(spark, sf_dir):
     return X.assigned_once(c, requests)
 
 
+#: Queue rows that a task takes, about.
+TASK_ROWS = 1_000_000
+
+
 def _jobs(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
     jobs = o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.lit(None).cast("string").alias("message"))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linestatus") == "F", "done").otherwise("pending").alias("status"))
-    return X.cancelled(jobs, rows, o.where("o_custkey % 10 = 1").select(F.col("o_orderkey").alias("job_id")))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return X.cancelled(jobs, rows, o.where("o_custkey % 10 = 1").select(F.col("o_orderkey").alias("job_id")), tasks)
 
 
 def q_cancel_jobs(spark, sf_dir):

@@ -261,3 +261,18 @@ def test_edges_are_merged_in_one_shuffle_beside_the_joins(spark, monkeypatch, fe
     if few:
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("broadcast", ("10MB", "-1"))
+def test_rows_of_cancelled_jobs_are_dealt_by_their_number(spark, monkeypatch, broadcast):
+    from entivore.plans import changes
+
+    monkeypatch.setattr(changes, "TASK_ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        counts = changes.q_cancel_rows(spark, sf)
+        tasks = [r.n for r in counts.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(tasks) == spark.read.parquet(f"{sf}/lineitem.parquet").count() and max(tasks) <= 1_000
