@@ -90,7 +90,14 @@ def table_lines(text: Column) -> Column:
 
 
 def cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+    """Lines that begin and end with a pipe, and those without an escaped one, need no pattern; one that is split by is compiled for
+    each line."""
+    plain = F.startswith(line, F.lit("|")) & F.endswith(line, F.lit("|")) & (F.length(line) > 1)
+    inner = F.when(plain, F.substring(line, F.lit(2), F.length(line) - 2)).otherwise(F.regexp_replace(line, r"^\s*\||\|\s*$", ""))
+    escaped = F.contains(line, F.lit("\\|"))
+    parts = F.when(escaped, F.split(inner, r"(?<!\\)\|")).otherwise(F.split(inner, r"\|"))
+    own = F.transform(parts, lambda c: F.trim(c))
+    return F.when(escaped, F.transform(own, lambda c: F.replace(c, F.lit("\\|"), F.lit("|")))).otherwise(own)
 
 
 def first_table(text: Column) -> Column:
@@ -114,16 +121,21 @@ def table_chunks(docs: DataFrame, rows: int, columns: Sequence[str] | None = Non
 def extracted(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """doc_id, row, column, value: what a document's table says in columns (any case): without any, every cell that isn't
     empty; of one, its cells that aren't; of several, all of them in rows where none is empty."""
-    lines = docs.select("doc_id", table_lines(F.col("text")).alias("lines"))
-    rows = lines.select("doc_id", cells(F.get("lines", F.lit(0))).alias("head"), F.posexplode_outer("lines").alias("row", "line")).where("row > 0")
-    pairs = rows.select("doc_id", "row", F.arrays_zip(F.col("head").alias("column"), cells(F.col("line")).alias("value")).alias("all"))
     low = [c.lower() for c in columns]
-    kept = F.filter("all", lambda x: F.lower(x["column"]).isin(*low)) if low else F.col("all")
-    full = pairs.select("doc_id", "row", kept.alias("kept"))
-    if len(low) > 1:
-        whole = F.forall("kept", lambda x: F.coalesce(x["value"], F.lit("")) != "") & (F.size("kept") == len(low))
-        full = full.select("doc_id", "row", F.when(whole, F.col("kept")).alias("kept"))
-    return full.select("doc_id", "row", F.inline_outer("kept")).where("coalesce(value, '') != '' AND column IS NOT NULL")
+    # each line is cut once; what several steps need is a column of its own, and all that comes of a table is exploded at once
+    cut = docs.select("doc_id", F.transform(table_lines(F.col("text")), cells).alias("cut"))
+    head = F.get("cut", F.lit(0))
+    wanted = F.filter(F.transform(head, lambda x, i: F.when(F.lower(x).isin(*low) if low else x.isNotNull(), i)), lambda i: i.isNotNull())
+    cut = cut.select("doc_id", "cut", head.alias("head"), wanted.alias("at"))
+
+    def told(line: Column, row: Column) -> Column:
+        whole = row > 0
+        if len(low) > 1:
+            whole = whole & (F.size("at") == len(low)) & F.forall("at", lambda i: F.coalesce(F.get(line, i), F.lit("")) != "")
+        all_ = F.transform("at", lambda i: F.struct(row.alias("row"), F.get("head", i).alias("column"), F.get(line, i).alias("value")))
+        return F.when(whole, all_).otherwise(F.array().cast("array<struct<row:int,column:string,value:string>>"))
+
+    return cut.select("doc_id", F.inline_outer(F.flatten(F.transform("cut", told)))).where("coalesce(value, '') != '' AND column IS NOT NULL")
 
 
 def batched(pages: DataFrame, target: int) -> DataFrame:

@@ -39,7 +39,7 @@ def q_page_batches(spark, sf_dir):
 def _tables(spark, sf_dir):
     """The lines of each order as a markdown table; every fifth has no value."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey").cast("string")).otherwise(""), "l_returnflag"), F.lit(" |")).alias("line"))
-    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return body.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("see\n| Line | Part | Flag |\n| --- | --- | --- |\n"), "body", F.lit("\nend")).alias("text"))
 
 

@@ -276,3 +276,19 @@ def test_rows_of_cancelled_jobs_are_dealt_by_their_number(spark, monkeypatch, br
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(tasks) == spark.read.parquet(f"{sf}/lineitem.parquet").count() and max(tasks) <= 1_000
+
+
+def test_lines_of_tables_are_cut_once(spark):
+    """All that comes of a table is exploded at once, and cells are those of the patterns, also for odd lines."""
+    import re
+
+    lines = ["| a | b |", "||", "|", "a|b", " | a | b | ", "| a \\| b | c |", "| a \\|", "|a||b|", "a | |", "| x |\t", "", "|\\||"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i").select(P.cells(F.col("line")).alias("c")).collect()
+    assert [r.c for r in got] == [[c.strip(" ").replace("\\|", "|") for c in re.split(r"(?<!\\)\|", re.sub(r"^\s*\||\|\s*\Z", "", x))] for x in lines]
+    texts = ["see\n| Part | Flag | z |\n|---|---|---|\n| p | f |\n| q | | 1 |\n| | g | 2 |\n| r | h | 3 | 4 |\nend", "none", None, "| flag |\n| a |", "| part | PART |\n| a | b |"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = P.extracted(docs, ["part", "flag"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert sorted(map(tuple, out.collect())) == [(0, 1, "Flag", "f"), (0, 1, "Part", "p"), (0, 4, "Flag", "h"), (0, 4, "Part", "r"), (4, 1, "PART", "b"), (4, 1, "part", "a")]
+    assert sorted(map(tuple, P.extracted(docs, ["flag"]).collect())) == [(0, 1, "Flag", "f"), (0, 3, "Flag", "g"), (0, 4, "Flag", "h"), (3, 1, "flag", "a")]
+    assert sorted(map(tuple, P.extracted(docs, []).where("doc_id = 0 AND row = 3").collect())) == [(0, 3, "Flag", "g"), (0, 3, "z", "2")]
