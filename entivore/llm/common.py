@@ -118,13 +118,16 @@ def components(edges: DataFrame) -> DataFrame:
 #: Pairs of different components for each row of a cell, up to which all of them are compared.
 CROSS_PAIRS = 2
 STAR_ROUNDS = 6
+#: Rows of cells that are broadcast for that (about 40 MB).
+SMALL_ROWS = 500_000
 #: Another round of comparisons with few members follows if one of so many was a link.
 MIN_YIELD = 20
 
 
-def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int = 0) -> DataFrame:
+def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, per_cell: int = 0) -> DataFrame:
     """node and label for every id that a chain of links leads to another; cells (cell, id, size): ids that share a cell
-    and whose smaller size is at least so many percent of the larger are candidates, verify keeps the links of pairs (a, b).
+    and whose smaller size is at least so many percent of the larger are candidates, verify keeps the links of pairs (a, b);
+    links: those (a, b) that are known before; per_cell: linked ids share at least 1 + size // per_cell cells (the smaller size).
 
     A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
     components, each id is compared with a few members only, new ones each round and twice as many, of the largest
@@ -132,7 +135,7 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent:
     cells = stored(cells.distinct(), "link-cells")
     rank = cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
     cells = stored(cells.join(rank, "id"), "link-ranked")
-    links, labels = None, None
+    labels = None if links is None else components(links)
     rounds = 0
     for k in range(STAR_ROUNDS + 1):
         here = cells.withColumn("label", F.col("id"))
@@ -150,7 +153,11 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent:
         if last:
             rest = stored(here.join(heads.select("cell"), "cell"), "link-rest")
             other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("size").alias("other_size"))
-            pairs = rest.join(other, "cell").where(F.col("label") < F.col("other_label")).where(100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            # a few rows of large cells can give many pairs: the rows are dealt out first
+            dealt = rest.repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+            pairs = dealt.join(small(other, SMALL_ROWS), "cell").where(F.col("label") < F.col("other_label")).where(100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size"))
+            pairs = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("size", "other_size")).alias("s"))
+            pairs = pairs.where(F.col("n") > (F.floor(F.col("s") / per_cell) if per_cell else 0)).select("a", "b")
         else:
             stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
             best = F.slice(F.sort_array(F.collect_list(F.struct("n", "head")), asc=False), 1, 2**k)

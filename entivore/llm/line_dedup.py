@@ -10,11 +10,11 @@ similarity s with a chance of about s ** ROWS, found by any band with
 1 - (1 - s ** ROWS) ** BANDS: 0.986 at 0.8, 0.999 at 0.85. Lines of up to SHORT shingles have
 SHORT_BANDS more, of SHORT_ROWS hashes, as a few long windows would hold most of the line.
 
-Lines that share a band are candidates; of bands with the same lines one is kept. A band that
+Lines that share a band are candidates, all pairs of them at once. A band that
 more than CROWD lines share, as those that begin with the same words do, says little: its lines
 meet by a rare shingle instead. Shingles of such lines are ordered by how many of them hold each;
-two similar lines share one of their rarest, of as many as a line can't miss all of, so this
-loses no pair, and lines that have but the frequent ones in common are never compared. Candidates
+two similar lines share one of their rarest, of as many as a line can't miss all of, and k of
+k - 1 more, for which a tenth of a line's shingles is taken, so this loses no pair, and lines that have but the frequent ones in common are never compared. Candidates
 whose sets have a Jaccard similarity of 0.8 or more, counted exactly, are linked. A
 distributed union-find joins links to components; of each component, and of equal lines, the
 first line (by doc_id, row and line number) stays.
@@ -43,20 +43,22 @@ BANDS, ROWS = 14, 6
 SHORT, SHORT_BANDS, SHORT_ROWS = 40, 8, 3
 #: Lines of a band beyond which they meet by rare shingles.
 CROWD = 16
+#: Such lines share one more rare shingle for each so many of their shingles.
+PER_CELL = 10
 #: Keys of up to so many rows (about 40 MB) are broadcast; beyond, an ordinary join is used.
 BROADCAST_ROWS = 500_000
 
 
-def _hashes(line: Column) -> Column:
-    """The sorted distinct hashes of the line's shingles."""
+def _every(line: Column) -> Column:
+    """The hashes of the line's shingles, in order, with repeats."""
 
     def made(units: Column) -> Column:
-        n = (F.length(units) / 2).cast("int")
-        every = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE))))
-        return F.when(n < SHINGLE, F.array(F.xxhash64(units))).otherwise(every)
+        # the step is that of the bytes, so that the lambda does no arithmetic
+        every = F.transform(F.sequence(F.lit(1), F.length(units) - (2 * SHINGLE - 1), F.lit(2)), lambda i: F.xxhash64(F.substr(units, i, F.lit(2 * SHINGLE))))
+        return F.when(F.length(units) < 2 * SHINGLE, F.array(F.xxhash64(units))).otherwise(every)
 
     # a lambda's argument is a value, made once
-    return F.sort_array(F.array_distinct(F.transform(F.array(F.encode(line, "UTF-16BE")), made)[0]))
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), made)[0]
 
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -78,51 +80,56 @@ def _points(bands: int) -> list[int]:
     return [(b << 64) // bands - (1 << 63) for b in range(bands)]
 
 
-def _among(s: str, bands: int) -> Column:
-    """The hashes s and the points, sorted: a point's place tells how many hashes precede it."""
-    return F.sort_array(F.concat(F.col(s), F.array(*[F.lit(p).cast("long") for p in _points(bands)])))
+def _with_points(hashes: Column, bands: int) -> Column:
+    return F.concat(hashes, F.array(*[F.lit(p).cast("long") for p in _points(bands)]))
 
 
-def _bands(among: str, more: str, rows: int, bands: int) -> Column:
+def _places(among: str, bands: int) -> Column:
+    """among: distinct hashes and the points, sorted, so that a point's place tells how many hashes precede it: the place of
+    the first hash after each point, once the points are taken out."""
+    return F.array(*[F.array_position(among, F.lit(p)).cast("int") - b for b, p in enumerate(_points(bands))])
+
+
+def _bands(places: str, more: str, rows: int, bands: int) -> Column:
     """Hashes of the windows of so many rows after each point; more: the sorted hashes, and the first of them again."""
-    windows = [F.slice(more, F.array_position(among, F.lit(p)).cast("int") - b, F.lit(rows)) for b, p in enumerate(_points(bands))]
-    return F.array(*[F.xxhash64(F.lit(100 * rows + b), w) for b, w in enumerate(windows)])
+    return F.array(*[F.xxhash64(F.lit(100 * rows + b), F.slice(more, F.col(places)[b], F.lit(rows))) for b in range(bands)])
 
 
 def signed(lines: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, and of the column line: k1, k2, size (of its set) and bands (an array of hashes)."""
     none = F.array().cast("array<long>")
-    made = lines.select(*keep, *_keys("line"), _hashes(F.col("line")).alias("s"))
-    made = made.select("*", F.size("s").alias("size"), F.concat("s", F.slice("s", 1, ROWS)).alias("more"), _among("s", BANDS).alias("among"), F.when(F.size("s") <= SHORT, _among("s", SHORT_BANDS)).alias("few"))
-    bands = F.concat(_bands("among", "more", ROWS, BANDS), F.when(F.col("size") <= SHORT, _bands("few", "more", SHORT_ROWS, SHORT_BANDS)).otherwise(none))
-    # a lambda keeps this step out of the generated code of the whole stage, which would be one method too large to be compiled
+    # hashes are sorted once, the points among them, and the points are taken out again: that keeps the order
+    made = lines.select(*keep, *_keys("line"), F.sort_array(F.array_distinct(_with_points(_every(F.col("line")), BANDS))).alias("among"))
+    made = made.select("*", F.array_except("among", _with_points(none, BANDS)).alias("s"))
+    made = made.select("*", F.size("s").alias("size"), F.concat("s", F.slice("s", 1, ROWS)).alias("more"), _places("among", BANDS).alias("at"), F.when(F.size("s") <= SHORT, F.sort_array(_with_points(F.col("s"), SHORT_BANDS))).alias("few"))
+    made = made.select("*", F.when(F.col("size") <= SHORT, F.transform(_places("few", SHORT_BANDS), lambda i: i)).alias("few_at"))
+    bands = F.concat(_bands("at", "more", ROWS, BANDS), F.when(F.col("size") <= SHORT, _bands("few_at", "more", SHORT_ROWS, SHORT_BANDS)).otherwise(none))
+    # lambdas keep these steps out of the generated code of the whole stage, which would be one method too large to be compiled
     return made.select(*keep, "k1", "k2", "size", F.transform(bands, lambda h: h).alias("bands"))
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, sa, sb: sizes, la, lb: lines) that reach the similarity. Each set is made once: a lambda's argument is a value."""
-    sets = F.array(F.struct(_hashes(F.col("la")).alias("a"), _hashes(F.col("lb")).alias("b")))
-    shared = F.transform(sets, lambda x: F.size(F.array_intersect(x["a"], x["b"])))
+    """The pairs (a, b, sa, sb: sizes, la, lb: lines) that reach the similarity. Repeats don't count: an intersection has each hash once."""
+    # a lambda's argument is a value, made once
+    shared = F.array(F.size(F.array_intersect(_every(F.col("la")), _every(F.col("lb")))))
     fits = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
     return pairs.where(fits).where(F.exists(shared, lambda i: 100 * i >= percent * (F.col("sa") + F.col("sb") - i))).select("a", "b")
 
 
-def by_rare_shingles(cells: DataFrame, texts: DataFrame, percent: int, crowd: int = CROWD) -> DataFrame:
-    """cells (cell, id, size) in which those of more than crowd ids give way to a cell for each shingle that some of their ids
-    share and that similar ids can't do without; texts: id, size, line."""
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("cell")
-    crowded = stored(crowded, "lines-crowded")
-    if crowded.isEmpty():
-        return cells
-    members = cells.join(small(crowded, BROADCAST_ROWS), "cell").select("id").distinct()
-    sets = stored(texts.join(members, "id").select("id", "size", F.explode(_hashes(F.col("line"))).alias("h")), "lines-sets")
+def by_rare_shingles(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Cells (cell, id, size) for the ids of crowds: one for each shingle that some of them share and that similar ids can't do
+    without. Similar ids share at least 1 + size // PER_CELL of these cells. texts: id, size, line."""
+    members = crowds.select("id").distinct()
+    sets = stored(texts.join(members, "id").select("id", "size", F.explode(F.array_distinct(_every(F.col("line")))).alias("h")), "lines-sets")
     common = sets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     shared = sets.join(common, "h").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
     # of size shingles so many may differ; those that no other line holds come first among them
     spare = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("all"))
+    # with so many more, similar ids share as many more
+    spare = spare + F.floor(F.col("size") / PER_CELL)
     rare = shared.select(F.explode(F.transform(F.slice("all", F.lit(1), F.greatest(spare, F.lit(0)).cast("int")), lambda x: F.xxhash64(F.lit("rare"), x["h"]))).alias("cell"), "id", "size")
-    out = stored(cells.join(small(crowded, BROADCAST_ROWS), "cell", "left_anti").unionByName(rare.select(*cells.columns)), "lines-refined")
-    discard(crowded, sets)
+    out = stored(rare.select("cell", "id", "size"), "lines-refined")
+    discard(sets)
     return out
 
 
@@ -137,11 +144,7 @@ def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERC
 
     bands = lines.select(F.explode("bands").alias("cell"), "id", "size")
     shared = stored(bands.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "lines-shared")
-    every = stored(bands.join(small(shared, BROADCAST_ROWS), "cell"), "lines-every")
-    alike = every.groupBy("cell").agg(F.min("c").alias("c"), F.bit_xor(F.xxhash64("id")).alias("sum"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    kept = stored(alike.groupBy("c", "sum", "lo", "hi").agg(F.min("cell").alias("cell")).select("cell"), "lines-kept")
-    cells = stored(every.drop("c").join(small(kept, BROADCAST_ROWS), "cell"), "lines-cells")
-    discard(shared, every, kept)
+    cells = stored(bands.join(small(shared, 2 * BROADCAST_ROWS), "cell"), "lines-cells")
     wanted = stored(cells.select("id").distinct().join(lines.select("id", "k1", "k2", "size"), "id"), "lines-wanted")
     texts = _lines(docs.select("text")).where("line IS NOT NULL").select("line", *_keys("line")).join(small(wanted, BROADCAST_ROWS), ["k1", "k2"])
     texts = stored(texts.groupBy("id", "size", "line").agg(F.count("*").alias("n")).select("id", "size", "line"), "lines-texts")
@@ -150,7 +153,11 @@ def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERC
         a, b = (texts.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
         return _similar(pairs.join(a, "a").join(b, "b"), percent)
 
-    labels = linked(by_rare_shingles(cells, texts, percent), verify, percent)
+    a, b = (cells.where(F.col("c") <= CROWD).select("cell", F.col("id").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+    fits = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
+    pairs = a.join(b, "cell").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    links = stored(verify(pairs), "lines-links")
+    labels = linked(by_rare_shingles(cells.where(F.col("c") > CROWD), texts, percent), verify, percent, links, PER_CELL)
     fuzzy = wanted.join(labels.withColumnRenamed("node", "id"), "id").select("k1", "k2", "label")
     exact = lines.where("n > 1").select("k1", "k2")
     groups = exact.join(fuzzy, ["k1", "k2"], "full").select("k1", "k2", F.col("label").isNotNull().alias("g0"), F.coalesce("label", "k1").alias("g1"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"))

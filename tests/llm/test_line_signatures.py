@@ -33,3 +33,19 @@ def test_templates_are_no_square(spark, monkeypatch, n):
     got = {r.doc_id for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").collect()}
     assert got == {10_000 + i for i in twins}
     assert sum(compared) <= 4 * n
+
+
+def test_lines_of_one_beginning_share_more_than_a_word(spark, monkeypatch):
+    """Lines of a long beginning that also share a rare word or two: these aren't compared for the words' sake, and near copies are found."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(40)]
+    template = "share this page with your friends and subscribe to our weekly newsletter at once, then tell"
+    lines = [f"{template} {rng.choice(words)} {''.join(rng.choices(string.ascii_lowercase + string.digits, k=30))}" for _ in range(1500)]
+    twins = {i: lines[i][:-2] + "zz" for i in range(0, 1500, 50)}
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10_000 + i, x) for i, x in twins.items()]
+    compared = []
+    similar = line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, percent: compared.append(pairs.count()) or similar(pairs, percent))
+    got = {r.doc_id for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").collect()}
+    assert got == {10_000 + i for i in twins}
+    assert sum(compared) <= 8 * 1500
