@@ -119,57 +119,82 @@ def components(edges: DataFrame) -> DataFrame:
 CROSS_PAIRS = 2
 STAR_ROUNDS = 6
 #: Rows of cells that are broadcast for that (about 40 MB).
-SMALL_ROWS = 500_000
+SMALL_ROWS = 300_000
 #: Another round of comparisons with few members follows if one of so many was a link.
 MIN_YIELD = 20
 
 
-def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int = 0, links: DataFrame | None = None, per_cell: int = 0) -> DataFrame:
-    """node and label for every id that a chain of links leads to another; cells (cell, id, size): ids that share a cell
-    and whose smaller size is at least so many percent of the larger are candidates, verify keeps the links of pairs (a, b);
-    links: those (a, b) that are known before; per_cell: linked ids share at least 1 + size // per_cell cells (the smaller size).
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node and label, the smallest node of its component) once the ends of links (a, b) are in one component too."""
+    if labels is None:
+        return components(links)
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    to = components(ends)
+    moved = labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    out = stored(moved.unionByName(to.join(labels.select("node"), "node", "left_anti")), "link-labels")
+    discard(labels, to)
+    return out
 
-    A cell of n similar ids has n * n / 2 links, but n - 1 connect it. While cells hold many pairs of ids in different
-    components, each id is compared with a few members only, new ones each round and twice as many, of the largest
-    components of its cells. Then all pairs that still lie in different components are compared, so that no component is missed."""
-    cells = stored(cells.distinct(), "link-cells")
-    rank = cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
-    cells = stored(cells.join(rank, "id"), "link-ranked")
+
+def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, near: Callable[[str, str], Column] = lambda x, y: F.lit(True)) -> DataFrame:
+    """node and label for every id that a chain of links leads to another; cells (cell, id, size and what near reads, once each):
+    ids that share a cell are candidates if near(x, y), a condition on the rows x and y of both, holds; verify keeps the links
+    of pairs (a, b); links: those (a, b) that are known before.
+
+    Rows that are near no row of another component are dropped first. A cell of n similar ids has n * n / 2 links, but
+    n - 1 connect it. While cells hold many pairs of ids in different components, each id is compared with a few members
+    only, new ones each round and twice as many, of the largest components of its cells. Then all near pairs that still lie
+    in different components are compared, so that no component is missed."""
+    own = [c for c in cells.columns if c not in ("cell", "id")]
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = None if links is None else components(links)
+
+    def labelled(cells: DataFrame) -> DataFrame:
+        if labels is None:
+            return cells.withColumn("label", F.col("id"))
+        return cells.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def met(here: DataFrame, apart: Callable[[Column, Column], Column], how: str) -> DataFrame:
+        """Rows x of here with rows y of their cells that are near and apart; a few rows of large cells can give many pairs: the rows are dealt out first."""
+        x, y = here.repartition(partitions, "id").alias("x"), small(here, SMALL_ROWS).alias("y")
+        return x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart(F.col("x.label"), F.col("y.label")) & near("x", "y"), how)
+
+    here = stored(labelled(cells), "link-cells")
+    cells = stored(met(here, lambda x, y: x != y, "left_semi").drop("label"), "link-near")
+    discard(here)
+    rank = cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
+    cells, old = stored(cells.join(rank, "id"), "link-ranked"), cells
+    discard(old)
     rounds = 0
     for k in range(STAR_ROUNDS + 1):
-        here = cells.withColumn("label", F.col("id"))
-        if labels is not None:
-            here = cells.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        here = labelled(cells)
         # members that meet many others first: an original comes before its edited copies
         order = F.xxhash64("id", "cell", F.lit(k)) if k % 2 else F.col("rank")
-        parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.max(F.struct(order.alias("o"), F.col("id").alias("id"))).alias("pick"))
-        heads = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", F.col("pick.o").alias("o"), "label", F.col("pick.id").alias("id"))).alias("head"))
-        heads = stored(heads.where("all * all > own").select("cell", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.col("head.label").alias("head_label"), F.col("head.id").alias("head")), "link-heads")
+        parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.max(F.struct(order.alias("o"), "id", *own)).alias("pick"))
+        heads = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", F.col("pick.o").alias("o"), "label", "pick")).alias("head"))
+        heads = stored(heads.where("all * all > own").select("cell", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), "head.label", "head.pick.id", *[F.col(f"head.pick.{c}") for c in own]), "link-heads")
         size = heads.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
         if not size.pairs:
+            discard(heads)
             break
         last = rounds == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
         if last:
-            rest = stored(here.join(heads.select("cell"), "cell"), "link-rest")
-            other = rest.select("cell", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("size").alias("other_size"))
-            # a few rows of large cells can give many pairs: the rows are dealt out first
-            dealt = rest.repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-            pairs = dealt.join(small(other, SMALL_ROWS), "cell").where(F.col("label") < F.col("other_label")).where(100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size"))
-            pairs = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("size", "other_size")).alias("s"))
-            pairs = pairs.where(F.col("n") > (F.floor(F.col("s") / per_cell) if per_cell else 0)).select("a", "b")
+            rest = stored(here.join(heads.select("cell"), "cell", "left_semi"), "link-rest")
+            pairs = met(rest, lambda x, y: x < y, "inner").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         else:
-            stars = here.join(heads.select("cell", "head", "head_label"), "cell").where("label != head_label").groupBy("id", "head").agg(F.count("*").alias("n"))
+            stars = here.alias("x").join(heads.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
+            stars = stars.groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("head")).agg(F.count("*").alias("n"))
             best = F.slice(F.sort_array(F.collect_list(F.struct("n", "head")), asc=False), 1, 2**k)
             pairs = stars.groupBy("id").agg(best.alias("best")).select(F.explode("best.head").alias("a"), F.col("id").alias("b"))
         pairs = stored(pairs, "link-pairs")
         found = stored(verify(pairs), "links")
-        discard(heads)
-        links = found if links is None else links.unionByName(found)
-        if last or not found.isEmpty():
-            labels = components(links)
+        if n_found := found.count():
+            labels = joined(labels, found)
+        # where few of the pairs are links, more rounds would change little
+        rounds = k + 1 if n_found * MIN_YIELD >= pairs.count() else STAR_ROUNDS
+        discard(heads, pairs, found, rest if last else None)
         if last:
             break
-        # where few of the pairs are links, more rounds would change little
-        rounds = k + 1 if found.count() * MIN_YIELD >= pairs.count() else STAR_ROUNDS
+    discard(cells)
     return components(cells.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))) if labels is None else labels

@@ -10,14 +10,18 @@ similarity s with a chance of about s ** ROWS, found by any band with
 1 - (1 - s ** ROWS) ** BANDS: 0.986 at 0.8, 0.999 at 0.85. Lines of up to SHORT shingles have
 SHORT_BANDS more, of SHORT_ROWS hashes, as a few long windows would hold most of the line.
 
-Lines that share a band are candidates, all pairs of them at once. A band that
-more than CROWD lines share, as those that begin with the same words do, says little: its lines
-meet by a rare shingle instead. Shingles of such lines are ordered by how many of them hold each;
-two similar lines share one of their rarest, of as many as a line can't miss all of, and k of
-k - 1 more, for which a tenth of a line's shingles is taken, so this loses no pair, and lines that have but the frequent ones in common are never compared. Candidates
-whose sets have a Jaccard similarity of 0.8 or more, counted exactly, are linked. A
-distributed union-find joins links to components; of each component, and of equal lines, the
-first line (by doc_id, row and line number) stays.
+Lines that share a band are candidates, all pairs of them at once where up to FEW lines share
+it. Each line of a band that more share has a parity sketch: WORDS longs, in which every hash of
+its set flips one bit. Two sketches differ in no more bits than the sets differ in hashes, so pairs
+whose sketches differ in more than similar sets can do are dropped where they meet, without their
+texts, and this loses no pair. A band that more than CROWD lines share, as those that begin with
+the same words do, says too little even for that: its lines meet by a rare shingle instead.
+Shingles of such lines are ordered by how many of them hold each; two similar lines share one of
+their rarest, of as many as a line can't miss all of, so this loses no pair either, and lines that
+have but the frequent ones in common are never compared. Candidates whose sets have a Jaccard
+similarity of 0.8 or more, counted exactly, are linked. A distributed union-find joins links to
+components; of each component, and of equal lines, the first line (by doc_id, row and line number)
+stays.
 
 All is built of Spark's own functions. Equal lines are summed within the map task, and then
 once more; from there on only hashes move, and texts of candidates.
@@ -33,6 +37,8 @@ names, pass through cleaned() untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +47,10 @@ from entivore.llm.common import discard, linked, small, stored, table, with_rows
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 14, 6
 SHORT, SHORT_BANDS, SHORT_ROWS = 40, 8, 3
-#: Lines of a band beyond which they meet by rare shingles.
-CROWD = 16
-#: Such lines share one more rare shingle for each so many of their shingles.
-PER_CELL = 10
+#: Lines of a band beyond which their sketches are compared first, and beyond which they meet by rare shingles.
+FEW, CROWD = 16, 1000
+#: Longs of a line's parity sketch.
+WORDS = 8
 #: Keys of up to so many rows (about 40 MB) are broadcast; beyond, an ordinary join is used.
 BROADCAST_ROWS = 500_000
 
@@ -98,35 +104,53 @@ def _bands(places: str, more: str, rows: int, bands: int) -> Column:
 def signed(lines: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, and of the column line: k1, k2, size (of its set) and bands (an array of hashes)."""
     none = F.array().cast("array<long>")
-    # hashes are sorted once, the points among them, and the points are taken out again: that keeps the order
-    made = lines.select(*keep, *_keys("line"), F.sort_array(F.array_distinct(_with_points(_every(F.col("line")), BANDS))).alias("among"))
-    made = made.select("*", F.array_except("among", _with_points(none, BANDS)).alias("s"))
-    made = made.select("*", F.size("s").alias("size"), F.concat("s", F.slice("s", 1, ROWS)).alias("more"), _places("among", BANDS).alias("at"), F.when(F.size("s") <= SHORT, F.sort_array(_with_points(F.col("s"), SHORT_BANDS))).alias("few"))
-    made = made.select("*", F.when(F.col("size") <= SHORT, F.transform(_places("few", SHORT_BANDS), lambda i: i)).alias("few_at"))
+    made = lines.select(*keep, *_keys("line"), F.array_distinct(_every(F.col("line"))).alias("s"))
+    made = made.select(*keep, "k1", "k2", F.sort_array("s").alias("s"), F.sort_array(_with_points(F.col("s"), BANDS)).alias("among"), F.when(F.size("s") <= SHORT, F.sort_array(_with_points(F.col("s"), SHORT_BANDS))).alias("few"))
+    # a projection with a lambda is compiled apart, in small methods; within the whole stage's one method these steps would be too large for that
+    apart = F.transform(F.array("k1"), lambda k: k)[0].alias("k1")
+    made = made.select(*keep, apart, "k2", F.size("s").alias("size"), F.concat("s", F.slice("s", 1, ROWS)).alias("more"), _places("among", BANDS).alias("at"), F.when(F.size("s") <= SHORT, _places("few", SHORT_BANDS)).alias("few_at"))
     bands = F.concat(_bands("at", "more", ROWS, BANDS), F.when(F.col("size") <= SHORT, _bands("few_at", "more", SHORT_ROWS, SHORT_BANDS)).otherwise(none))
-    # lambdas keep these steps out of the generated code of the whole stage, which would be one method too large to be compiled
-    return made.select(*keep, "k1", "k2", "size", F.transform(bands, lambda h: h).alias("bands"))
+    return made.select(*keep, apart, "k2", "size", bands.alias("bands"))
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, sa, sb: sizes, la, lb: lines) that reach the similarity. Repeats don't count: an intersection has each hash once."""
-    # a lambda's argument is a value, made once
-    shared = F.array(F.size(F.array_intersect(_every(F.col("la")), _every(F.col("lb")))))
+    shared = F.size(F.array_intersect(_every(F.col("la")), _every(F.col("lb"))))
     fits = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
-    return pairs.where(fits).where(F.exists(shared, lambda i: 100 * i >= percent * (F.col("sa") + F.col("sb") - i))).select("a", "b")
+    return pairs.where(fits).where((100 + percent) * shared >= percent * (F.col("sa") + F.col("sb"))).select("a", "b")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """id and bits (WORDS longs, in which each hash of the line's set flips one bit) of texts: id, size, line."""
+    hashes = texts.select("id", F.explode(F.array_distinct(_every(F.col("line")))).alias("h")).select("id", F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit"), F.expr(f"pmod(shiftright(h, 6), {WORDS})").alias("w"))
+    words = [F.bit_xor(F.when(F.col("w") == i, F.col("bit")).otherwise(0)).alias(f"w{i}") for i in range(WORDS)]
+    return hashes.groupBy("id").agg(*words).select("id", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
+
+
+def may_be_similar(percent: int) -> Callable[[str, str], Column]:
+    """A condition on rows x and y (size, bits), true for all that reach the similarity: of sets as similar, no more hashes are in one only."""
+
+    def near(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"{x}.bits.w{i}").bitwiseXOR(F.col(f"{y}.bits.w{i}"))) for i in range(WORDS)), F.lit(0))
+        sizes = F.col(f"{x}.size"), F.col(f"{y}.size")
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * differ <= (100 - percent) * (sizes[0] + sizes[1]))
+
+    return near
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def by_rare_shingles(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Cells (cell, id, size) for the ids of crowds: one for each shingle that some of them share and that similar ids can't do
-    without. Similar ids share at least 1 + size // PER_CELL of these cells. texts: id, size, line."""
+    without. texts: id, size, line."""
     members = crowds.select("id").distinct()
     sets = stored(texts.join(members, "id").select("id", "size", F.explode(F.array_distinct(_every(F.col("line")))).alias("h")), "lines-sets")
     common = sets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    shared = sets.join(common, "h").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+    shared = sets.join(common, "h").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("all"))
     # of size shingles so many may differ; those that no other line holds come first among them
     spare = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("all"))
-    # with so many more, similar ids share as many more
-    spare = spare + F.floor(F.col("size") / PER_CELL)
     rare = shared.select(F.explode(F.transform(F.slice("all", F.lit(1), F.greatest(spare, F.lit(0)).cast("int")), lambda x: F.xxhash64(F.lit("rare"), x["h"]))).alias("cell"), "id", "size")
     out = stored(rare.select("cell", "id", "size"), "lines-refined")
     discard(sets)
@@ -140,30 +164,39 @@ def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERC
     places = _lines(docs.select("text", "doc_id", row.alias("row")), "row", "doc_id")
     places = stored(places.select("row", "doc_id", "line_no", F.col("line").isNotNull().alias("has"), *_keys("line")), "lines-places")
     lines = _lines(docs.select("text")).where("line IS NOT NULL").groupBy("line").agg(F.count("*").alias("n"))
-    lines = stored(signed(lines, "line", "n").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "size", "bands"), "lines")
+    lines = stored(signed(lines, "line", "n").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "size", "bands", "line"), "lines")
 
     bands = lines.select(F.explode("bands").alias("cell"), "id", "size")
     shared = stored(bands.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "lines-shared")
     cells = stored(bands.join(small(shared, 2 * BROADCAST_ROWS), "cell"), "lines-cells")
-    wanted = stored(cells.select("id").distinct().join(lines.select("id", "k1", "k2", "size"), "id"), "lines-wanted")
-    texts = _lines(docs.select("text")).where("line IS NOT NULL").select("line", *_keys("line")).join(small(wanted, BROADCAST_ROWS), ["k1", "k2"])
-    texts = stored(texts.groupBy("id", "size", "line").agg(F.count("*").alias("n")).select("id", "size", "line"), "lines-texts")
+    discard(shared)
+    texts = stored(lines.select("id", "k1", "k2", "size", "line").join(small(cells.select("id").distinct(), BROADCAST_ROWS), "id"), "lines-texts")
+    wanted = texts.select("id", "k1", "k2")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, texts: DataFrame = texts) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
         return _similar(pairs.join(a, "a").join(b, "b"), percent)
 
-    a, b = (cells.where(F.col("c") <= CROWD).select("cell", F.col("id").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+    a, b = (cells.where(F.col("c") <= FEW).select("cell", F.col("id").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
     fits = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
     pairs = a.join(b, "cell").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
     links = stored(verify(pairs), "lines-links")
-    labels = linked(by_rare_shingles(cells.where(F.col("c") > CROWD), texts, percent), verify, percent, links, PER_CELL)
+    many = cells.where(F.col("c") > FEW)
+    bits = stored(sketches(texts.join(small(many.select("id").distinct(), BROADCAST_ROWS), "id")), "lines-sketches")
+    held, rare = many.where(F.col("c") <= CROWD).select("cell", "id", "size"), None
+    if not (crowds := many.where(F.col("c") > CROWD)).isEmpty():
+        rare = by_rare_shingles(crowds, texts, percent)
+        held = held.unionByName(rare)
+    labels = linked(held.join(bits, "id"), lambda pairs: verify(pairs, texts.join(small(_ends(pairs), BROADCAST_ROWS), "id")), links, may_be_similar(percent))
+    discard(cells, bits, links, rare)
     fuzzy = wanted.join(labels.withColumnRenamed("node", "id"), "id").select("k1", "k2", "label")
     exact = lines.where("n > 1").select("k1", "k2")
     groups = exact.join(fuzzy, ["k1", "k2"], "full").select("k1", "k2", F.col("label").isNotNull().alias("g0"), F.coalesce("label", "k1").alias("g1"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"))
     groups = stored(groups, "lines-groups")
+    discard(lines, texts, labels)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
     copies = stored(places.where("has").join(small(groups, BROADCAST_ROWS), ["k1", "k2"]).select("g0", "g1", "g2", order.alias("at")), "lines-copies")
+    discard(groups)
     keep = copies.groupBy("g0", "g1", "g2").agg(F.min("at").alias("keep"))
     gone = copies.join(keep, ["g0", "g1", "g2"]).where("at.row != keep.row OR at.line_no != keep.line_no")
     gone = gone.groupBy(F.col("at.row").alias("row")).agg(F.sort_array(F.collect_list("at.line_no")).alias("removed"))
