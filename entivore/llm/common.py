@@ -142,8 +142,8 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], links: Da
     ids that share a cell are candidates if near(x, y), a condition on the rows x and y of both, holds; verify keeps the links
     of pairs (a, b); links: those (a, b) that are known before.
 
-    Rows that are near no row of another component are dropped first. A cell of n similar ids has n * n / 2 links, but
-    n - 1 connect it. While cells hold many pairs of ids in different components, each id is compared with a few members
+    Rows that are near no row of another component are dropped before each round. A cell of n similar ids has n * n / 2
+    links, but n - 1 connect it. While cells hold many pairs of ids in different components, each id is compared with a few members
     only, new ones each round and twice as many, of the largest components of its cells. Then all near pairs that still lie
     in different components are compared, so that no component is missed."""
     own = [c for c in cells.columns if c not in ("cell", "id")]
@@ -160,15 +160,18 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], links: Da
         x, y = here.repartition(partitions, "id").alias("x"), small(here, SMALL_ROWS).alias("y")
         return x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart(F.col("x.label"), F.col("y.label")) & near("x", "y"), how)
 
-    here = stored(labelled(cells), "link-cells")
-    cells = stored(met(here, lambda x, y: x != y, "left_semi").drop("label"), "link-near")
-    discard(here)
-    rank = cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
-    cells, old = stored(cells.join(rank, "id"), "link-ranked"), cells
-    discard(old)
-    rounds = 0
+    rounds, ranked = 0, None
     for k in range(STAR_ROUNDS + 1):
-        here = labelled(cells)
+        here = stored(labelled(cells if ranked is None else ranked), "link-cells")
+        near_rows = stored(met(here, lambda x, y: x != y, "left_semi"), "link-near")
+        discard(here, ranked)
+        here = near_rows
+        if ranked is None:
+            rank = here.join(here.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("id").agg(F.sum("m").alias("rank"))
+            here = stored(here.join(small(rank, SMALL_ROWS), "id"), "link-ranked")
+            discard(near_rows)
+        ranked = here.drop("label")
+        ranked.__dict__["stored_at"] = here.__dict__["stored_at"]
         # members that meet many others first: an original comes before its edited copies
         order = F.xxhash64("id", "cell", F.lit(k)) if k % 2 else F.col("rank")
         parts = here.groupBy("cell", "label").agg(F.count("*").alias("n"), F.max(F.struct(order.alias("o"), "id", *own)).alias("pick"))
@@ -180,8 +183,7 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], links: Da
             break
         last = rounds == STAR_ROUNDS or size.pairs <= CROSS_PAIRS * size.rows
         if last:
-            rest = stored(here.join(heads.select("cell"), "cell", "left_semi"), "link-rest")
-            pairs = met(rest, lambda x, y: x < y, "inner").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            pairs = met(here, lambda x, y: x < y, "inner").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         else:
             stars = here.alias("x").join(heads.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
             stars = stars.groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("head")).agg(F.count("*").alias("n"))
@@ -193,8 +195,8 @@ def linked(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], links: Da
             labels = joined(labels, found)
         # where few of the pairs are links, more rounds would change little
         rounds = k + 1 if n_found * MIN_YIELD >= pairs.count() else STAR_ROUNDS
-        discard(heads, pairs, found, rest if last else None)
+        discard(heads, pairs, found)
         if last:
             break
-    discard(cells)
+    discard(ranked)
     return components(cells.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))) if labels is None else labels

@@ -48,7 +48,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 14, 6
 SHORT, SHORT_BANDS, SHORT_ROWS = 40, 8, 3
 #: Lines of a band beyond which their sketches are compared first, and beyond which they meet by rare shingles.
-FEW, CROWD = 16, 1000
+FEW, CROWD = 16, 4000
 #: Longs of a line's parity sketch.
 WORDS = 8
 #: Keys of up to so many rows (about 40 MB) are broadcast; beyond, an ordinary join is used.
@@ -197,8 +197,9 @@ def decisions(docs: DataFrame, *, row: Column | None = None, percent: int = PERC
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
     copies = stored(places.where("has").join(small(groups, BROADCAST_ROWS), ["k1", "k2"]).select("g0", "g1", "g2", order.alias("at")), "lines-copies")
     discard(groups)
-    keep = copies.groupBy("g0", "g1", "g2").agg(F.min("at").alias("keep"))
-    gone = copies.join(keep, ["g0", "g1", "g2"]).where("at.row != keep.row OR at.line_no != keep.line_no")
+    keep = stored(copies.groupBy("g0", "g1", "g2").agg(F.min("at").alias("keep")), "lines-keep")
+    # a hot line's rows stay where they are
+    gone = copies.join(small(keep, BROADCAST_ROWS), ["g0", "g1", "g2"]).where("at.row != keep.row OR at.line_no != keep.line_no")
     gone = gone.groupBy(F.col("at.row").alias("row")).agg(F.sort_array(F.collect_list("at.line_no")).alias("removed"))
     counts = places.groupBy("row", "doc_id").agg(F.count(F.when(F.col("has"), 1)).alias("n_lines"))
     out = counts.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
